@@ -49,9 +49,14 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, w, pos, term): the postings of every document; w is the document's whole row of the index."""
-    index = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
+def postings(docs: DataFrame, end: bool = False) -> DataFrame:
+    """(doc_id, h, w, pos, term): the postings of every document; w is the document's whole row of the index.
+
+    With ``end``, the empty term closes each document, at the position that is its number of words.
+    """
+    w = words(F.col("text"))
+    w = F.array_append(w, F.lit("")) if end else w
+    index = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), w.alias("w"))
     return index.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
 
 
@@ -75,28 +80,32 @@ def lookups(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return known.select("terms", "items", F.col("by_tf")[0]["term"].alias("anchor"), F.col("by_tf")[0]["offset"].alias("offset"), F.slice("by_tf", 1, 3).alias("rare"))
 
 
-def _matches(docs: DataFrame, found: DataFrame, reach: int, condition) -> DataFrame:
+def _matches(docs: DataFrame, found: DataFrame, reach: int, condition, end: bool = False) -> DataFrame:
     """doc_id, h, start, len, items of the starts for which ``condition(words around, shift)`` holds.
 
-    ``shift`` is the window's start as a 1-based place in the array of words around.
+    ``shift`` is the window's start as a 1-based place in the array of words around. With ``end``,
+    each document also gives a row with null items whose start is its number of words.
     """
+    if end:
+        last = "array('') terms, cast(null as array<string>) items, '' anchor, 0 offset"
+        found = found.unionByName(docs.sparkSession.range(1).selectExpr(*last.split(", ")).withColumn("rare", F.array().cast(found.schema["rare"].dataType)))
     found = common.materialize(found, "decontamination")
     n, start = found.count(), F.col("pos") - F.col("offset")
     if n <= BROADCAST_WINDOWS:
-        hit = postings(docs).join(F.broadcast(found), F.col("term") == F.col("anchor"))
+        hit = postings(docs, end).join(F.broadcast(found), F.col("term") == F.col("anchor"))
         hit = hit.where(start >= 0).where(condition(F.col("w"), start + 1))
     else:
         low = F.greatest(F.col("pos") - (WINDOW - 1 + reach), F.lit(0))
-        near = postings(docs).select("doc_id", "h", "pos", "term", low.alias("low"), F.slice("w", low + 1, F.lit(2 * (WINDOW - 1 + reach) + 1)).alias("near"))
+        near = postings(docs, end).select("doc_id", "h", "pos", "term", low.alias("low"), F.slice("w", low + 1, F.lit(2 * (WINDOW - 1 + reach) + 1)).alias("near"))
         hit = near.join(found, F.col("term") == F.col("anchor"))
         hit = hit.where(start >= 0).where(condition(F.col("near"), start - F.col("low") + 1))
     return hit.select("doc_id", "h", start.alias("start"), F.size("terms").alias("len"), "items")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, end: bool = False) -> DataFrame:
     """doc_id, h, start, len, items: every exact occurrence of a window (start counts words from 0)."""
     found = lookups(docs, windows(benchmark, width))
-    return _matches(docs, found, 0, lambda w, at: F.slice(w, at, F.size("terms")) == F.col("terms"))
+    return _matches(docs, found, 0, lambda w, at: F.slice(w, at, F.size("terms")) == F.col("terms"), end)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2, width: int = WINDOW) -> DataFrame:
@@ -113,23 +122,25 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2, widt
     return _matches(docs, found, slop, near)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, h, n_hit, item_ids (sorted strings) of the contaminated documents."""
-    hits = phrase_matches(docs, benchmark, width).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    return hits.select("doc_id", "h", F.size(covered).cast("long").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
+def _covered(spans: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).cast("long")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated."""
-    every = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    bad = contamination(docs, benchmark, width)
-    joined = every.join(bad, every["doc_id"].eqNullSafe(bad["doc_id"]) & (every["h"] == bad["h"]), "left").select(every["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
-    return joined.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated."""
+    is_end = F.col("items").isNull()
+    rows = phrase_matches(docs, benchmark, width, end=True).groupBy("doc_id", "h").agg(
+        F.max(F.when(is_end, F.col("start"))).cast("long").alias("n_words"),
+        F.count(F.when(is_end, 1)).cast("int").alias("copies"),
+        F.collect_set(F.when(~is_end, F.struct("start", "len"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
+    )
+    each = rows.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "item_ids", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return each.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of docs (all their columns) in which no window occurs."""
-    bad = contamination(docs, benchmark, width).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_h"))
+    bad = phrase_matches(docs, benchmark, width).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_h")).distinct()
     bad = common.materialize(bad, "decontamination")
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_h"]), "left_anti")
