@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chat_format, common, decontamination, language_id, near_dedup, quality_rules, sharding
+from . import best_fit_packing, chat_format, common, decontamination, kneser_ney, language_id, near_dedup, pii_surrogates, quality_rules, sharding
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.pick(common.table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return pii_surrogates.replace(docs).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(common.table(spark, sf_dir, "documents"), sharding.SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
