@@ -86,6 +86,7 @@ def records(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([S.signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "sig", "set"])
 
     texts = common.pick(docs, doc_id="long", text="string")
+    texts = texts.where(common.Bloom(wanted, "rid").might(F.col("doc_id")))
     return texts.join(wanted.select(F.col("rid").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(run, "rid long, sig binary, set binary")
 
 
@@ -192,7 +193,7 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     base = common.materialize(sketch(docs), OWNER)
     usable = base.where("key is not null and doc_id is not null")
     keys = common.materialize(usable.groupBy("key").agg(F.min("doc_id").alias("rid")), OWNER)
-    reps = usable.join(keys, "key").where("doc_id = rid").select("rid", F.explode("bands").alias("band")).distinct()
+    reps = usable.join(keys, "key").where("doc_id = rid").select("rid", F.explode("bands").alias("band"))
     reps = common.materialize(reps, OWNER)
     sizes = reps.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = common.materialize(reps.join(sizes, "band").select("band", "rid", "n"), OWNER)
@@ -221,10 +222,12 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 
 def unique(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of docs of which one stays for each group (all columns); repeated rows of one doc_id count as one."""
-    keep = common.materialize(groups(docs, percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), OWNER)
-    id_ = docs["doc_id"].cast("long")
-    once = docs.join(keep.where("n = 1 or doc_id is null").select(F.col("doc_id").alias("_k")), id_.eqNullSafe(F.col("_k")), "left_semi")
-    if not keep.where("n > 1 and doc_id is not null").limit(1).count():
-        return once
-    again = docs.join(keep.where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_k")), id_ == F.col("_k"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    found = common.materialize(groups(docs, percent), OWNER)
+    gone = common.materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), OWNER)
+    again = common.materialize(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), OWNER)
+    id_, maybe = docs["doc_id"].cast("long"), common.Bloom(gone, "_gone").might(docs["doc_id"])
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, id_ == gone["_gone"], "left_anti"))
+    if not again.limit(1).count():
+        return kept
+    id_ = kept["doc_id"].cast("long")
+    return kept.join(again, id_ == again["_again"], "left_anti").unionByName(kept.join(again, id_ == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
