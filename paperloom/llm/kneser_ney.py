@@ -216,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """doc_id, lang, n, perplexity, threshold (a perplexity) and kept, for every document."""
     letters = alphabet(docs)
     trusted = common.materialize(trusted_ids(labels), OWNER)
-    texts = common.pick(docs, doc_id="long", text="string").join(trusted, "doc_id").select("text")
+    texts = common.pick(docs, doc_id="long", text="string").where(common.Bloom(trusted, "doc_id").might(F.col("doc_id")))
+    texts = texts.join(trusted.hint("merge"), "doc_id").select("text")  # the same way at every size
     top = common.materialize(counts(texts, letters), OWNER)
     scored = common.materialize(score(docs, letters, collected(probabilities(top))), OWNER)
     cuts = {r["lang"]: r["threshold"] for r in thresholds(scored, trusted, quantile).limit(10_001).collect()}
