@@ -12,7 +12,7 @@ _PLACE = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uin
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _BAND = _rng.integers(0, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 200_000
 
 
 class _Words(dict):
