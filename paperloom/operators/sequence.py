@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_BY = Window.partitionBy("dossier_id").orderBy("page_num")
-UPTO = _BY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = _BY.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_order():
+    """A dossier's pages in order; the windows of this module share it, and so one sort."""
+    return Window.partitionBy("dossier_id").orderBy("page_num")
+
+
+def upto():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before():
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
 
 
 def _number(prefix: str, n: Column, width: int = 0) -> Column:
@@ -20,43 +30,43 @@ def _number(prefix: str, n: Column, width: int = 0) -> Column:
 def forward_fill(pages: DataFrame) -> DataFrame:
     """doc_code: the page's stamp, a new unknown_n at a boundary after any stamp, else the last one; unknown before all."""
     det = T.blank_to_null(F.col("detected_code"))
-    out = pages.withColumn("_det", det).withColumn("_seen", F.coalesce(F.max(det.isNotNull()).over(BEFORE), F.lit(False)))
+    out = pages.withColumn("_det", det).withColumn("_seen", F.coalesce(F.max(det.isNotNull()).over(before()), F.lit(False)))
     out = out.withColumn("_u", F.col("_det").isNull() & T.marks_new_document(F.col("within_doc_page"), F.col("text")) & F.col("_seen"))
-    own = F.coalesce("_det", F.when(F.col("_u"), _number("unknown_", F.sum(F.col("_u").cast("int")).over(UPTO))))
+    own = F.coalesce("_det", F.when(F.col("_u"), _number("unknown_", F.sum(F.col("_u").cast("int")).over(upto()))))
     out = out.withColumn("_own", own)
-    return out.withColumn("doc_code", F.coalesce(F.last("_own", ignorenulls=True).over(UPTO), F.lit("unknown"))).drop("_det", "_seen", "_u", "_own")
+    return out.withColumn("doc_code", F.coalesce(F.last("_own", ignorenulls=True).over(upto()), F.lit("unknown"))).drop("_det", "_seen", "_u", "_own")
 
 
 def forward_fill_split(pages: DataFrame) -> DataFrame:
     """doc_code with sub-splits code_n of memo-like documents and unknown_n slots, and whether the page is inherited."""
     det = T.blank_to_null(F.col("detected_code"))
     new = T.is_new_vlm(F.col("is_new_document"), F.col("within_doc_page"))
-    first = F.row_number().over(_BY) == 1
+    first = F.row_number().over(in_order()) == 1
     out = pages.withColumn("_det", det).withColumn("_slot", det.isNull() & (new | first))
     event = F.when(F.col("_det").isNotNull() | F.col("_slot"), F.struct(F.col("_det").alias("v")))
-    out = out.withColumn("_stamp", F.last(event, ignorenulls=True).over(BEFORE)["v"])
+    out = out.withColumn("_stamp", F.last(event, ignorenulls=True).over(before())["v"])
     changed = F.col("_det").isNotNull() & ~F.col("_det").eqNullSafe(F.col("_stamp"))
     out = out.withColumn("_sub", F.col("_det").isNotNull() & ~changed & new & F.col("category").isin(*T.MEMO_LIKE))
     of_code = Window.partitionBy("dossier_id", "_det").orderBy("page_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     suffix = F.sum(F.col("_sub").cast("int")).over(of_code) + 1
     own = (
-        F.when(F.col("_slot"), _number("unknown_", F.sum(F.col("_slot").cast("int")).over(UPTO)))
+        F.when(F.col("_slot"), _number("unknown_", F.sum(F.col("_slot").cast("int")).over(upto())))
         .when(F.col("_sub"), F.concat("_det", F.lit("_"), suffix.cast("string")))
         .when(changed, F.col("_det"))
     )
-    return out.withColumn("doc_code", F.last(own, ignorenulls=True).over(UPTO)).drop("_det", "_slot", "_stamp", "_sub")
+    return out.withColumn("doc_code", F.last(own, ignorenulls=True).over(upto())).drop("_det", "_slot", "_stamp", "_sub")
 
 
 def boundary_numbers(pages: DataFrame, is_new: Column) -> DataFrame:
     """doc_code auto_001, auto_002, ...: a new one at each page that is new, and at the first."""
-    start = (F.row_number().over(_BY) == 1) | is_new
-    return pages.withColumn("_s", start.cast("int")).withColumn("doc_code", _number("auto_", F.sum("_s").over(UPTO), 3)).drop("_s")
+    start = (F.row_number().over(in_order()) == 1) | is_new
+    return pages.withColumn("_s", start.cast("int")).withColumn("doc_code", _number("auto_", F.sum("_s").over(upto()), 3)).drop("_s")
 
 
 def split_signals(pages: DataFrame) -> DataFrame:
     """starts: whether a page starts a document by its number, its footer, or a fresh e-mail or memo head."""
     text = F.col("text")
-    return pages.withColumn("starts", (F.row_number().over(_BY) == 1) | T.marks_new_document(F.col("within_doc_page"), text) | T.starts_email(text) | T.starts_memo(text))
+    return pages.withColumn("starts", (F.row_number().over(in_order()) == 1) | T.marks_new_document(F.col("within_doc_page"), text) | T.starts_email(text) | T.starts_memo(text))
 
 
 def runs(pages: DataFrame, value: str) -> DataFrame:
@@ -72,11 +82,11 @@ def segments_of_runs(pages: DataFrame) -> DataFrame:
     """seg: contiguous segments for annotation: a changed stamp, a new page of the same stamp, or a new page without one starts a segment."""
     det = T.blank_to_null(F.col("detected_code"))
     new = T.is_new_vlm(F.col("is_new_document"), F.col("within_doc_page"))
-    first = F.row_number().over(_BY) == 1
+    first = F.row_number().over(in_order()) == 1
     event = F.when(det.isNotNull() | new | first, F.struct(det.alias("v")))
-    out = pages.withColumn("_event", event).withColumn("_stamp", F.last("_event", ignorenulls=True).over(BEFORE)["v"])
+    out = pages.withColumn("_event", event).withColumn("_stamp", F.last("_event", ignorenulls=True).over(before())["v"])
     start = first | (det.isNotNull() & (~det.eqNullSafe(F.col("_stamp")) | new)) | (det.isNull() & new)
-    return out.withColumn("_s", start.cast("int")).withColumn("seg", F.sum("_s").over(UPTO)).drop("_event", "_stamp", "_s")
+    return out.withColumn("_s", start.cast("int")).withColumn("seg", F.sum("_s").over(upto())).drop("_event", "_stamp", "_s")
 
 
 def large_jumps(pages: DataFrame, value: str, gap: int = 6) -> DataFrame:
@@ -92,8 +102,8 @@ def evaluation_starts(pages: DataFrame) -> DataFrame:
     new = T.is_new_vlm(F.col("is_new_document"), F.col("within_doc_page"))
     # a new page without stamp clears the last stamp
     event = F.when(det.isNotNull() | new, F.struct(det.alias("v")))
-    out = pages.withColumn("_event", event).withColumn("_last", F.last("_event", ignorenulls=True).over(BEFORE)["v"])
-    start = (F.row_number().over(_BY) == 1) | (det.isNotNull() & (~det.eqNullSafe(F.col("_last")) | (new & F.col("category").isin(*T.MEMO_LIKE)))) | (det.isNull() & new & F.col("_last").isNotNull())
+    out = pages.withColumn("_event", event).withColumn("_last", F.last("_event", ignorenulls=True).over(before())["v"])
+    start = (F.row_number().over(in_order()) == 1) | (det.isNotNull() & (~det.eqNullSafe(F.col("_last")) | (new & F.col("category").isin(*T.MEMO_LIKE)))) | (det.isNull() & new & F.col("_last").isNotNull())
     out = out.withColumn("_s", F.coalesce(start, F.lit(False))).withColumn("_n", F.sum(F.col("_s").cast("int")).over(Window.partitionBy("dossier_id")))
     fallback = (F.col("_n") == 1) & F.coalesce("is_new_document", F.lit(False))
     return out.where(F.col("_s") | fallback).select("dossier_id", (F.col("page_num") - 1).alias("page0"))

@@ -493,7 +493,7 @@ page_query("src12_concatenated", "SELECT dossier_id % 10 AS dossier_id, CAST(pag
 )
 page_query("src16_searchable", "SELECT dossier_id, bool_or(length(trim(text)) > 0) AS searchable FROM fx_pages GROUP BY 1")(lambda p: p.groupBy("dossier_id").agg(F.bool_or(F.length(T.strip(F.col("text"))) > 0).alias("searchable")))
 page_query("win14_text_budget", "SELECT dossier_id, string_agg(category, ', ' ORDER BY page_num) AS listed FROM (SELECT *, sum(length(category) + 2) OVER (PARTITION BY dossier_id ORDER BY page_num ROWS UNBOUNDED PRECEDING) AS used FROM fx_pages) WHERE used <= 60 GROUP BY 1")(
-    lambda p: p.withColumn("used", F.sum(F.length("category") + 2).over(S.UPTO)).where("used <= 60").groupBy("dossier_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "category"))), lambda x: x["category"]), ", ").alias("listed"))
+    lambda p: p.withColumn("used", F.sum(F.length("category") + 2).over(S.upto())).where("used <= 60").groupBy("dossier_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "category"))), lambda x: x["category"]), ", ").alias("listed"))
 )
 page_query("flt15_unstamped_pages", "SELECT dossier_id, page_num FROM fx_pages WHERE detected_code IS NULL AND dossier_id IN (SELECT dossier_id FROM fx_pages GROUP BY 1 HAVING count(DISTINCT detected_code) >= 2)")(
     lambda p: p.join(p.groupBy("dossier_id").agg(F.countDistinct("detected_code").alias("c")).where("c >= 2"), "dossier_id", "left_semi").where("detected_code is null").select("dossier_id", "page_num")
