@@ -225,7 +225,10 @@ evaluation("set2_metrics_without_first", f"SELECT *, {_F1} FROM m", _metrics_sql
 evaluation("agg20_macro_average", f"SELECT CAST(dossier_id AS VARCHAR) AS dossier_id, precision, recall, f1 FROM (SELECT *, {_F1} FROM m) UNION ALL SELECT 'ALL', avg(precision), avg(recall), avg(f1) FROM (SELECT *, {_F1} FROM m)", _metrics_sql())(
     lambda t, q, p: V.with_macro(V.page_metrics(t, q), ["precision", "recall", "f1"])
 )
-evaluation("jn11_tolerant_metrics", None)(lambda t, q, p: V.tolerant_metrics(t, q, 1))
+_TOL = """tol AS (SELECT t.dossier_id, len(t) AS nt, len(p) AS np, list_reduce(list_transform(p, lambda x: struct_pack(x := x, l := CAST([] AS BIGINT[]), n := 0)), lambda a, b: struct_pack(x := b.x, l := list_filter(a.l, lambda g: g <> coalesce(list_filter(a.l, lambda h: abs(h - b.x) <= 1)[1], -9)),
+ n := a.n + CASE WHEN len(list_filter(a.l, lambda h: abs(h - b.x) <= 1)) > 0 THEN 1 ELSE 0 END), struct_pack(x := CAST(0 AS BIGINT), l := t, n := 0)).n AS tp
+ FROM (SELECT dossier_id, list(page0 ORDER BY page0) AS t FROM fx_gt GROUP BY 1) t JOIN (SELECT dossier_id, list(page0 ORDER BY page0) AS p FROM fx_pred GROUP BY 1) p ON t.dossier_id = p.dossier_id)"""
+evaluation("jn11_tolerant_metrics", f"SELECT *, {_F1} FROM (SELECT dossier_id, tp, np - tp AS fp, nt - tp AS fn, tp / np AS precision, tp / nt AS recall FROM tol)", _TOL)(lambda t, q, p: V.tolerant_metrics(t, q, 1))
 _IOU = "hits AS (SELECT g.dossier_id, g.i AS ti, p.i AS pi, (least(g.hi, p.hi) - greatest(g.lo, p.lo)) / (greatest(g.hi, p.hi) - least(g.lo, p.lo)) AS iou FROM gseg g JOIN pseg p ON g.dossier_id = p.dossier_id AND g.lo < p.hi AND p.lo < g.hi)"
 evaluation("jn10_segment_overlaps", "SELECT * FROM hits WHERE iou > 0.5", _SEGS, _IOU)(lambda t, q, p: V.overlaps(*V.truth_and_prediction(t, q, FX.totals(p))))
 evaluation(
@@ -413,7 +416,10 @@ _HTTP = "CASE o_orderkey % 5 WHEN 0 THEN 'Bad Gateway ' WHEN 1 THEN '502 error'
 same("flt11_http_errors", _HTTP, "orders", "o_orderkey", f"regexp_matches(x, '{T.HTTP_ERROR}')")(T.is_http_error)
 same("str27_progress", "'[x] Page ' || cast(1 + o_orderkey % 50 as string) || '/50 read'", "orders", "o_orderkey", r"CAST(5 + round_even(80 * CAST(regexp_extract(x, 'Page (\d+)', 1) AS DOUBLE) / 50, 0) AS INTEGER)")(T.progress)
 _JSON = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 1, length(props) - 1) WHEN 2 THEN replace(props, '}', ',}') ELSE substr(props, 1, length(props) - 2) END"
-query("js1_repair_json")(lambda spark, sf: FX.read(spark, sf, "events").select("event_id", repair.closed(F.expr(_JSON)).alias("fixed")))
+_FIXED = "(SELECT event_id, regexp_replace(rtrim(x), ',\\s*([}\\]])', '\\1', 'g') AS s FROM (SELECT event_id, " + _JSON + " AS x FROM events))"
+_CLOSE = """list_reduce(list_transform(string_split(s, ''), lambda c: struct_pack(c := c, ins := false, esc := false, st := '')), lambda a, x: struct_pack(c := x.c, ins := CASE WHEN NOT a.esc AND x.c = '"' THEN NOT a.ins ELSE a.ins END, esc := NOT a.esc AND a.ins AND x.c = chr(92),
+ st := CASE WHEN a.esc OR a.ins OR x.c = '"' THEN a.st WHEN x.c = '{' THEN '}' || a.st WHEN x.c = '[' THEN ']' || a.st WHEN x.c IN ('}', ']') THEN substr(a.st, 2) ELSE a.st END), struct_pack(c := '', ins := false, esc := false, st := ''))"""
+query("js1_repair_json", f"SELECT event_id, s || CASE WHEN r.ins THEN '\"' ELSE '' END || r.st AS fixed FROM (SELECT event_id, s, {_CLOSE} AS r FROM {_FIXED})")(lambda spark, sf: FX.read(spark, sf, "events").select("event_id", repair.closed(F.expr(_JSON)).alias("fixed")))
 query("js3_tolerant_fields", "SELECT event_id, coalesce(nullif(event_type, ''), 'none') AS kind, json_valid(props) AS ok FROM events")(lambda spark, sf: FX.read(spark, sf, "events").select("event_id", F.coalesce(T.blank_to_null(F.col("event_type")), F.lit("none")).alias("kind"), F.get_json_object("props", "$").isNotNull().alias("ok")))
 page_query("prj6_page_summary", r"""SELECT dossier_id, page_num, 'p' || lpad(CAST(page_num AS VARCHAR), 3, '0') || ': stamp=' || coalesce(detected_code, 'null') || ' wpn=' || coalesce(CAST(within_doc_page AS VARCHAR), 'null') || ' new=' || CASE WHEN is_new_document THEN 'Y' ELSE 'N' END
  || ' cont=' || CASE WHEN regexp_matches(ltrim(regexp_replace(text, '(?i)^\s*(?:\d{4,}|[A-Z]{2,}\d+|\[PDF page \d+\])\s*', '')), '^\p{Ll}') THEN 'Y' ELSE 'N' END || ' cat=' || category || ' eml=' || CASE WHEN email_start THEN 'Y from' ELSE 'N' END || ' | "' || left(trim(regexp_replace(text, '\s+', ' ', 'g')), 500) || '"' AS line FROM fx_pages""".replace("'Y from'", "'Y'"))(
@@ -427,7 +433,14 @@ def _mail_texts(p: DataFrame) -> DataFrame:
     return P.assemble(S.forward_fill(p).where("category = 'E-mail'")).select("dossier_id", "doc_code", "text")
 
 
-page_query("seg1_split_points")(lambda p: _mail_texts(p).select("dossier_id", "doc_code", F.array_join(E.split_points(T.lines(F.col("text"))).cast("array<string>"), ",").alias("cuts")))
+_KIND = "list_transform(" + _LINES + ", lambda l, i: struct_pack(sep := regexp_matches(l, '" + T.SEPARATOR + "'), field := coalesce((" + _CANON.replace(_LINES, "[l]").replace("string_split(text, chr(10))", "[l]") + ")[1], ''), near := len(list_filter((" + _LINES + ")[i:i + 14], lambda z: regexp_matches(z, '(?i)^[ \\t]*(?:subject|onderwerp|betreft)\\s*:\\s*(.+)'))) > 0, i := 0, head := false, seen := CAST([] AS VARCHAR[]), last := -999, body := 0, cuts := CAST([] AS INTEGER[])))"
+_NEWMAIL = "(x.sep OR (x.field <> '' AND (list_contains(a.seen, x.field) OR ((NOT a.head OR (a.i - a.last > 4 AND a.body > 2)) AND x.near))))"
+_BODY = "(CASE WHEN a.head THEN a.body + 1 ELSE a.body END)"
+_FOLD = f"""list_reduce({_KIND}, lambda a, x: struct_pack(sep := x.sep, field := x.field, near := x.near, i := a.i + 1, head := x.sep OR x.field <> '' OR (a.head AND {_BODY} < 6),
+ seen := CASE WHEN x.sep THEN CAST([] AS VARCHAR[]) WHEN {_NEWMAIL} THEN [x.field] WHEN x.field <> '' THEN list_append(a.seen, x.field) ELSE a.seen END, last := CASE WHEN x.sep OR x.field <> '' THEN a.i ELSE a.last END,
+ body := CASE WHEN x.sep OR x.field <> '' THEN 0 ELSE {_BODY} END, cuts := CASE WHEN {_NEWMAIL} THEN list_append(a.cuts, a.i) ELSE a.cuts END),
+ struct_pack(sep := false, field := '', near := false, i := 0, head := false, seen := CAST([] AS VARCHAR[]), last := -999, body := 0, cuts := CAST([] AS INTEGER[])))"""
+page_query("seg1_split_points", f"SELECT dossier_id, doc_code, array_to_string(({_FOLD}).cuts, ',') AS cuts FROM (SELECT dossier_id, doc_code, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM fill WHERE category = 'E-mail' GROUP BY 1, 2)", _FILL)(lambda p: _mail_texts(p).select("dossier_id", "doc_code", F.array_join(E.split_points(T.lines(F.col("text"))).cast("array<string>"), ",").alias("cuts")))
 page_query("seg2_split_emails")(lambda p: E.split(_mail_texts(p)).drop("attachments"))
 
 
@@ -501,8 +514,11 @@ page_query("flt15_unstamped_pages", "SELECT dossier_id, page_num FROM fx_pages W
 
 
 def queries() -> dict[str, Query]:
+    from . import annotation_queries  # noqa: F401  registers more
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -22,7 +22,7 @@ def rows(names, data):
     return sorted(repr(tuple(plain(r[i]) for i in order)) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, sf, duck, name):
     df = queries.QUERIES[name](spark, sf)
     found = duck.sql(queries.SQL[name])
@@ -30,6 +30,6 @@ def test_same_as_sql(spark, sf, duck, name):
     assert rows(df.columns, df.collect()) == rows(found.columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
