@@ -115,3 +115,12 @@ class Bloom:
             return pd.Series(ok)
 
         return test(*self._places(col))
+
+
+#: Tables of ids of up to this many rows (16 MB of longs) are broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def checked_broadcast(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a written table of a long column) for a join, broadcast only if its counted size is within the limit."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids

@@ -86,8 +86,7 @@ def records(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([S.signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "sig", "set"])
 
     texts = common.pick(docs, doc_id="long", text="string")
-    texts = texts.where(common.Bloom(wanted, "rid").might(F.col("doc_id")))
-    return texts.join(wanted.select(F.col("rid").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(run, "rid long, sig binary, set binary")
+    return texts.join(common.checked_broadcast(wanted.select(F.col("rid").alias("doc_id"))), "doc_id").select("doc_id", "text").mapInArrow(run, "rid long, sig binary, set binary")
 
 
 def _linked(a, b, percent: int) -> bool:
@@ -195,12 +194,13 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     keys = common.materialize(usable.groupBy("key").agg(F.min("doc_id").alias("rid")), OWNER)
     reps = usable.join(keys, "key").where("doc_id = rid").select("rid", F.explode("bands").alias("band"))
     reps = common.materialize(reps, OWNER)
-    sizes = reps.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # as a table of its own, so that a hot band's side of the join can be split
+    sizes = common.materialize(reps.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), OWNER)
     met = common.materialize(reps.join(sizes, "band").select("band", "rid", "n"), OWNER)
     popular = met.groupBy("rid").agg(F.sum("n").alias("met"))
     hubs = met.join(popular, "rid").groupBy("band").agg(F.max_by("rid", F.struct("met", -F.col("rid"))).alias("hub"))
     pairs = common.materialize(met.join(hubs, "band").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct(), OWNER)
-    recs = common.materialize(records(docs, popular.select("rid")), OWNER)
+    recs = common.materialize(records(docs, common.materialize(popular.select("rid"), OWNER)), OWNER)
     first = common.materialize(verify(pairs, recs, percent), OWNER)
     label = components.components(first, OWNER)
     # Buckets of two have had their only pair compared; larger ones may hold links between labels.
@@ -225,8 +225,7 @@ def unique(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     found = common.materialize(groups(docs, percent), OWNER)
     gone = common.materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), OWNER)
     again = common.materialize(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), OWNER)
-    id_, maybe = docs["doc_id"].cast("long"), common.Bloom(gone, "_gone").might(docs["doc_id"])
-    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, id_ == gone["_gone"], "left_anti"))
+    kept = docs.join(common.checked_broadcast(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     if not again.limit(1).count():
         return kept
     id_ = kept["doc_id"].cast("long")
