@@ -52,12 +52,20 @@ def tolerant_metrics(truth: DataFrame, pred: DataFrame, tolerance: int = 1) -> D
 
 
 def overlaps(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """dossier_id, ti, pi, iou of the segment pairs (intervals) that overlap by more than half; at most one per segment."""
-    a = truth.select("dossier_id", F.col("i").alias("ti"), F.col("lo").alias("a"), F.col("hi").alias("b"))
-    c = pred.select("dossier_id", F.col("i").alias("pi"), F.col("lo").alias("c"), F.col("hi").alias("d"))
-    pairs = a.join(c, "dossier_id").where((F.col("a") < F.col("d")) & (F.col("c") < F.col("b")))
-    inter = F.least("b", "d") - F.greatest("a", "c")
-    return pairs.withColumn("iou", inter / (F.greatest("b", "d") - F.least("a", "c"))).where("iou > 0.5").select("dossier_id", "ti", "pi", "iou")
+    """dossier_id, ti, pi, iou of the segment pairs that overlap by more than half; at most one per segment.
+
+    Each side's segments are disjoint, so one sort of all starts finds the pairs: at each start, the
+    last segment of either side. No pair of segments that lie apart is made.
+    """
+    none = F.lit(None).cast("struct<i:int,lo:bigint,hi:bigint>")
+    seg = F.struct(F.col("i").cast("int").alias("i"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    starts = truth.select("dossier_id", "lo", seg.alias("t"), none.alias("p")).unionByName(pred.select("dossier_id", "lo", none.alias("t"), seg.alias("p")))
+    at = starts.groupBy("dossier_id", "lo").agg(F.max("t").alias("t"), F.max("p").alias("p"))
+    w = Window.partitionBy("dossier_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = at.select("dossier_id", F.last("t", ignorenulls=True).over(w).alias("t"), F.last("p", ignorenulls=True).over(w).alias("p"))
+    inter = F.least("t.hi", "p.hi") - F.greatest("t.lo", "p.lo")
+    pairs = pairs.withColumn("iou", inter / (F.greatest("t.hi", "p.hi") - F.least("t.lo", "p.lo"))).where("iou > 0.5")
+    return pairs.select("dossier_id", F.col("t.i").alias("ti"), F.col("p.i").alias("pi"), "iou")
 
 
 def panoptic(truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -72,11 +80,18 @@ def panoptic(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def majority_type(segments: DataFrame, pages: DataFrame) -> DataFrame:
-    """dossier_id, i, label: the most frequent category of a segment's pages; the first seen of equals; Other without pages."""
-    inside = (F.col("page_num") - 1 >= F.col("lo")) & (F.col("page_num") - 1 < F.col("hi"))
+    """dossier_id, i, lo, label: the most frequent category of a segment's pages; the first seen of equals; Other without pages.
+
+    Segments are disjoint: each page meets its segment by one sort of pages and starts.
+    """
     label = T.evaluated_type(F.coalesce(T.blank_to_null(F.col("category")), F.lit("Other")), truth=False)
-    votes = segments.join(pages.select("dossier_id", "page_num", label.alias("label")), "dossier_id").where(inside)
-    votes = votes.groupBy("dossier_id", "i", "label").agg(F.count(F.lit(1)).alias("n"), F.min("page_num").alias("first"))
+    none = F.lit(None).cast("struct<i:int,hi:bigint>")
+    seg = F.struct(F.col("i").cast("int").alias("i"), F.col("hi").cast("long").alias("hi"))
+    rows = segments.select("dossier_id", F.col("lo").cast("long").alias("at"), F.lit(0).alias("k"), seg.alias("s"), F.lit(None).cast("string").alias("label"))
+    rows = rows.unionByName(pages.select("dossier_id", (F.col("page_num") - 1).cast("long").alias("at"), F.lit(1).alias("k"), none.alias("s"), label.alias("label")))
+    w = Window.partitionBy("dossier_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    votes = rows.withColumn("s", F.last("s", ignorenulls=True).over(w)).where((F.col("k") == 1) & (F.col("at") < F.col("s.hi")))
+    votes = votes.groupBy("dossier_id", F.col("s.i").alias("i"), "label").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     best = votes.groupBy("dossier_id", "i").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"))
     return segments.join(best, ["dossier_id", "i"], "left").select("dossier_id", "i", "lo", F.coalesce("label", F.lit("Other")).alias("label"))
 

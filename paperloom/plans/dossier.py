@@ -83,10 +83,11 @@ def survey(pages: DataFrame) -> DataFrame:
 def route(pages: DataFrame, threshold: Column | float = 0.30) -> DataFrame:
     """doc_code and method of each page: stamps where a dossier's coverage reaches the threshold, else boundaries by page signals."""
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    use = coverage(pages).select("dossier_id", (F.col("coverage") >= limit).alias("_stamps"))
-    a = S.forward_fill_split(pages).select("dossier_id", "page_num", F.col("doc_code").alias("_a"))
-    b = S.boundary_numbers(pages, T.is_new_vlm(F.col("is_new_document"), F.col("within_doc_page"))).withColumnRenamed("doc_code", "_b")
-    both = b.join(a, ["dossier_id", "page_num"]).join(use, "dossier_id")
+    # both assignments and the coverage are windows by dossier: one shuffle
+    filled = S.forward_fill_split(pages).withColumnRenamed("doc_code", "_a")
+    both = S.boundary_numbers(filled, T.is_new_vlm(F.col("is_new_document"), F.col("within_doc_page"))).withColumnRenamed("doc_code", "_b")
+    stamped = T.blank_to_null(F.col("detected_code")).isNotNull().cast("int")
+    both = both.withColumn("_stamps", F.avg(stamped).over(Window.partitionBy("dossier_id")) >= limit)
     return both.withColumn("doc_code", F.when(F.col("_stamps"), F.col("_a")).otherwise(F.col("_b"))).withColumn("method", F.when(F.col("_stamps"), "stamp").otherwise("boundary")).drop("_a", "_b", "_stamps")
 
 
