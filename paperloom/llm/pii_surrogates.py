@@ -88,9 +88,10 @@ def mentions(text: Column) -> Column:
 
 def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(rf"^(?:{p})$")
+    card = (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13) & full(r"[\d -]+")
     return (
-        F.when(full(PARTS["email"]), "email").when(full(PARTS["ip"]), "ip").when(full(PARTS["ssn"]), "ssn").when(full(PARTS["card"]), "card")
-        .when(full(PARTS["iban"]), "iban").when(full(r"[+(\d][\d ().+-]+"), "phone").when(full(PARTS["name"]), "name").otherwise("secret")
+        F.when(full(PARTS["email"]), "email").when(full(r"(?:\d{1,3}\.){3}\d{1,3}"), "ip").when(full(PARTS["ssn"]), "ssn").when(card, "card")
+        .when(full(PARTS["iban"]), "iban").when(full(r"[+(\d][\d ().+-]+"), "phone").when(m.rlike(rf"^{_TITLE}\.?[ \t]"), "name").otherwise("secret")
     )
 
 
@@ -100,8 +101,9 @@ def _script(word: Column) -> Column:
 
 def _gender(m: Column, given: Column) -> Column:
     title = F.regexp_extract(m, rf"^({_TITLE})\b", 1)
-    known = lambda g: given.isin(*[x for k, v in GIVEN.items() if k.split("_")[0] == g for x in v])
-    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").when(known("m"), "m").when(known("f"), "f").otherwise("n")
+    known = lambda g: given.rlike("^(?:" + "|".join(x for k, v in GIVEN.items() if k.split("_")[0] == g for x in v) + ")$")
+    titled = lambda g: title.rlike("^(?:" + "|".join(TITLES[g]) + ")$")
+    return F.when(titled("m"), "m").when(titled("f"), "f").when(known("m"), "m").when(known("f"), "f").otherwise("n")
 
 
 _ATOM = "array<struct<kind:string,canon:string,raw:string>>"
@@ -135,8 +137,18 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, (i % 60) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _one_of(values: list[str] | str, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), n % len(values) + 1)
+def _choice(values: Column, n: Column) -> Column:
+    """One of the comma-separated values, by a number. Lists travel as one string, which keeps plans small."""
+    return _bind(F.split(values, ","), lambda v: v[n % F.size(v)])
+
+
+def _letter(letters: Column, n: Column) -> Column:
+    return _bind(letters, lambda v: F.substring(v, n % F.length(v) + 1, F.lit(1)))
+
+
+def _by(values: dict[str, str], of: Column) -> Column:
+    """The string that belongs to a key."""
+    return F.try_element_at(F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in values.items())), F.lit(";"), F.lit("=")), of)
 
 
 def _fill(raw: Column, digest: Column, keep: Column | None = None) -> Column:
@@ -144,17 +156,15 @@ def _fill(raw: Column, digest: Column, keep: Column | None = None) -> Column:
     is_hex = raw.rlike("^(?:[0-9a-f:-]+|[0-9A-F:-]+)$")
 
     def one(i: Column) -> Column:
-        c, n = F.substring(raw, i, F.lit(1)), _byte(digest, i)
-        new = (
-            F.when(c.between("0", "9"), (n % 10).cast("string"))
-            .when(is_hex & c.between("a", "f"), _one_of("abcdef", n)).when(is_hex & c.between("A", "F"), _one_of("ABCDEF", n))
-            .when(c.between("a", "z"), F.char(n % 26 + 97)).when(c.between("A", "Z"), F.char(n % 26 + 65))
-        )
-        for script, test in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", r"\p{L}")):
-            letter = _one_of(LETTERS[script], n)
-            new = new.when(c.rlike(test), F.when(c == F.lower(c), letter).otherwise(F.upper(letter)))
-        new = new.otherwise(c)
-        return new if keep is None else F.when(i <= keep, c).otherwise(new)
+        def of(c: Column) -> Column:
+            letters = (
+                F.when(c.between("0", "9"), "0123456789").when(is_hex & F.lower(c).between("a", "f"), "abcdef").when(F.lower(c).between("a", "z"), "abcdefghijklmnopqrstuvwxyz")
+                .when(c.rlike(r"\p{IsCyrillic}"), LETTERS["cyrillic"]).when(c.rlike(r"\p{IsGreek}"), LETTERS["greek"]).when(c.rlike(r"\p{L}"), LETTERS["latin"])
+            )
+            new = _bind(_letter(letters, _byte(digest, i)), lambda v: F.coalesce(F.when(c == F.lower(c), v).otherwise(F.upper(v)), c))
+            return new if keep is None else F.when(i <= keep, c).otherwise(new)
+
+        return _bind(F.substring(raw, i, F.lit(1)), of)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), one), "")
 
@@ -187,92 +197,78 @@ def _in_format(raw: Column, new: Column) -> Column:
 
     def step(acc: Column, i: Column) -> Column:
         c = F.substring(raw, i, F.lit(1))
-        is_char = c.rlike("[0-9A-Za-z]")
+        is_char = c.between("0", "9") | F.lower(c).between("a", "z")
         return F.struct(F.concat(acc["text"], F.when(is_char, F.substring(new, acc["at"], F.lit(1))).otherwise(c)).alias("text"), (acc["at"] + is_char.cast("int")).alias("at"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.length(raw)), F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), step)
-    return F.concat(done["text"], F.substring(new, done["at"], F.length(new)))
+    return _bind(done, lambda d: F.concat(d["text"], F.substring(new, d["at"], F.length(new))))
 
 
-def _card(canon: Column, digest: Column) -> Column:
-    filled, n = _fill(canon, digest, F.lit(1)), F.length(canon)
+def _card(canon: Column, x: Column) -> Column:
+    """A filled card number with a right check digit, if the original's is right."""
+    head = F.substring(x, F.lit(1), F.length(canon) - 1)
+    return F.when(_luhn(canon) == 0, F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0")))) % 10).cast("string"))).otherwise(x)
 
-    def checked(x: Column) -> Column:
-        head = F.substring(x, F.lit(1), n - 1)
-        return F.when(_luhn(canon) == 0, F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0")))) % 10).cast("string"))).otherwise(x)
 
-    return _bind(filled, checked)
-
-
-def _iban(canon: Column, digest: Column) -> Column:
-    filled = _fill(canon, digest, F.lit(2))
-
-    def checked(x: Column) -> Column:
-        rest = F.substring(x, F.lit(5), F.length(x))
-        right = F.lpad((98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), rest))).cast("string"), 2, "0")
-        return F.when(_mod97(canon) == 1, F.concat(F.substring(canon, 1, 2), right, rest)).otherwise(x)
-
-    return _bind(filled, checked)
+def _iban(canon: Column, x: Column) -> Column:
+    """A filled IBAN with right check digits, if the original's are right."""
+    rest, country = F.substring(x, F.lit(5), F.length(x)), F.substring(canon, 1, 2)
+    right = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.when(_mod97(canon) == 1, F.concat(country, right, rest)).otherwise(x)
 
 
 def _ip(canon: Column, digest: Column) -> Column:
     part = F.split(canon, r"\.")
     private = canon.rlike(r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)")
-    two = canon.rlike(r"^(?:192\.168\.|172\.)") & private
-    first = F.when(private, part[0]).otherwise(_one_of([str(x) for x in range(11, 224) if x not in (127, 169, 172, 192, 198, 203)], _byte(digest, F.lit(0)) * 256 + _byte(digest, F.lit(5))))
-    octet = lambda i: (_byte(digest, F.lit(i)) * 256 + _byte(digest, F.lit(i + 5))) % 254 + 1
-    second = F.when(two, part[1]).otherwise(octet(1).cast("string"))
-    return F.concat_ws(".", first, second, octet(2).cast("string"), octet(3).cast("string"))
-
-
-def _email(key: str, canon: Column, digest: Column, extra: Column) -> Column:
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    tld = F.substring_index(domain, ".", -1)
-    head = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
-    return F.concat(_fill(local, digest), extra, F.lit("@"), _fill(head, _digest(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), tld)
+    word = lambda i: _byte(digest, F.lit(i)) * 256 + _byte(digest, F.lit(i + 5))
+    octet = lambda i: (word(i) % 254 + 1).cast("string")
+    public = word(0) % 115 + 11  # 11 to 125
+    first = F.when(private, part[0]).otherwise(public.cast("string"))
+    second = F.when(private & canon.rlike("^1[79]"), part[1]).otherwise(octet(1))
+    return F.concat_ws(".", first, second, octet(2), octet(3))
 
 
 def _capital(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, F.lit(1), F.lit(1))), F.substring(word, F.lit(2), F.length(word)))
 
 
-def _built(script: str, digest: Column, n: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _one_of(SYLLABLES[script], _byte(digest, i * 2) * 256 + _byte(digest, i * 2 + 1))), "")
-
-
-def _by(values: dict[str, Column], of: Column) -> Column:
-    found = F.lit(None).cast("string")
-    for k, v in values.items():
-        found = F.when(of == k, v).otherwise(found)
-    return found
-
-
 def _name(kind: Column, canon: Column, digest: Column, attempt: Column) -> Column:
-    gender, n = F.substring_index(kind, "_", -1), _byte(digest, F.lit(0)) * 256 + _byte(digest, F.lit(1))
-    size = F.lit(2) + F.greatest(attempt - 1, F.lit(0))
+    gender = F.substring_index(kind, "_", -1)
+    n = lambda i: _byte(digest, i) * 256 + _byte(digest, i + 1)
+    listed = {f"{k}_latin" if "_" not in k else k: ",".join(v) for k, v in GIVEN.items()}
+    listed |= {f"n_{x}": listed[f"m_{x}"] for x in ("cyrillic", "greek")}
+    last = kind.startswith("surname")
+    size = F.lit(2) + F.greatest(attempt - 1, F.lit(0)) + last.cast("int")
+    endings = {f"{'surname' if e is SURNAME_ENDINGS else 'given'}_{g}_{x}": v for e in (ENDINGS, SURNAME_ENDINGS) for x, by in e.items() for g, v in by.items()}
 
-    def of(script: str) -> Column:
-        known = {g: _one_of(GIVEN.get(f"{g}_{script}" if script != "latin" else g, GIVEN["n"] if script == "latin" else GIVEN[f"m_{script}"]), n) for g in "mfn"}
-        made = {g: _capital(F.concat(_built(script, digest, size), F.lit(ENDINGS[script][g]))) for g in "mfn"}
-        last = {g: _capital(F.concat(_built(script, digest, size + 1), F.lit(SURNAME_ENDINGS[script][g]))) for g in "mfn"}
-        return F.when(kind.startswith("surname"), _by(last, gender)).when(attempt == 0, _by(known, gender)).otherwise(_by(made, gender))
+    def of(script: Column) -> Column:
+        sounds = _by({k: ",".join(v) for k, v in SYLLABLES.items()}, script)
+        built = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: _choice(sounds, n(i * 2))), "")
+        made = F.concat(built, F.coalesce(_by(endings, F.concat_ws("_", kind, script)), F.lit("")))
+        return F.when(~last & (attempt == 0), _choice(_by(listed, F.concat_ws("_", gender, script)), n(F.lit(0)))).otherwise(_bind(made, _capital))
 
-    return _by({s: of(s) for s in SYLLABLES}, _script(canon))
+    return _bind(_script(canon), of)
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of an entity in canonical form."""
+    numeric = kind.isin("card", "iban", "phone", "ssn")
+    domain = F.substring_index(canon, "@", -1)
+    tld = F.substring_index(domain, ".", -1)
+    keep = F.when(kind == "iban", 2).when(kind.isin("card", "phone"), 1).otherwise(0)
 
     def of(digest: Column) -> Column:
-        extra = F.when(attempt >= WIDEN, F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), attempt - WIDEN + 1)).otherwise(F.lit(""))
-        more = F.when(attempt >= WIDEN, F.substring(F.translate(digest, "abcdef", "123456"), F.lit(1), attempt - WIDEN + 1)).otherwise(F.lit(""))
-        return (
-            F.when(kind == "email", _email(key, canon, digest, extra)).when(kind == "ip", _ip(canon, digest))
-            .when(kind == "card", F.concat(_card(canon, digest), more)).when(kind == "iban", F.concat(_iban(canon, digest), more))
-            .when(kind == "phone", F.concat(_fill(canon, digest, F.lit(1)), more)).when(kind == "ssn", F.concat(_fill(canon, digest), more))
-            .when(kind.startswith("given") | kind.startswith("surname"), _name(kind, canon, digest, attempt))
-            .otherwise(F.concat(_fill(canon, digest), extra))
-        )
+        letters, digits = F.translate(digest, "0123456789", "ghijklmnop"), F.translate(digest, "abcdef", "123456")
+        extra = F.when(attempt >= WIDEN, F.substring(F.when(numeric, digits).otherwise(letters), F.lit(1), attempt - WIDEN + 1)).otherwise(F.lit(""))
+
+        def finish(x: Column) -> Column:
+            name = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
+            head = _bind(_digest(key, F.lit("domain"), domain, F.lit(0)), lambda d: _fill(name, d))
+            done = F.when(kind == "card", _card(canon, x)).when(kind == "iban", _iban(canon, x)).otherwise(x)
+            return F.concat(done, extra, F.when(kind == "email", F.concat(F.lit("@"), head, F.lit("."), tld)).otherwise(F.lit("")))
+
+        filled = _bind(_fill(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon), digest, keep), finish)
+        return F.when(kind == "ip", _ip(canon, digest)).when(kind.startswith("given") | kind.startswith("surname"), _name(kind, canon, digest, attempt)).otherwise(filled)
 
     return _bind(_digest(key, kind, canon, attempt), of)
 
@@ -329,12 +325,14 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         rows = docs.withColumn("__pii_at", no_map)
 
     def write(m: Column) -> Column:
+        title = F.regexp_extract(m, rf"^{_TITLE}\.?[ \t]", 0)
+
         def one(a: Column) -> Column:
             attempt = F.coalesce(F.try_element_at("__pii_at", F.concat_ws("|", a["kind"], a["canon"])), F.lit(0))
-            return _written(a["kind"], a["raw"], surrogate(key, a["kind"], a["canon"], attempt))
+            new = _bind(attempt, lambda n: surrogate(key, a["kind"], a["canon"], n))
+            return _bind(new, lambda x: _written(a["kind"], a["raw"], x))
 
-        title = F.when(_kind(m) == "name", F.regexp_extract(m, rf"^{_TITLE}\.?[ \t]", 0)).otherwise(F.lit(""))
-        return F.concat(title, F.array_join(F.transform(atoms(m), one), " "))
+        return _bind(atoms(m), lambda found: F.concat(F.when(found[0]["kind"].rlike("^(?:given|surname)_"), title).otherwise(F.lit("")), F.array_join(F.transform(found, one), " ")))
 
     found = rows.withColumn("__pii_m", F.coalesce(mentions(text), F.array().cast("array<string>")))
     pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("__pii_m", write), lambda p, w: F.concat(p, F.coalesce(w, F.lit(""))))
