@@ -67,7 +67,7 @@ PARTS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{6}[ -]?\d{5}|\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7})(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)|\(\+?\d{1,4}\)|\+\d{1,3})(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)|\(\+?\d{1,4}\)|\+\d{1,3})(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])0\d{1,3}[ -]\d{6,8}(?![\w-])|(?<=\b(?i:tel|phone|telephone|mobile|mob|fax)\b[.:]{0,2}\s{0,2})[+(\d][\d ()./-]{6,16}\d(?!\d)",
     "name": rf"\b{_TITLE}\.?[ \t]{_NAME}(?:[ \t]{_NAME}){{0,2}}",
 }
 #: Order matters where two begin at one place.

@@ -16,6 +16,7 @@ TEXTS = {
     5: "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, SSN 123-45-6789, 2001:0db8:85a3:0000:0000:8a2e:0370:7334",
     6: "Clean at 12:30 on 2024-01-02: v1.2.3, 3.14, 1,000,000 and a=b; mail me @home. Chapter 5 (10) 20.",
     7: "foo@bar.com",
+    10: "Tel: 0612345678, phone +31612345678, 020-1234567.",
 }
 
 
@@ -55,6 +56,11 @@ def test_formats(done):
     assert re.search(r"SSN \d{3}-\d{2}-\d{4}", done[5].text) and re.search(r"([0-9a-f]{4}:){7}[0-9a-f]{4}", done[5].text)
 
 
+def test_labelled_phones(done):
+    m = re.fullmatch(r"Tel: (0\d{9}), phone (\+3\d{10}), (0\d\d-\d{7})\.", done[10].text)
+    assert m and not {m[1], m[2], m[3]} & {"0612345678", "+31612345678", "020-1234567"}
+
+
 def test_names(done):
     t = done[4].text
     m = re.match(r"Mr\. (\S+) (\S+) met Mrs\. (\S+) (\S+); Mr\. (\S+) left\. Frau (\S+) (\S+), г-н (\S+) (\S+), г-жа (\S+), κυρία (\S+)$", t)
