@@ -7,9 +7,9 @@ while the exact (Clopper-Pearson) upper bound of its false rejection rate stays
 share of ``ALPHA``; the first that fails ends the sequence, so each sequence spends its error
 probability once, and Bonferroni's correction divides ``DELTA`` by the number of sequences
 (strata times rules). With probability 1 - DELTA, then, no stratum loses more than ALPHA of its
-good documents to all rules together. Of the certified cutoffs the one that rejects most
-labelled bad documents is used, if it rejects bad documents at a higher rate than good ones;
-a stratum with too few labels to certify anything gets no cutoff.
+good documents to all rules together. Of the certified cutoffs the one is used for which the
+rate of rejected bad documents less WEIGHT times the rate of rejected good ones is largest, if
+that is positive; a stratum with too few labels to certify anything gets no cutoff.
 
 Edge cases: null text has no words and fails the base; a null language is a stratum of its own
 (``und``); documents without a word have the value 0 for all rules; labels that repeat a doc_id
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA, WEIGHT = 0.05, 0.05, 10
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Cutoffs of every rule are multiples of its unit, 1 to BINS; the largest rejects least.
 BINS = 400
@@ -126,14 +126,15 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
         good, bad = int(b["good"].sum()), int(b["bad"].sum())
         by = {int(x): (int(g), int(y)) for x, g, y in zip(b["bin"], b["good"], b["bad"])}
         false = true = 0
-        best = None
+        best, most = None, 0
         for cut in range(BINS, 0, -1):
             g, y = by.get(cut, (0, 0))
             false, true = false + g, true + y
             if not upper_bound_within(false, good, share, level):
                 break
-            if true and true * good > false * bad and (best is None or true > best[4]):
-                best = (cut, good, false, bad, true)
+            worth = true * good - WEIGHT * false * bad
+            if worth > most:
+                best, most = (cut, good, false, bad, true), worth
         if best:
             out.append((b["stratum"].iloc[0], b["rule"].iloc[0], *best))
         return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "n_false", "n_bad", "n_true"])
