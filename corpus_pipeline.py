@@ -19,6 +19,8 @@ from paperloom.llm import best_fit_packing, common, decontamination, language_id
 MIN_LANGUAGE_SCORE = 0.3
 PII_KEY = pii_surrogates.KEY
 OWNER = "pipeline"
+#: The operators' scratch tables that a stage's written result no longer needs.
+SCRATCH = {"near_dedup": near_dedup.OWNER, "decontamination": "decontamination", "pii_surrogates": pii_surrogates.OWNER}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +64,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
     docs = common.table(spark, sf_dir, "documents")
+    before = {owner: common.written(owner) for owner in SCRATCH.values()}
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"{OWNER}-{name}")
+        if name in SCRATCH:
+            common.drop(SCRATCH[name], spark, since=before[SCRATCH[name]])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +34,20 @@ def materialize(df: DataFrame, owner: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df_or_owner: str, spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables of an owner whose results have been written; the last ``keep`` stay."""
-    paths = _scratch.get(df_or_owner, [])
-    gone, left = paths[: len(paths) - keep], paths[len(paths) - keep :]
+def drop(owner: str, spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete an owner's scratch tables that nothing reads any more: those after the first ``since``, but the last ``keep``."""
+    paths = _scratch.get(owner, [])
+    end = len(paths) - keep
+    gone, _scratch[owner] = paths[since:end], paths[:since] + paths[max(since, end) :]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
         where = jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(conf).delete(where, True)
-    _scratch[df_or_owner] = left
+
+
+def written(owner: str) -> int:
+    """How many scratch tables an owner has now, for ``drop(since=...)``."""
+    return len(_scratch.get(owner, []))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,49 +78,20 @@ def utf8_len(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Bytes of rows that Spark hands to Python at once, unless the session says otherwise: whole texts come in any length.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; absent columns become nulls, so extra or clashing columns do no harm."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, _BATCH_DEFAULT) in (None, _BATCH_DEFAULT):
+        conf.set(_BATCH_CONF, BATCH_BYTES)
     low = {c: c for c in df.columns}
     return df.select(*[(df[f"`{low[c]}`"] if c in low else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-class Bloom:
-    """A filter of fixed size (8 MB) over long ids: it spares a shuffle of rows whose id isn't wanted.
-
-    It only ever lets too much through, so an exact join must follow; with far more ids than it
-    has room for it lets everything through.
-    """
-
-    BITS, HASHES = 1 << 26, 3
-
-    def __init__(self, ids: DataFrame, col: str) -> None:
-        import numpy as np
-
-        bits = ids.select(F.explode(F.array(*self._places(F.col(col)))).alias("b"))
-        words = bits.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-        table, found = np.zeros(self.BITS >> 6, dtype=np.int64), words.toArrow()
-        table[found.column("w").to_numpy()] = found.column("m").to_numpy()
-        self.sent = ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-    def _places(self, col: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(col.cast("long"), F.lit(i)), F.lit(self.BITS)).cast("long") for i in range(self.HASHES)]
-
-    def might(self, col: Column) -> Column:
-        sent = self.sent
-
-        @F.pandas_udf("boolean")
-        def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-            import numpy as np
-
-            ok = np.ones(len(a), dtype=bool)
-            for p in (a, b, c):
-                at = p.to_numpy().astype(np.uint64)
-                ok &= (sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return pd.Series(ok)
-
-        return test(*self._places(col))
-
-
 #: Tables of ids of up to this many rows (16 MB of longs) are broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 

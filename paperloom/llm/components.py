@@ -30,11 +30,13 @@ def components(edges: DataFrame, owner: str) -> DataFrame:
     Every step writes its edges to the shared folder; the steps needed grow with the logarithm
     of the longest path.
     """
+    before = common.written(owner)
     now = common.materialize(_distinct(edges.select("u", "v")), owner)
     seen = None
     while True:
         now = common.materialize(_small_star(_large_star(now)), owner)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
+            common.drop(owner, edges.sparkSession, since=before, keep=1)
             return now
         seen = sign

@@ -37,6 +37,8 @@ QUANTILE, ERRORS, MIN_TRUSTED = 0.995, 3.0, 50
 #: Log-perplexities are counted in steps of 1 / SCALE up to TOP for the quantiles.
 SCALE, TOP = 1000, 20
 OWNER = "kneser_ney"
+#: Tables that only ``classify`` itself reads; they go when it returns.
+WORK = "kneser_ney-work"
 
 
 def alphabet(docs: DataFrame) -> list[str]:
@@ -127,7 +129,7 @@ def probabilities(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order: (key, p) of the seen n-grams and (ctx, gamma) of the seen contexts."""
     levels, now = {ORDER: top}, top
     for n in range(ORDER - 1, 0, -1):
-        now = common.materialize(now.groupBy((F.col("key").bitwiseAND((1 << BITS * n) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")), OWNER)
+        now = common.materialize(now.groupBy((F.col("key").bitwiseAND((1 << BITS * n) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")), WORK)
         levels[n] = now
     out: dict[int, tuple[DataFrame, DataFrame]] = {}
     lower = None
@@ -144,8 +146,8 @@ def probabilities(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         else:
             suffix = F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1)
             back = joined.withColumn("suffix", suffix).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
-        p = common.materialize(back.select("key", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), OWNER)
-        out[n], lower = (p, common.materialize(ctx.select("ctx", "gamma"), OWNER)), p
+        p = common.materialize(back.select("key", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), WORK)
+        out[n], lower = (p, common.materialize(ctx.select("ctx", "gamma"), WORK)), p
     return out
 
 
@@ -204,7 +206,7 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
     """lang, threshold (of nll); the row with a null lang holds for all others."""
     step = F.least(F.floor(F.col("nll") * SCALE), F.lit(TOP * SCALE)).cast("int")
     seen = scored.where("nll is not null").join(trusted, "doc_id").groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    seen = common.materialize(seen, OWNER)
+    seen = common.materialize(seen, WORK)
     every = seen.unionByName(seen.groupBy("step").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
     upto = Window.partitionBy("lang").orderBy("step")
     ranked = every.withColumn("below", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
@@ -215,14 +217,14 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n, perplexity, threshold (a perplexity) and kept, for every document."""
     letters = alphabet(docs)
-    trusted = common.materialize(trusted_ids(labels), OWNER)
-    texts = common.pick(docs, doc_id="long", text="string").where(common.Bloom(trusted, "doc_id").might(F.col("doc_id")))
-    texts = texts.join(trusted.hint("merge"), "doc_id").select("text")  # the same way at every size
-    top = common.materialize(counts(texts, letters), OWNER)
+    trusted = common.materialize(trusted_ids(labels), WORK)
+    texts = common.pick(docs, doc_id="long", text="string").join(common.checked_broadcast(trusted), "doc_id").select("text")
+    top = common.materialize(counts(texts, letters), WORK)
     scored = common.materialize(score(docs, letters, collected(probabilities(top))), OWNER)
     cuts = {r["lang"]: r["threshold"] for r in thresholds(scored, trusted, quantile).limit(10_001).collect()}
     if len(cuts) > 10_000:
         raise ValueError("more than 10,000 languages")
+    common.drop(WORK, docs.sparkSession)
     whole = cuts.pop(None, float(TOP))
     given = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else F.create_map(F.lit(""), F.lit(whole))
     cut = F.coalesce(F.try_element_at(given, F.col("lang")), F.lit(whole))

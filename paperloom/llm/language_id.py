@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ WORDS_PER_LANGUAGE, GRAMS_PER_ORDER, MAX_ENTRIES = 60_000, 15_000, 600_000
 PENALTY = -7.0
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_FLUSH = 400_000
+_FLUSH, _MEMO = 250_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -91,6 +92,8 @@ def train(docs: DataFrame) -> dict:
             items[r["item"]] = len(scores)
             scores.append([PENALTY] * len(langs))
         scores[items[r["item"]]][at[r["lang"]]] = math.log10(r["c"] / totals[r["lang"], r["n"]])
+    model["scores"] = [np.array(x, dtype="float32").reshape(len(x), len(langs)) for x in model["scores"]]
+    common.drop("language_id", docs.sparkSession)
     return model
 
 
@@ -98,24 +101,21 @@ class Scorer:
     """Mean scores of texts under a model; keeps the scores of unseen words in a bounded memo."""
 
     def __init__(self, model: dict) -> None:
-        import numpy as np
-
-        self.np, self.langs, self.items = np, model["langs"], model["items"]
-        self.tables = [np.array(x, dtype="float64").reshape(len(x), len(self.langs)) for x in model["scores"]]
+        self.langs, self.items, self.tables = model["langs"], model["items"], model["scores"]
         self.memo: dict[str, object] = {}
 
     def unseen(self, word: str):
         found = self.memo.get(word)
         if found is None:
-            found = self.np.full(len(self.langs), PENALTY)
+            found = np.full(len(self.langs), PENALTY)
             padded = f" {word} "
             for n in ORDERS:
                 known = self.items[n]
                 rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
                 if rows:
-                    found = self.tables[n][rows].mean(axis=0)
+                    found = self.tables[n][rows].mean(axis=0, dtype="float64")
                     break
-            if len(self.memo) > 200_000:
+            if len(self.memo) > _MEMO:
                 self.memo.clear()
             self.memo[word] = found
         return found
@@ -124,9 +124,9 @@ class Scorer:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        np, known = self.np, self.items[WORD_ORDER]
+        known = self.items[WORD_ORDER]
         rows = [r for w in words if (r := known.get(w)) is not None]
-        total = self.tables[WORD_ORDER][rows].sum(axis=0) if rows else np.zeros(len(self.langs))
+        total = self.tables[WORD_ORDER][rows].sum(axis=0, dtype="float64") if rows else np.zeros(len(self.langs))
         if len(rows) < len(words):
             for w in words:
                 if w not in known:

@@ -33,6 +33,8 @@ THRESHOLD_PERCENT = 85
 BATCH, MISS = 32, 1e-6
 BLOCK = 256
 OWNER = "near_dedup"
+#: Tables that only ``groups`` itself reads; they go when it returns.
+WORK = "near_dedup-work"
 
 
 def least_matches(percent: int = THRESHOLD_PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
@@ -130,7 +132,7 @@ def compare_blocks(members: DataFrame, recs: DataFrame, percent: int) -> DataFra
     """
     steps = least_matches(percent)
     ranked = common.class_rank(members, ["cluster", "straggler"], ["rid", "label"], salts=16)
-    blocked = common.materialize(ranked.select("cluster", "rid", "label", F.when(F.col("straggler"), F.floor(F.col("rank") / BLOCK)).otherwise(-1 - F.floor(F.col("rank") / BLOCK)).alias("block")), OWNER)
+    blocked = common.materialize(ranked.select("cluster", "rid", "label", F.when(F.col("straggler"), F.floor(F.col("rank") / BLOCK)).otherwise(-1 - F.floor(F.col("rank") / BLOCK)).alias("block")), WORK)
     names = blocked.select("cluster", "block").distinct()
     i, j = names.select("cluster", F.col("block").alias("i")), names.select("cluster", F.col("block").alias("j"))
     meets = i.where("i >= 0").join(j, "cluster").where("j < 0 or j >= i").select("cluster", "i", "j")
@@ -193,28 +195,29 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     usable = base.where("key is not null and doc_id is not null")
     keys = common.materialize(usable.groupBy("key").agg(F.min("doc_id").alias("rid")), OWNER)
     reps = usable.join(keys, "key").where("doc_id = rid").select("rid", F.explode("bands").alias("band"))
-    reps = common.materialize(reps, OWNER)
+    reps = common.materialize(reps, WORK)
     # as a table of its own, so that a hot band's side of the join can be split
-    sizes = common.materialize(reps.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), OWNER)
-    met = common.materialize(reps.join(sizes, "band").select("band", "rid", "n"), OWNER)
+    sizes = common.materialize(reps.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), WORK)
+    met = common.materialize(reps.join(sizes, "band").select("band", "rid", "n"), WORK)
     popular = met.groupBy("rid").agg(F.sum("n").alias("met"))
     hubs = met.join(popular, "rid").groupBy("band").agg(F.max_by("rid", F.struct("met", -F.col("rid"))).alias("hub"))
-    pairs = common.materialize(met.join(hubs, "band").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct(), OWNER)
-    recs = common.materialize(records(docs, common.materialize(popular.select("rid"), OWNER)), OWNER)
-    first = common.materialize(verify(pairs, recs, percent), OWNER)
-    label = components.components(first, OWNER)
+    pairs = common.materialize(met.join(hubs, "band").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct(), WORK)
+    recs = common.materialize(records(docs, common.materialize(popular.select("rid"), WORK)), WORK)
+    first = common.materialize(verify(pairs, recs, percent), WORK)
+    label = components.components(first, WORK)
     # Buckets of two have had their only pair compared; larger ones may hold links between labels.
     labelled = met.where("n > 2").join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left").select("band", "rid", F.coalesce("l", "rid").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rid").alias("low")).where("lo <> hi")
-    open_ = common.materialize(labelled.join(mixed, "band").select("rid", "label", "low"), OWNER)
-    cluster = components.components(open_.select(F.col("rid").alias("u"), F.col("low").alias("v")), OWNER)
+    open_ = common.materialize(labelled.join(mixed, "band").select("rid", "label", "low"), WORK)
+    cluster = components.components(open_.select(F.col("rid").alias("u"), F.col("low").alias("v")), WORK)
     members = open_.select("rid", "label").distinct().join(cluster.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("rid", "label", F.coalesce("c", "rid").alias("cluster"))
-    members = common.materialize(members, OWNER)
+    members = common.materialize(members, WORK)
     main = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"))
     second = compare_blocks(members.join(main, "cluster").select("cluster", "rid", "label", (F.col("label") != F.col("main")).alias("straggler")), recs, percent)
     # A doc_id that stands on several texts is one document: its sets are linked.
     links = first.unionByName(second).unionByName(_several(usable, keys))
-    final = components.components(common.materialize(links, OWNER), OWNER)
+    final = components.components(common.materialize(links, WORK), OWNER)
+    common.drop(WORK, docs.sparkSession)
     at = keys.join(final.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").select("key", F.coalesce("c", "rid").alias("c"))
     out = base.join(at, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

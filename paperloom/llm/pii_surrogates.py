@@ -30,6 +30,8 @@ from . import common
 KEY = "paperloom surrogate key"
 WIDEN = 6
 OWNER = "pii_surrogates"
+#: Tables that only ``replace`` itself reads; they go when it returns.
+WORK = "pii_surrogates-work"
 
 # Titles with the gender of who bears them, given names, and syllables.
 TITLES = {
@@ -287,7 +289,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, attempt (over 0) of the entities whose first surrogates were taken."""
-    found = common.materialize(found, OWNER)
+    found = common.materialize(found, WORK)
     group = F.substring_index("kind", "_", 1)  # names keep apart across genders as well
     taken = found.select(group.alias("g"), F.lower("canon").alias("s"))
     held, todo, attempt, out = None, found, 0, None
@@ -299,7 +301,7 @@ def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
         tried = tried.join(held.select("g", "s", F.lit(True).alias("held")), ["g", "s"], "left") if held is not None else tried.withColumn("held", F.lit(None).cast("boolean"))
         first = tried.groupBy("g", "s").agg(F.min(F.struct("kind", "canon")).alias("first"))
         tried = tried.join(first, ["g", "s"]).withColumn("ok", ~F.col("real") & F.col("held").isNull() & (F.struct("kind", "canon") == F.col("first")))
-        tried = common.materialize(tried.select("kind", "canon", "g", "s", "ok"), OWNER)
+        tried = common.materialize(tried.select("kind", "canon", "g", "s", "ok"), WORK)
         good = tried.where("ok").select("g", "s")
         held = good if held is None else held.unionByName(good)
         if attempt:
@@ -315,6 +317,7 @@ def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with every entity of ``text`` replaced; the other columns stay, and _n_entities is added."""
     moved = common.materialize(exceptions(entities(docs), key), OWNER)
+    common.drop(WORK, docs.sparkSession)
     text, rows = F.col("text").cast("string"), docs
     no_map = F.lit(None).cast("map<string,int>")
     if moved.limit(1).count():

@@ -33,6 +33,8 @@ from . import common
 
 LENGTH, CORE, BATCHES, LARGE = 200, 64, 4, 4000
 OWNER = "suffix_dedup"
+#: Tables that only ``repeated`` itself reads; they go when it returns.
+WORK = "suffix_dedup-work"
 
 
 def cores(data: bytes, core: int = CORE):
@@ -271,28 +273,31 @@ def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, batches: i
     texts = _texts(docs)
     base = common.materialize(texts.select("doc_id", "h", "n", F.sha2("text", 256).alias("sha")), OWNER)
     whole = base.groupBy("h", "n").agg(F.count(F.lit(1)).alias("copies")).where(f"copies > 1 and n >= {length}").select("h", "n")
-    each = common.materialize(_all_runs(texts, length, core), OWNER)
+    each = common.materialize(_all_runs(texts, length, core), WORK)
     place = F.struct("h", "n", "s")
     twice = each.groupBy("core").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("core")
+    twice = common.materialize(twice, WORK)  # as a table of its own, a hot core's side of the join can be split
     flagged = each.join(twice.hint("merge"), "core").groupBy("h", "n").agg(F.collect_set(F.struct("s", "k", "core")).alias("runs"))
-    flagged = common.materialize(flagged, OWNER)
-    some = texts.where(common.Bloom(flagged, "h").might(F.col("h"))).groupBy("h", "n").agg(F.first("text").alias("text"))
-    some = common.materialize(some.join(flagged, ["h", "n"]).select("h", "n", "text", "runs"), OWNER)
-    segs = common.materialize(_segments(some, length), OWNER)
+    flagged = common.materialize(flagged, WORK)
+    wanted = common.checked_broadcast(common.materialize(flagged.select(F.col("h").alias("_h")).distinct(), WORK))
+    some = texts.join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h", "n").agg(F.first("text").alias("text"))
+    some = common.materialize(some.join(flagged, ["h", "n"]).select("h", "n", "text", "runs"), WORK)
+    segs = common.materialize(_segments(some, length), WORK)
     kinds = segs.groupBy("sid", "core").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "n", "s")).alias("first"))
-    kinds = common.materialize(kinds, OWNER)
+    kinds = common.materialize(kinds, WORK)
     shared = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     apart = kinds.join(shared, "core").select("core", "sid", "m", "first.*")
     apart = segs.join(apart, ["core", "sid", "h", "n", "s"]).select("core", "sid", "m", "seg")
-    apart = common.materialize(apart, OWNER)
+    apart = common.materialize(apart, WORK)
     found = family(apart.where(F.col("m") <= LARGE).drop("m"), length, batches)
     if apart.where(F.col("m") > LARGE).limit(1).count():
         found = found.unionByName(_by_hash(apart.where(F.col("m") > LARGE), length))
-    found = common.materialize(found, OWNER)
+    found = common.materialize(found, WORK)
     alike = segs.join(kinds.where("c > 1").select("sid", "core"), ["sid", "core"]).select("h", "n", F.col("s").alias("lo"), (F.col("s") + F.col("k")).alias("hi"))
     near = segs.select("h", "n", "s", "sid").join(found, "sid").select("h", "n", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
     marks = alike.unionByName(near).groupBy("h", "n").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
     cut = common.materialize(_cut(some.select("h", "n", "text").join(marks, ["h", "n"]), length), OWNER)
+    common.drop(WORK, docs.sparkSession)
     gone = whole.withColumn("gone", F.lit(True))
     out = base.join(gone, ["h", "n"], "left").join(cut, ["h", "n"], "left")
     empty = F.sha2(F.lit(""), 256)
