@@ -34,7 +34,10 @@ def _groups(s: Column, pattern: str, n: int) -> list[Column]:
 
 def parse(raw: Column) -> Column:
     """The first of six forms that gives a valid moment: ISO, short weekday M/D/Y, long weekday, weekday D month Y, D-M-Y, D month Y anywhere."""
-    s = T.strip(raw)
+    return T.once(T.strip(raw), _parse)
+
+
+def _parse(s: Column) -> Column:
     y, mo, d, h, mi = _groups(s, r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{2}))?$", 5)
     iso = _at(y, mo, d, h, mi)
     mo, d, y = _groups(s, r"(?U)^\w{2,5}\.?\s+(\d{1,2})/(\d{1,2})/(\d{4})", 3)
@@ -73,7 +76,7 @@ def document_date(doc_date: Column, category: Column, text: Column, email_dates:
     made = lambda raw: T.once(parse(raw), lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), raw.alias("raw"))))
     given = made(T.blank_to_null(T.strip(doc_date)))
     mails = F.try_element_at(F.filter(F.transform(email_dates, made), lambda x: x.isNotNull()), F.lit(1))
-    field = F.when(category.isin(*T.MEMO_LIKE), made(datum_raw(text)))
+    field = F.when(category.isin(*T.MEMO_LIKE), T.once(datum_raw(text), made))
     by_category = F.when(category == "E-mail", F.coalesce(mails, none)).otherwise(F.coalesce(field, scan(text)))
     return F.coalesce(given, by_category)
 

@@ -231,10 +231,10 @@ def category_scores(text: Column, first_page: Column) -> dict[str, Column]:
 
 def keyword_category(text: Column, first_page: Column) -> Column:
     """The rule set with most hits; the first of equals; Other without any."""
-    scores = category_scores(text, first_page)
-    labels = F.array(*[F.lit(k) for k in scores])
-    best = lambda a: F.when(F.array_max(a) > 0, F.element_at(labels, F.array_position(a, F.array_max(a)).cast("int"))).otherwise("Other")
-    return once(F.array(*scores.values()), best)
+    both = F.struct(text.alias("t"), first_page.alias("f"))
+    scores = once(both, lambda s: F.array(*category_scores(s["t"], s["f"]).values()))
+    labels = F.array(*[F.lit(k) for k in RULES])
+    return once(scores, lambda a: F.when(F.array_max(a) > 0, F.element_at(labels, F.array_position(a, F.array_max(a)).cast("int"))).otherwise("Other"))
 
 
 # -- cards ---------------------------------------------------------------------------------------
@@ -310,17 +310,21 @@ def redacted_addresses(text: Column) -> Column:
     return F.regexp_replace(text, r"(?iU)<\s*,?\s*@([\w.-]+\.\w{2,})\s*>", "<[GELAKT]@$1>")
 
 
+def _until_header(block: Column) -> Column:
+    """The lines before the first blank line or header field."""
+    stop = F.array_position(F.transform(block, lambda x: ~x.rlike(r"(?U)\S") | header_field(x).isNotNull()), F.lit(True)).cast("int")
+    return once(stop, lambda k: F.when(k > 0, F.slice(block, F.lit(1), k - 1)).otherwise(block))
+
+
 def header_value(block: Column, names: str, multiline: bool = False, within: int = 15) -> Column:
     """The value of the first header line of these names; over more lines, up to a blank line or the next field."""
     pattern = rf"(?iU)^[ \t]*(?:{names})\s*:\s*(.+)"
     at = F.array_position(F.transform(F.slice(block, 1, within), lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
-    first = strip(F.regexp_extract(F.try_element_at(block, at), pattern, 1))
+    first = lambda k: strip(F.regexp_extract(F.element_at(block, k), pattern, 1))
     if not multiline:
-        return F.when(at > 0, first)
-    rest = F.slice(block, at + 1, F.size(block))
-    stop = F.array_position(F.transform(rest, lambda x: ~x.rlike(r"(?U)\S") | header_field(x).isNotNull()), F.lit(True)).cast("int")
-    more = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    return F.when(at > 0, F.array_join(F.filter(F.concat(F.array(first), F.transform(more, strip)), lambda x: x != ""), " "))
+        return once(at, lambda k: F.when(k > 0, first(k)))
+    more = lambda k: once(F.slice(block, k + 1, F.size(block)), _until_header)
+    return once(at, lambda k: F.when(k > 0, F.array_join(F.filter(F.concat(F.array(first(k)), F.transform(more(k), strip)), lambda x: x != ""), " ")))
 
 
 def attachments(block: Column) -> Column:
@@ -341,11 +345,9 @@ def attachments(block: Column) -> Column:
 def attachments_near_subject(block: Column) -> Column:
     """File names in the five lines after the subject, up to a blank line or header field."""
     at = F.array_position(F.transform(F.slice(block, 1, 15), is_subject), F.lit(True)).cast("int")
-    near = F.slice(block, at + 1, 5)
-    stop = F.array_position(F.transform(near, lambda x: ~x.rlike(r"(?U)\S") | header_field(x).isNotNull()), F.lit(True)).cast("int")
-    near = F.when(stop > 0, F.slice(near, F.lit(1), stop - 1)).otherwise(near)
-    names = F.flatten(F.transform(near, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?iU)({FILENAME})"), F.lit(1)), strip)))
-    return F.when(at > 0, F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
+    near = lambda k: once(F.slice(block, k + 1, 5), _until_header)
+    names = lambda k: F.flatten(F.transform(near(k), lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?iU)({FILENAME})"), F.lit(1)), strip)))
+    return once(at, lambda k: F.when(k > 0, F.array_distinct(names(k))).otherwise(F.array().cast("array<string>")))
 
 
 # -- chats ----------------------------------------------------------------------------------------

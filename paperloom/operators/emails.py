@@ -18,7 +18,7 @@ EMAIL = "struct<subject:string,sender:string,to:string,cc:string,date:string,tim
 def split_points(lines: Column) -> Column:
     """0-based line numbers where an e-mail begins: a separator; a field seen already; or a field after body text with a subject near."""
     marked = F.transform(lines, lambda x: F.struct(T.is_separator(x).alias("sep"), T.header_field(x).alias("field"), T.is_subject(x).alias("subject")))
-    ahead = F.transform(marked, lambda x, i: F.struct(x["sep"].alias("sep"), x["field"].alias("field"), F.exists(F.slice(marked, i + 1, SUBJECT_WINDOW), lambda y: y["subject"]).alias("near")))
+    ahead = T.once(marked, lambda m: F.transform(m, lambda x, i: F.struct(x["sep"].alias("sep"), x["field"].alias("field"), F.exists(F.slice(m, i + 1, SUBJECT_WINDOW), lambda y: y["subject"]).alias("near"))))
     start = F.struct(
         F.lit(0).alias("i"), F.lit(False).alias("head"), F.array().cast("array<string>").alias("seen"), F.lit(-999).alias("last"),
         F.lit(0).alias("body"), F.array().cast("array<int>").alias("cuts"),
@@ -40,14 +40,15 @@ def split_points(lines: Column) -> Column:
 
 
 def _email(block: Column) -> Column:
-    day = D.email_date(T.header_value(block, "sent|verzonden|datum|date"))
-    near = F.array_except(T.attachments_near_subject(block), T.attachments(block))
-    return F.struct(
+    files = T.once(T.attachments(block), lambda a: F.concat(a, F.array_except(T.attachments_near_subject(block), a)))
+    made = lambda day: F.struct(
         T.header_value(block, "subject|onderwerp|betreft").alias("subject"), T.header_value(block, "from|van|afzender").alias("sender"),
         T.header_value(block, "to|aan", True).alias("to"), T.header_value(block, "cc", True).alias("cc"),
         D.email_day(day).alias("date"), F.when(F.contains(day, F.lit("T")), D.email_time(day)).alias("time"),
-        F.concat(T.attachments(block), near).alias("attachments"), T.strip(F.array_join(block, "\n")).alias("text"), F.lit(None).cast("string").alias("warning"),
-    ).cast(EMAIL)
+        files.alias("attachments"), T.strip(F.array_join(block, "\n")).alias("text"), F.lit(None).cast("string").alias("warning"),
+    )
+    raw = T.header_value(block, "sent|verzonden|datum|date")
+    return T.once(T.once(raw, D.email_date), made).cast(EMAIL)
 
 
 def _block(text: Column, warning: str) -> Column:
