@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is found; text without a letter, and null text, goes."""
     model = language_id.train(docs.where(~language_id.held_out()))
     keep = {f.name: f.dataType.simpleString() for f in docs.schema}
-    found = language_id.identify(docs, model, keep)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs, model, keep, ("_found_language", "_found_score"))
+    return found.where((F.col("_found_language") != language_id.UNKNOWN) & (F.col("_found_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,8 +136,8 @@ class Scorer:
         return self.langs[best], float(1 / margin.sum())
 
 
-def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None) -> DataFrame:
-    """The columns ``keep`` (name: type) of docs, which include text, and lang_pred and score."""
+def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (name: type) of docs, which include text, and the language and its score under the names ``to``."""
     keep = keep or {"doc_id": "long", "text": "string"}
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
@@ -149,9 +149,9 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None) -
         for batch in batches:
             got = [scorer.predict(t.as_py()) for t in batch.column(names.index("text"))]
             cols = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, *to])
 
-    return common.pick(docs, **keep).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in keep.items()) + ", lang_pred string, score double")
+    return common.pick(docs, **keep).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in keep.items()) + f", {to[0]} string, {to[1]} double")
 
 
 def held_out(doc_id="doc_id"):

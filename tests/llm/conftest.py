@@ -41,7 +41,7 @@ def odd(spark):
         (7, "12345 !!! 678", "de", "s"), (8, "Ünï çödé 日本語 текст <|endoftext|> 😀", "es", "s"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    return df.selectExpr("*", "length(text) as n_chars", "'x' as rank", "1 as _salt", "2 as h", "3 as words", "4 as size", "5 as shard", "6 as length")
+    return df.selectExpr("*", "length(text) as n_chars", "'x' as rank", "1 as _salt", "2 as h", "3 as words", "4 as size", "5 as shard", "6 as length", "7.0D as score", "'y' as lang_pred", "8 as term", "9 as _n", "10 as pos", "11 as key")
 
 
 @pytest.fixture(scope="session")
