@@ -34,7 +34,7 @@ from . import common
 LENGTH, CORE, BATCHES, LARGE = 200, 64, 4, 4000
 OWNER = "suffix_dedup"
 #: Tables that only ``repeated`` itself reads; they go when it returns.
-WORK = "suffix_dedup-work"
+WORK, RUNS = "suffix_dedup-work", "suffix_dedup-runs"
 
 
 def cores(data: bytes, core: int = CORE):
@@ -273,12 +273,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, batches: i
     texts = _texts(docs)
     base = common.materialize(texts.select("doc_id", "h", "n", F.sha2("text", 256).alias("sha")), OWNER)
     whole = base.groupBy("h", "n").agg(F.count(F.lit(1)).alias("copies")).where(f"copies > 1 and n >= {length}").select("h", "n")
-    each = common.materialize(_all_runs(texts, length, core), WORK)
-    place = F.struct("h", "n", "s")
+    each = common.materialize(_all_runs(texts, length, core), RUNS)
+    place = F.xxhash64("h", "n", "s")
     twice = each.groupBy("core").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("core")
-    twice = common.materialize(twice, WORK)  # as a table of its own, a hot core's side of the join can be split
+    twice = common.materialize(twice, RUNS)  # as a table of its own, a hot core's side of the join can be split
     flagged = each.join(twice.hint("merge"), "core").groupBy("h", "n").agg(F.collect_set(F.struct("s", "k", "core")).alias("runs"))
     flagged = common.materialize(flagged, WORK)
+    common.drop(RUNS, docs.sparkSession)
     wanted = common.checked_broadcast(common.materialize(flagged.select(F.col("h").alias("_h")).distinct(), WORK))
     some = texts.join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h", "n").agg(F.first("text").alias("text"))
     some = common.materialize(some.join(flagged, ["h", "n"]).select("h", "n", "text", "runs"), WORK)
