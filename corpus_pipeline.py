@@ -17,6 +17,8 @@ from paperloom.llm import best_fit_packing, common, decontamination, language_id
 
 #: A document goes if its language is undetermined, or hardly likelier than chance.
 MIN_LANGUAGE_SCORE = 0.3
+#: Documents that are this alike (Jaccard, in percent) are near duplicates; op9's own contract is 85.
+NEAR_PERCENT = 80
 PII_KEY = pii_surrogates.KEY
 OWNER = "pipeline"
 #: The operators' scratch tables that a stage's written result no longer needs.
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return near_dedup.unique(docs)
+    return near_dedup.unique(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

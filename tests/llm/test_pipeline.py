@@ -37,6 +37,16 @@ def test_stages(spark, sf):
     assert sorted(map(key, got)) == sorted(map(key, rows))
 
 
+def test_near_duplicates_at_80(spark):
+    """Copies between 0.80 and 0.85 go as well."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {d for d, (_, c) in brute(rows, 80).items() if c == d}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == kept
+    assert len(kept) < sum(c == d for d, (_, c) in brute(rows).items())
+
+
 def test_odd_rows(spark, sf, odd, nothing):
     for df in (odd, nothing):
         for name, stage in corpus_pipeline.STAGES:
