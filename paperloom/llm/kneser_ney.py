@@ -1,19 +1,20 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams.
 
 Method: the trusted texts (documents labelled of good quality and not toxic) give counts of
-n-grams of order ``ORDER`` over an alphabet of at most ``SYMBOLS`` symbols. Lower orders use
+n-grams of order ``ORDER`` over all characters of the corpus. Lower orders use
 continuation counts. Counts are sharded by n-gram; context totals, discounts (D1, D2, D3+ from
 the counts of counts, per order) and the interpolated probabilities come from joins of those
-shards on context and on suffix. A document's perplexity is that of its whole text under the
+shards on context and on suffix. Documents get their log-probabilities from the whole model, which
+is broadcast where its counted n-grams are at most ``BROADCAST_NGRAMS``, and joined with the
+documents' own n-gram counts beyond, with the same result. A document's perplexity is that of its whole text under the
 model; it is kept unless its mean log-probability lies beyond its language's threshold by more
 than ``ERRORS`` standard errors, where the threshold is the ``QUANTILE`` of the trusted
 documents' log-perplexities in that language (in all languages together where fewer than
 ``MIN_TRUSTED`` trusted documents have it).
 
-Symbols: white space runs are one symbol, digits another; the most frequent other characters of
-the corpus have one each; the rest share one. The model so has at most SYMBOLS**ORDER n-grams
-(16.8 million; tens of thousands in practice), which bounds what is broadcast, at any corpus
-size; all counts cover all trusted text.
+Symbols: white space runs are one symbol, digits another; every other character of the corpus has
+one of its own. Keys of n-grams are longs, so symbols have up to 15 bits; with over ``DIRECT``
+characters, the rarer ones are written as two symbols each, as in UTF-16.
 
 Edge cases: null text, or text without a character other than white space, has no perplexity
 and isn't kept; a null language is ``und``; a doc_id labelled more than once is trusted if no
@@ -31,8 +32,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER, BITS = 4, 6
+#: The least number of symbols; BITS grows with the alphabet.
 SYMBOLS = 1 << BITS
 SPACE, DIGIT, OTHER, FIRST = 0, 1, 2, 3
+MOST_BITS, LEADS, TRAILS = 15, 1088, 1024
+DIRECT = (1 << MOST_BITS) - FIRST - LEADS - TRAILS
+#: A model of up to this many n-grams and contexts (32 MB) is broadcast for scoring.
+BROADCAST_NGRAMS = 2_000_000
+#: Symbols that are looked up at once.
+CHUNK = 1 << 20
 QUANTILE, ERRORS, MIN_TRUSTED = 0.995, 3.0, 50
 #: Log-perplexities are counted in steps of 1 / SCALE up to TOP for the quantiles.
 SCALE, TOP = 1000, 20
@@ -42,7 +50,7 @@ WORK = "kneser_ney-work"
 
 
 def alphabet(docs: DataFrame) -> list[str]:
-    """The characters with a symbol of their own, most frequent first (at most SYMBOLS - 3)."""
+    """The characters with a symbol of their own, most frequent first: all but white space and digits."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -59,7 +67,13 @@ def alphabet(docs: DataFrame) -> list[str]:
     counts = common.pick(docs, text="string").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     # at most as many rows as Unicode has code points
     rows = sorted(counts.collect(), key=lambda r: (-r["n"], r["code"]))
-    return [c for c in (chr(r["code"]) for r in rows) if not c.isspace() and not c.isdigit()][: SYMBOLS - FIRST]
+    return [c for c in (chr(r["code"]) for r in rows) if not c.isspace() and not c.isdigit()]
+
+
+def width(letters: list[str]) -> tuple[int, int]:
+    """(bits of a symbol, number of symbols) of an alphabet."""
+    size = max(SYMBOLS, FIRST + len(letters)) if len(letters) <= DIRECT else 1 << MOST_BITS
+    return (size - 1).bit_length(), size
 
 
 class Coder:
@@ -70,31 +84,41 @@ class Coder:
 
         self.np = np
         self.of = np.full(0x110000, OTHER, dtype=np.int32)
-        for c in range(0x3100):
+        for c in range(0x20000):  # all digits and white space of Unicode
             if chr(c).isspace():
                 self.of[c] = SPACE
             elif chr(c).isdigit():
                 self.of[c] = DIGIT
-        for i, c in enumerate(letters):
+        self.bits, _ = width(letters)
+        direct = len(letters) if len(letters) <= DIRECT else DIRECT
+        for i, c in enumerate(letters[:direct]):
             self.of[ord(c)] = FIRST + i
+        self.trail = np.full(0x110000, -1, dtype=np.int32) if len(letters) > direct else None
+        for i, c in enumerate(letters[direct:]):
+            self.of[ord(c)] = FIRST + DIRECT + i // TRAILS
+            self.trail[ord(c)] = FIRST + DIRECT + LEADS + i % TRAILS
 
     def keys(self, text: str | None):
         """The key of the n-gram that ends at each symbol; the text is preceded by spaces."""
         np = self.np
         if not text:
-            return np.empty(0, dtype=np.int32)
-        s = self.of[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+            return np.empty(0, dtype=np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        s = self.of[codes]
+        if self.trail is not None:
+            both = np.stack([s, self.trail[codes]], axis=1).reshape(-1)
+            s = both[both >= 0]
         space = s == SPACE
         keep = ~space
         keep[1:] |= space[1:] & ~space[:-1]
         s = s[keep]
         if not s.any():
-            return np.empty(0, dtype=np.int32)
+            return np.empty(0, dtype=np.int64)
         s = s[1:] if s[0] == SPACE else s
-        padded = np.concatenate([np.zeros(ORDER - 1, dtype=np.int32), s])
-        key = np.zeros(len(s), dtype=np.int32)
+        padded = np.concatenate([np.zeros(ORDER - 1, dtype=np.int64), s])
+        key = np.zeros(len(s), dtype=np.int64)
         for i in range(ORDER):
-            key = (key << BITS) | padded[i : i + len(s)]
+            key = (key << self.bits) | padded[i : i + len(s)]
         return key
 
 
@@ -105,15 +129,13 @@ def counts(texts: DataFrame, letters: list[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        coder, total = Coder(letters), np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+        coder = Coder(letters)
         for batch in batches:
             keys = [coder.keys(t.as_py()) for t in batch.column(0)]
-            found, n = np.unique(np.concatenate(keys) if keys else np.empty(0, dtype=np.int32), return_counts=True)
-            total[found] += n
-        (found,) = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["key", "c"])
+            found, n = np.unique(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["key", "c"])
 
-    return texts.select("text").mapInArrow(run, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -125,11 +147,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 <= d <= k else f for d, k, f in zip(found, (1, 2, 3), (0.5, 0.75, 0.9)))
 
 
-def probabilities(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+def probabilities(top: DataFrame, bits: int = BITS, size: int = SYMBOLS) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order: (key, p) of the seen n-grams and (ctx, gamma) of the seen contexts."""
     levels, now = {ORDER: top}, top
     for n in range(ORDER - 1, 0, -1):
-        now = common.materialize(now.groupBy((F.col("key").bitwiseAND((1 << BITS * n) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")), WORK)
+        now = common.materialize(now.groupBy((F.col("key").bitwiseAND((1 << bits * n) - 1)).alias("key")).agg(F.count(F.lit(1)).alias("c")), WORK)
         levels[n] = now
     out: dict[int, tuple[DataFrame, DataFrame]] = {}
     lower = None
@@ -138,13 +160,13 @@ def probabilities(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         seen = levels[n].agg(*[F.count(F.when(c == k, 1)) for k in (1, 2, 3, 4)]).first()
         d = discounts(*seen)
         off = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        each = levels[n].select("key", "c", F.shiftright("key", BITS).alias("ctx"), off.alias("d"))
+        each = levels[n].select("key", "c", F.shiftright("key", bits).alias("ctx"), off.alias("d"))
         ctx = each.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed")).select("ctx", "total", (F.col("freed") / F.col("total")).alias("gamma"))
         joined = each.join(ctx, "ctx")
         if lower is None:
-            back = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
+            back = joined.withColumn("q", F.lit(1.0 / size))
         else:
-            suffix = F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1)
+            suffix = F.col("key").bitwiseAND((1 << bits * (n - 1)) - 1)
             back = joined.withColumn("suffix", suffix).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix")
         p = common.materialize(back.select("key", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), WORK)
         out[n], lower = (p, common.materialize(ctx.select("ctx", "gamma"), WORK)), p
@@ -152,27 +174,40 @@ def probabilities(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
 
 
 def collected(found: dict[int, tuple[DataFrame, DataFrame]]) -> dict[int, tuple]:
-    """The probabilities as arrays, bounded by SYMBOLS**ORDER n-grams."""
+    """The probabilities as arrays, sorted by key; for models within BROADCAST_NGRAMS."""
     out = {}
     for n, (p, gamma) in found.items():
-        a, b = p.toPandas(), gamma.toPandas()
-        out[n] = a["key"].to_numpy("int32"), a["p"].to_numpy("float32"), b["ctx"].to_numpy("int32"), b["gamma"].to_numpy("float32")
+        a, b = p.toPandas().sort_values("key"), gamma.toPandas().sort_values("ctx")
+        out[n] = a["key"].to_numpy("int64"), a["p"].to_numpy("float64"), b["ctx"].to_numpy("int64"), b["gamma"].to_numpy("float64")
     return out
 
 
-def dense(model: dict[int, tuple]):
-    """Natural log-probability of every n-gram key of the highest order."""
+def log_probabilities(model: dict[int, tuple], keys, bits: int = BITS, size: int = SYMBOLS):
+    """Natural log-probability of each n-gram key of the highest order."""
     import numpy as np
 
-    p = np.full(SYMBOLS, 1 / SYMBOLS, dtype=np.float32)
+    def look(where, what, wanted, otherwise):
+        if not len(where):
+            return otherwise
+        at = np.minimum(np.searchsorted(where, wanted), len(where) - 1)
+        return np.where(where[at] == wanted, what[at], otherwise)
+
+    p = np.full(len(keys), 1 / size)
     for n in range(1, ORDER + 1):
         key, prob, ctx, gamma = model[n]
-        weight = np.ones(SYMBOLS ** (n - 1), dtype=np.float32)
-        weight[ctx] = gamma
-        # a context's row of the lower order is that of the context without its first symbol
-        p = np.multiply(weight.reshape(SYMBOLS if n > 1 else 1, -1, 1), p.reshape(1, -1, SYMBOLS)).reshape(-1)
-        p[key] = prob
-    return np.log(p, out=p)
+        low = keys & ((1 << bits * n) - 1)
+        p = look(key, prob, low, p * look(ctx, gamma, low >> bits, np.ones(len(keys))))
+    return np.log(p)
+
+
+def dense(model: dict[int, tuple]):
+    """Natural log-probability of every n-gram key of the highest order, for an alphabet within SYMBOLS."""
+    import numpy as np
+
+    return log_probabilities(model, np.arange(SYMBOLS**ORDER, dtype=np.int64))
+
+
+_ROWS = "doc_id long, lang string, n long, nll double, error double"
 
 
 def score(docs: DataFrame, letters: list[str], model: dict[int, tuple]) -> DataFrame:
@@ -183,18 +218,69 @@ def score(docs: DataFrame, letters: list[str], model: dict[int, tuple]) -> DataF
         import numpy as np
         import pyarrow as pa
 
-        coder, table = Coder(sent.value[0]), dense(sent.value[1])
+        coder, (bits, size) = Coder(sent.value[0]), width(sent.value[0])
+
+        def looked_up(keys: list) -> Iterator:
+            seen, at = np.unique(np.concatenate(keys), return_inverse=True)
+            got, end = log_probabilities(sent.value[1], seen, bits, size)[at], 0
+            for k in keys:
+                yield got[end : end + len(k)]
+                end += len(k)
+
+        def scored(texts) -> Iterator:
+            held, n = [], 0
+            for t in texts:
+                held.append(coder.keys(t.as_py()))
+                n += len(held[-1])
+                if n >= CHUNK:
+                    yield from looked_up(held)
+                    held, n = [], 0
+            if held:
+                yield from looked_up(held)
+
         for batch in batches:
             n, nll, error = [], [], []
-            for t in batch.column(2):
-                got = table[coder.keys(t.as_py())].astype(np.float64)
+            for got in scored(batch.column(2)):
                 n.append(len(got))
                 nll.append(float(-got.mean()) if len(got) else None)
                 error.append(float(got.std() / np.sqrt(len(got))) if len(got) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64()), pa.array(error, pa.float64())], names=["doc_id", "lang", "n", "nll", "error"])
 
     rows = common.pick(docs, doc_id="long", lang="string", text="string")
-    return rows.withColumn("lang", F.coalesce("lang", F.lit("und"))).mapInArrow(run, "doc_id long, lang string, n long, nll double, error double")
+    return rows.withColumn("lang", F.coalesce("lang", F.lit("und"))).mapInArrow(run, _ROWS)
+
+
+def joined_score(docs: DataFrame, letters: list[str], found: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """As ``score``, for models of any size: n-grams counted by text are joined with the sharded model."""
+    bits, size = width(letters)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        coder = Coder(letters)
+        for batch in batches:
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, c = np.unique(coder.keys(t.as_py()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(c, pa.int64())], names=["h", "key", "c"])
+
+    rows = common.pick(docs, doc_id="long", lang="string", text="string").withColumn("h", F.sha2("text", 256))
+    grams = common.materialize(rows.select("h", "text").where("text is not null").mapInArrow(run, "h string, key long, c long"), WORK)
+    known = grams.select("key").distinct().withColumn("q", F.lit(1.0 / size))
+    for n in range(1, ORDER + 1):
+        p, gamma = found[n]
+        low = F.col("key").bitwiseAND((1 << bits * n) - 1)
+        at = known.withColumn("low", low).withColumn("ctx", F.shiftright(low, bits))
+        at = at.join(gamma, "ctx", "left").join(p.withColumnRenamed("key", "low"), "low", "left")
+        known = common.materialize(at.select("key", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q")), WORK)
+    # repeated texts count repeatedly on both sides of each mean
+    lp, c = F.log("q"), F.col("c")
+    sums = grams.join(known, "key").groupBy("h").agg(F.sum(c).alias("m"), F.sum(c * lp).alias("s"), F.sum(c * lp * lp).alias("s2"))
+    copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
+    mean = F.col("s") / F.col("m")
+    each = sums.join(copies, "h").select("h", (F.col("m") / F.col("copies")).cast("long").alias("n"), (-mean).alias("nll"), F.sqrt(F.greatest(F.col("s2") / F.col("m") - mean * mean, F.lit(0.0))).alias("sd"))
+    done = rows.drop("text").join(each, "h", "left")
+    return done.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nll", (F.col("sd") / F.sqrt("n")).alias("error"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -220,7 +306,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     trusted = common.materialize(trusted_ids(labels), WORK)
     texts = common.pick(docs, doc_id="long", text="string").join(common.checked_broadcast(trusted), "doc_id").select("text")
     top = common.materialize(counts(texts, letters), WORK)
-    scored = common.materialize(score(docs, letters, collected(probabilities(top))), OWNER)
+    found = probabilities(top, *width(letters))
+    fits = sum(x.count() for level in found.values() for x in level) <= BROADCAST_NGRAMS
+    scored = common.materialize(score(docs, letters, collected(found)) if fits else joined_score(docs, letters, found), OWNER)
     cuts = {r["lang"]: r["threshold"] for r in thresholds(scored, trusted, quantile).limit(10_001).collect()}
     if len(cuts) > 10_000:
         raise ValueError("more than 10,000 languages")

@@ -66,6 +66,27 @@ def test_probabilities(spark):
         assert abs(np.exp(table.reshape(-1, K.SYMBOLS)[ctx].astype("float64")).sum() - 1) < 1e-3
 
 
+def test_all_symbols(spark):
+    """No character shares a symbol, in any script, and the joins score as the broadcast does."""
+    import numpy as np
+
+    wide = "".join(chr(0x4E00 + i) for i in range(300))
+    texts = ["a cat sat on the mat " * 3, wide, "Zażółć gęślą jaźń, ЖЁЩ ждёт", wide[::-1], wide[:40], wide[:40], "Ж", " ", None]
+    df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    letters = K.alphabet(df)
+    coder = K.Coder(letters)
+    assert int(coder.keys("７")[0]) == K.DIGIT and set(letters) == {c for t in texts if t for c in t if not c.isspace()} and len({int(coder.keys(c)[0]) for c in letters}) == len(letters)
+    found = K.probabilities(K.counts(df.limit(3), letters), *K.width(letters))
+    a, b = [{r.doc_id: r for r in x.collect()} for x in (K.score(df, letters, K.collected(found)), K.joined_score(df, letters, found))]
+    assert a.keys() == b.keys() and all(a[i].n == b[i].n for i in a)
+    assert all((a[i].nll is None) == (b[i].nll is None) and abs((a[i].nll or 0) - (b[i].nll or 0)) < 1e-9 for i in a)
+    assert a[1].nll < a[3].nll - 1  # learnt in this order
+    many = [chr(c) for c in range(0x3400, 0x3400 + K.DIRECT + 3000) if not 0xD800 <= c < 0xE000]
+    big = K.Coder(many)
+    assert K.width(many) == (K.MOST_BITS, 1 << K.MOST_BITS)
+    assert len({tuple(big.keys(c).tolist()) for c in many}) == len(many) and np.all(big.keys("".join(many)) >= 0)
+
+
 def test_verdicts(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, sf).collect()}
