@@ -7,10 +7,10 @@ the counts of counts, per order) and the interpolated probabilities come from jo
 shards on context and on suffix. Documents get their log-probabilities from the whole model, which
 is broadcast where its counted n-grams are at most ``BROADCAST_NGRAMS``, and joined with the
 documents' own n-gram counts beyond, with the same result. A document's perplexity is that of its whole text under the
-model; it is kept unless its mean log-probability lies beyond its language's threshold by more
-than ``ERRORS`` standard errors, where the threshold is the ``QUANTILE`` of the trusted
-documents' log-perplexities in that language (in all languages together where fewer than
-``MIN_TRUSTED`` trusted documents have it).
+model; it is kept if its mean negative log-probability is at most its language's threshold, the
+``QUANTILE`` of the trusted documents' own ones in that language (in all languages together where
+the language has no trusted document). For the thresholds, trusted documents are held out: two
+folds by text, and each document is scored by the model of the other fold.
 
 Symbols: white space runs are one symbol, digits another; every other character of the corpus has
 one of its own. Keys of n-grams are longs, so symbols have up to 15 bits; with over ``DIRECT``
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,7 +41,7 @@ DIRECT = (1 << MOST_BITS) - FIRST - LEADS - TRAILS
 BROADCAST_NGRAMS = 2_000_000
 #: Symbols that are looked up at once.
 CHUNK = 1 << 20
-QUANTILE, ERRORS, MIN_TRUSTED = 0.995, 3.0, 50
+QUANTILE = 0.995
 #: Log-perplexities are counted in steps of 1 / SCALE up to TOP for the quantiles.
 SCALE, TOP = 1000, 20
 OWNER = "kneser_ney"
@@ -122,8 +122,14 @@ class Coder:
         return key
 
 
+def fold() -> Column:
+    """0 or 1 by the text, so that copies of a text share a fold."""
+    return F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+
+
 def counts(texts: DataFrame, letters: list[str]) -> DataFrame:
-    """key, c of the highest order, over all rows of ``texts`` (text)."""
+    """key, c of the highest order, over all rows of ``texts`` (text); by fold, where texts have that column."""
+    by = ["fold"] if "fold" in texts.columns else []
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -131,11 +137,13 @@ def counts(texts: DataFrame, letters: list[str]) -> DataFrame:
 
         coder = Coder(letters)
         for batch in batches:
-            keys = [coder.keys(t.as_py()) for t in batch.column(0)]
-            found, n = np.unique(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["key", "c"])
+            of = np.array(batch.column(1).to_pylist()) if by else np.zeros(batch.num_rows)
+            for f in np.unique(of):
+                keys = [coder.keys(batch.column(0)[int(i)].as_py()) for i in np.flatnonzero(of == f)]
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(n), int(f)), pa.int32())], names=["key", "c", "fold"])
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text", *by).mapInArrow(run, "key long, c long, fold int").groupBy("key", *by).agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -207,12 +215,12 @@ def dense(model: dict[int, tuple]):
     return log_probabilities(model, np.arange(SYMBOLS**ORDER, dtype=np.int64))
 
 
-_ROWS = "doc_id long, lang string, n long, nll double, error double"
+_ROWS = "doc_id long, lang string, fold int, n long, nlls array<double>"
 
 
-def score(docs: DataFrame, letters: list[str], model: dict[int, tuple]) -> DataFrame:
-    """doc_id, lang, n (symbols scored), nll (mean negative log-probability) and its standard error."""
-    sent = docs.sparkSession.sparkContext.broadcast((letters, model))
+def score(docs: DataFrame, letters: list[str], models: list[dict[int, tuple]]) -> DataFrame:
+    """doc_id, lang, fold, n (symbols scored) and nlls (mean negative log-probability under each model; nulls without a symbol)."""
+    sent = docs.sparkSession.sparkContext.broadcast((letters, models))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -222,9 +230,10 @@ def score(docs: DataFrame, letters: list[str], model: dict[int, tuple]) -> DataF
 
         def looked_up(keys: list) -> Iterator:
             seen, at = np.unique(np.concatenate(keys), return_inverse=True)
-            got, end = log_probabilities(sent.value[1], seen, bits, size)[at], 0
+            tables, end = [log_probabilities(m, seen, bits, size) for m in sent.value[1]], 0
             for k in keys:
-                yield got[end : end + len(k)]
+                here = at[end : end + len(k)]
+                yield len(k), [float(-t[here].mean()) if len(k) else None for t in tables]
                 end += len(k)
 
         def scored(texts) -> Iterator:
@@ -239,18 +248,14 @@ def score(docs: DataFrame, letters: list[str], model: dict[int, tuple]) -> DataF
                 yield from looked_up(held)
 
         for batch in batches:
-            n, nll, error = [], [], []
-            for got in scored(batch.column(2)):
-                n.append(len(got))
-                nll.append(float(-got.mean()) if len(got) else None)
-                error.append(float(got.std() / np.sqrt(len(got))) if len(got) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64()), pa.array(error, pa.float64())], names=["doc_id", "lang", "n", "nll", "error"])
+            got = list(scored(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "lang", "fold", "n", "nlls"])
 
     rows = common.pick(docs, doc_id="long", lang="string", text="string")
-    return rows.withColumn("lang", F.coalesce("lang", F.lit("und"))).mapInArrow(run, _ROWS)
+    return rows.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), fold().alias("fold"), "text").mapInArrow(run, _ROWS)
 
 
-def joined_score(docs: DataFrame, letters: list[str], found: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+def joined_score(docs: DataFrame, letters: list[str], founds: list[dict[int, tuple[DataFrame, DataFrame]]]) -> DataFrame:
     """As ``score``, for models of any size: n-grams counted by text are joined with the sharded model."""
     bits, size = width(letters)
 
@@ -266,21 +271,22 @@ def joined_score(docs: DataFrame, letters: list[str], found: dict[int, tuple[Dat
 
     rows = common.pick(docs, doc_id="long", lang="string", text="string").withColumn("h", F.sha2("text", 256))
     grams = common.materialize(rows.select("h", "text").where("text is not null").mapInArrow(run, "h string, key long, c long"), WORK)
-    known = grams.select("key").distinct().withColumn("q", F.lit(1.0 / size))
+    names = [f"q{i}" for i in range(len(founds))]
+    known = grams.select("key").distinct().select("key", *[F.lit(1.0 / size).alias(q) for q in names])
     for n in range(1, ORDER + 1):
-        p, gamma = found[n]
         low = F.col("key").bitwiseAND((1 << bits * n) - 1)
-        at = known.withColumn("low", low).withColumn("ctx", F.shiftright(low, bits))
-        at = at.join(gamma, "ctx", "left").join(p.withColumnRenamed("key", "low"), "low", "left")
-        known = common.materialize(at.select("key", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q")), WORK)
+        for q, found in zip(names, founds):
+            p, gamma = found[n]
+            at = known.withColumn("low", low).withColumn("ctx", F.shiftright(low, bits))
+            at = at.join(gamma, "ctx", "left").join(p.withColumnRenamed("key", "low"), "low", "left")
+            known = common.materialize(at.select("key", *[F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col(q)).alias(q) if x == q else x for x in names]), WORK)
     # repeated texts count repeatedly on both sides of each mean
-    lp, c = F.log("q"), F.col("c")
-    sums = grams.join(known, "key").groupBy("h").agg(F.sum(c).alias("m"), F.sum(c * lp).alias("s"), F.sum(c * lp * lp).alias("s2"))
+    c = F.col("c")
+    sums = grams.join(known, "key").groupBy("h").agg(F.sum(c).alias("m"), *[(-F.sum(c * F.log(q)) / F.sum(c)).alias(q) for q in names])
     copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
-    mean = F.col("s") / F.col("m")
-    each = sums.join(copies, "h").select("h", (F.col("m") / F.col("copies")).cast("long").alias("n"), (-mean).alias("nll"), F.sqrt(F.greatest(F.col("s2") / F.col("m") - mean * mean, F.lit(0.0))).alias("sd"))
-    done = rows.drop("text").join(each, "h", "left")
-    return done.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nll", (F.col("sd") / F.sqrt("n")).alias("error"))
+    each = sums.join(copies, "h").select("h", (F.col("m") / F.col("copies")).cast("long").alias("n"), *names)
+    done = rows.select("doc_id", "lang", fold().alias("fold"), "h").join(each, "h", "left")
+    return done.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "fold", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array(*names).alias("nlls"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -288,34 +294,37 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return lab.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q >= 1 and t = 0").select("doc_id")
 
 
-def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, threshold (of nll); the row with a null lang holds for all others."""
+def thresholds(held: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, threshold (of nll); the row with a null lang holds for all others. held: doc_id, lang, nll."""
     step = F.least(F.floor(F.col("nll") * SCALE), F.lit(TOP * SCALE)).cast("int")
-    seen = scored.where("nll is not null").join(trusted, "doc_id").groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    seen = held.where("nll is not null").join(trusted, "doc_id").groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     seen = common.materialize(seen, WORK)
     every = seen.unionByName(seen.groupBy("step").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
     upto = Window.partitionBy("lang").orderBy("step")
     ranked = every.withColumn("below", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
-    at = ranked.where(F.col("below") >= F.ceil(F.col("total") * quantile)).groupBy("lang").agg(F.min("step").alias("step"), F.first("total").alias("total"))
-    return at.where((F.col("total") >= MIN_TRUSTED) | F.col("lang").isNull()).select("lang", ((F.col("step") + 1) / SCALE).alias("threshold"))
+    at = ranked.where(F.col("below") >= F.ceil(F.col("total") * quantile)).groupBy("lang").agg(F.min("step").alias("step"))
+    return at.select("lang", ((F.col("step") + 1) / SCALE).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n, perplexity, threshold (a perplexity) and kept, for every document."""
     letters = alphabet(docs)
     trusted = common.materialize(trusted_ids(labels), WORK)
-    texts = common.pick(docs, doc_id="long", text="string").join(common.checked_broadcast(trusted), "doc_id").select("text")
-    top = common.materialize(counts(texts, letters), WORK)
-    found = probabilities(top, *width(letters))
-    fits = sum(x.count() for level in found.values() for x in level) <= BROADCAST_NGRAMS
-    scored = common.materialize(score(docs, letters, collected(found)) if fits else joined_score(docs, letters, found), OWNER)
-    cuts = {r["lang"]: r["threshold"] for r in thresholds(scored, trusted, quantile).limit(10_001).collect()}
+    texts = common.pick(docs, doc_id="long", text="string").join(common.checked_broadcast(trusted), "doc_id").select(fold().alias("fold"), "text")
+    tops = common.materialize(counts(texts, letters), WORK)
+    whole = common.materialize(tops.groupBy("key").agg(F.sum("c").alias("c")), WORK)
+    founds = [probabilities(top, *width(letters)) for top in (whole, *[tops.where(F.col("fold") == i).select("key", "c") for i in (0, 1)])]
+    fits = sum(x.count() for found in founds for level in found.values() for x in level) <= BROADCAST_NGRAMS
+    scored = score(docs, letters, [collected(found) for found in founds]) if fits else joined_score(docs, letters, founds)
+    scored = common.materialize(scored, OWNER).withColumn("nll", F.col("nlls")[0])
+    held = scored.select("doc_id", "lang", F.when(F.col("fold") == 0, F.col("nlls")[2]).otherwise(F.col("nlls")[1]).alias("nll"))
+    cuts = {r["lang"]: r["threshold"] for r in thresholds(held, trusted, quantile).limit(10_001).collect()}
     if len(cuts) > 10_000:
         raise ValueError("more than 10,000 languages")
     common.drop(WORK, docs.sparkSession)
-    whole = cuts.pop(None, float(TOP))
-    given = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else F.create_map(F.lit(""), F.lit(whole))
-    cut = F.coalesce(F.try_element_at(given, F.col("lang")), F.lit(whole))
+    pooled = cuts.pop(None, float(TOP))
+    given = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else F.create_map(F.lit(""), F.lit(pooled))
+    cut = F.coalesce(F.try_element_at(given, F.col("lang")), F.lit(pooled))
     out = scored.withColumn("cut", cut)
-    kept = F.coalesce(F.col("nll") - ERRORS * F.col("error") <= F.col("cut"), F.lit(False))
+    kept = F.coalesce(F.col("nll") <= F.col("cut"), F.lit(False))
     return out.select("doc_id", "lang", "n", F.exp("nll").alias("perplexity"), F.exp("cut").alias("threshold"), kept.alias("kept"))

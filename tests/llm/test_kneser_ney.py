@@ -77,10 +77,10 @@ def test_all_symbols(spark):
     coder = K.Coder(letters)
     assert int(coder.keys("７")[0]) == K.DIGIT and set(letters) == {c for t in texts if t for c in t if not c.isspace()} and len({int(coder.keys(c)[0]) for c in letters}) == len(letters)
     found = K.probabilities(K.counts(df.limit(3), letters), *K.width(letters))
-    a, b = [{r.doc_id: r for r in x.collect()} for x in (K.score(df, letters, K.collected(found)), K.joined_score(df, letters, found))]
+    a, b = [{r.doc_id: r for r in x.collect()} for x in (K.score(df, letters, [K.collected(found)] * 2), K.joined_score(df, letters, [found] * 2))]
     assert a.keys() == b.keys() and all(a[i].n == b[i].n for i in a)
-    assert all((a[i].nll is None) == (b[i].nll is None) and abs((a[i].nll or 0) - (b[i].nll or 0)) < 1e-9 for i in a)
-    assert a[1].nll < a[3].nll - 1  # learnt in this order
+    assert all(a[i].fold == b[i].fold and len(b[i].nlls) == 2 and abs((x or 0) - (y or 0)) < 1e-9 and (x is None) == (y is None) for i in a for x, y in zip(a[i].nlls, b[i].nlls))
+    assert a[1].nlls[0] < a[3].nlls[0] - 1  # learnt in this order
     many = [chr(c) for c in range(0x3400, 0x3400 + K.DIRECT + 3000) if not 0xD800 <= c < 0xE000]
     big = K.Coder(many)
     assert K.width(many) == (K.MOST_BITS, 1 << K.MOST_BITS)
@@ -96,6 +96,19 @@ def test_verdicts(spark):
     assert len(got) == 1000 and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_own_thresholds(spark):
+    """Each language has its own threshold, without slack: clean documents stay, short junk goes, toxic ones are counted."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    kept = lambda q, t: [got[r.doc_id].kept for r in labels if r.quality == q and r.toxic in t]
+    clean, toxic, bad = kept(1, (0,)), kept(1, (1,)), kept(0, (0, 1))
+    print("kept of clean, toxic, bad:", *[(sum(x), len(x)) for x in (clean, toxic, bad)], "of all", sum(r.kept for r in got.values()))
+    assert sum(clean) >= 0.99 * len(clean) and sum(bad) < 5 and sum(toxic) < len(toxic)
+    assert not got[866].kept and all(r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got.values())
+    assert len({got[r.doc_id].threshold for r in labels}) == len({got[r.doc_id].lang for r in labels}) == 4
+
+
 def test_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     got = K.classify(odd, labels).collect()
