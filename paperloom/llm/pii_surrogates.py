@@ -1,7 +1,8 @@
 """Surrogates for personal data, DataFrame functions only.
 
 Method: a regular expression finds e-mail and IP addresses, phone, card, bank and social security
-numbers, secrets that follow a key word or have a known form, and names that follow a title. An
+numbers, secrets that follow a key word or have a known form, names that follow a title, and the words of
+such names wherever else they stand in the same text. An
 entity (its type and canonical form) gets a keyed replacement: a hash with the secret key fills
 the entity's own format, so length, separators, letter case and script stay, and the type's rules
 hold (valid card and IBAN check digits where the original's are valid, octets in range and
@@ -59,18 +60,20 @@ LETTERS = {"latin": "àâäçèéêëîïñòóôöùúûü", "cyrillic": "аб
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t))) + ")"
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+_WORD = r"\p{Lu}(?:\p{L}+(?:['’]\p{L}{2,})*|(?:['’]\p{L}{2,})+)(?:-\p{Lu}\p{L}+)*"
+_PARTICLE = "(?:von|vom|zu|zum|zur|van|de|den|der|het|ten|ter|del|della|di|da|das|do|dos|du|des|la|las|le|los|af|av|y|bin|ibn|al|el)"
+_NAME = rf"(?:(?:\p{{Lu}}\.)+[ \t]?|{_WORD}[ \t]|{_PARTICLE}[ \t]){{0,3}}{_WORD}"
 PARTS = {
     "secret": r"(?<=\b(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[^\s\"'<>,;]{6,}",
     "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*(?:\d|[A-Fa-f]{3}))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{6}[ -]?\d{5}|\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7})(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)|\(\+?\d{1,4}\)|\+\d{1,3})(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])0\d{1,3}[ -]\d{6,8}(?![\w-])|(?<=\b(?i:tel|phone|telephone|mobile|mob|fax)\b[.:]{0,2}\s{0,2})[+(\d][\d ()./-]{6,16}\d(?!\d)",
-    "name": rf"\b{_TITLE}\.?[ \t]{_NAME}(?:[ \t]{_NAME}){{0,2}}",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)|\(\+?\d{1,4}\)|\+\d{1,3})(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])0\d{1,3}[ -]\d{6,8}(?![\w-])|(?<![\w.-])(?=0(?:[ .-]?\d){8,10}(?![ .-]?\d))0\d{1,4}(?:[ .-]?\d{2,4}){2,5}(?![\w-])|(?<=\b(?i:tel|phone|telephone|mobile|mob|fax)\b[.:]{0,2}\s{0,2})[+(\d][\d ()./-]{6,16}\d(?!\d)",
+    "name": rf"\b{_TITLE}\.?[ \t]{_NAME}",
 }
 #: Order matters where two begin at one place.
 PATTERN = "|".join(f"(?:{PARTS[k]})" for k in ("secret", "key", "email", "ip", "ipv6", "iban", "ssn", "card", "phone", "name"))
@@ -83,11 +86,34 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def mentions(text: Column) -> Column:
-    """The entities' mentions in a text, in order."""
+def _plain(text: Column) -> Column:
+    """The mentions that PATTERN finds."""
     return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def named(text: Column) -> Column:
+    """The entities of a text's titled names, which may be mentioned again without a title."""
+    titled = F.filter(_plain(text), lambda m: m.rlike(rf"^{_TITLE}\.?[ \t]"))
+    found = F.filter(F.flatten(F.transform(titled, atoms)), lambda a: (a["kind"] != "particle") & ~a["raw"].contains("."))
+    return F.when(text.rlike(rf"\b{_TITLE}\b"), found).otherwise(F.array().cast(_ATOM))
+
+
+def pattern(names: Column) -> Column:
+    """PATTERN, and the names that were found with a title, as they stand or in capitals."""
+    words = F.array_distinct(F.flatten(F.transform(names, lambda a: F.array(a["raw"], F.upper(a["raw"])))))
+    again = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(names) > 0, again).otherwise(F.lit(PATTERN))
+
+
+def _found(text: Column, names: Column) -> Column:
+    return F.when(F.size(names) > 0, F.regexp_extract_all(text, pattern(names), F.lit(0))).otherwise(_plain(text))
+
+
+def mentions(text: Column) -> Column:
+    """The entities' mentions in a text, in order; untitled ones of names that have a title elsewhere in it included."""
+    return _bind(named(text), lambda names: _found(text, names))
+
+
 def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(rf"^(?:{p})$")
     card = (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13) & full(r"[\d -]+")
@@ -116,7 +142,7 @@ def atoms(m: Column) -> Column:
 
     def of_name(parts: Column) -> Column:
         gender = _gender(m, parts[0])
-        return F.transform(parts, lambda p, i: F.struct(F.concat(F.when(i == F.size(parts) - 1, F.lit("surname_")).otherwise(F.lit("given_")), gender).alias("kind"), F.lower(p).alias("canon"), p.alias("raw")))
+        return F.transform(parts, lambda p, i: F.struct(F.when(p.rlike(r"^\p{Ll}"), "particle").otherwise(F.concat(F.when(i == F.size(parts) - 1, F.lit("surname_")).otherwise(F.lit("given_")), gender)).alias("kind"), F.lower(p).alias("canon"), p.alias("raw")))
 
     name = F.split(F.regexp_replace(m, rf"^{_TITLE}\.?[ \t]", ""), "[ \t]")
     digits = F.regexp_replace(F.upper(m), "[^0-9A-Z]", "")
@@ -278,13 +304,15 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 def _written(kind: Column, raw: Column, new: Column) -> Column:
     """The surrogate in the format of the mention."""
     upper_first = F.upper(F.substring(raw, F.lit(1), F.lit(1))) == F.substring(raw, F.lit(1), F.lit(1))
-    return F.when(kind.isin("card", "iban", "phone", "ssn"), _in_format(raw, new)).when((kind == "email") & (raw == F.upper(raw)), F.upper(new)).when((kind == "email") & (raw != F.lower(raw)) & upper_first, _capital(new)).otherwise(new)
+    is_name = kind.startswith("given_") | kind.startswith("surname_")
+    shown = F.when(kind == "particle", raw).when(is_name & raw.contains("."), F.concat(F.substring(new, 1, 1), F.lit("."))).when(is_name & (raw == F.upper(raw)), F.upper(new))
+    return shown.when(kind.isin("card", "iban", "phone", "ssn"), _in_format(raw, new)).when((kind == "email") & (raw == F.upper(raw)), F.upper(new)).when((kind == "email") & (raw != F.lower(raw)) & upper_first, _capital(new)).otherwise(new)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct kind and canon of all entities of the corpus."""
-    found = docs.select(F.explode(mentions(F.col("text").cast("string"))).alias("m"))
-    return found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(F.explode(atoms(F.col("m"))).alias("a")).select("a.kind", "a.canon").distinct()
+    found = docs.select(F.explode(_plain(F.col("text").cast("string"))).alias("m"))
+    return found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).select(F.explode(atoms(F.col("m"))).alias("a")).select("a.kind", "a.canon").where("kind <> 'particle'").distinct()
 
 
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -321,7 +349,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     text, rows = F.col("text").cast("string"), docs
     no_map = F.lit(None).cast("map<string,int>")
     if moved.limit(1).count():
-        spelled = docs.select(text.alias("__pii_t"), F.explode(F.array_distinct(mentions(text))).alias("m")).select(F.xxhash64("__pii_t").alias("__pii_h"), F.explode(atoms(F.col("m"))).alias("a")).select("__pii_h", "a.kind", "a.canon")
+        spelled = docs.select(text.alias("__pii_t"), F.explode(F.array_distinct(_plain(text))).alias("m")).select(F.xxhash64("__pii_t").alias("__pii_h"), F.explode(atoms(F.col("m"))).alias("a")).select("__pii_h", "a.kind", "a.canon")
         at = spelled.join(moved, ["kind", "canon"]).distinct().groupBy("__pii_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__pii_at"))
         rows = docs.withColumn("__pii_h", F.xxhash64(text)).join(at, "__pii_h", "left").drop("__pii_h")
     else:
@@ -335,10 +363,14 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
             new = _bind(attempt, lambda n: surrogate(key, a["kind"], a["canon"], n))
             return _bind(new, lambda x: _written(a["kind"], a["raw"], x))
 
-        return _bind(atoms(m), lambda found: F.concat(F.when(found[0]["kind"].rlike("^(?:given|surname)_"), title).otherwise(F.lit("")), F.array_join(F.transform(found, one), " ")))
+        same = lambda a: F.upper(a["raw"]) == F.upper(m)
+        known = F.transform(F.slice(F.filter(F.col("__pii_k"), same), 1, 1), lambda a: F.struct(a["kind"].alias("kind"), a["canon"].alias("canon"), m.alias("raw")))
+        entity = F.when(F.exists(F.col("__pii_k"), same), known).otherwise(atoms(m))
+        return _bind(entity, lambda found: F.concat(F.when(found[0]["kind"].rlike("^(?:given_|surname_|particle$)"), title).otherwise(F.lit("")), F.array_join(F.transform(found, one), " ")))
 
-    found = rows.withColumn("__pii_m", F.coalesce(mentions(text), F.array().cast("array<string>")))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("__pii_m", write), lambda p, w: F.concat(p, F.coalesce(w, F.lit(""))))
+    rows = rows.withColumn("__pii_k", F.coalesce(named(text), F.array().cast(_ATOM)))
+    found = rows.withColumn("__pii_m", F.coalesce(_found(text, F.col("__pii_k")), F.array().cast("array<string>")))
+    pieces = F.zip_with(F.split(text, pattern(F.col("__pii_k")), -1), F.transform("__pii_m", write), lambda p, w: F.concat(p, F.coalesce(w, F.lit(""))))
     new = F.when(F.size("__pii_m") > 0, F.array_join(pieces, "")).otherwise(text)
     done = found.withColumn("__pii_new", new).withColumn("_n_entities", F.size("__pii_m").cast("long"))
     return done.select(*[F.col("__pii_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_n_entities")

@@ -106,3 +106,27 @@ def test_native_and_odd(spark, odd, nothing):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert P.replace(nothing).count() == 0
+
+
+WIDE = {
+    1: ("Mr. John Smith left. John Smith and Smith came; SMITH too.", ["John", "Smith", "SMITH"]),
+    2: ("Mr. J. Smith spoke.", ["Smith"]),
+    3: ("Herr von Braun kam.", ["Braun"]),
+    4: ("Mr. SMITH and Mr. McDonald met Mrs. O'Brien.", ["SMITH", "Donald", "Brien"]),
+    5: ("Host 2001:db8::1 is up.", ["2001:db8::1"]),
+    6: ("Mail anna@пример.рф now.", ["anna@", "пример"]),
+    7: ("Ring 020 7946 0958 or 01 23 45 67 89 or 0612345678.", ["020 7946 0958", "01 23 45 67 89", "0612345678"]),
+    8: ("On 01-02-2024 std::vector was 12:30.", []),
+}
+
+
+def test_wide_forms(spark):
+    """Common forms of names, addresses and phones, and untitled mentions of a titled name."""
+    df = spark.createDataFrame([(k, t) for k, (t, _) in WIDE.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.replace(df).collect()}
+    for k, (text, gone) in WIDE.items():
+        assert not [x for x in gone if x in got[k]], (k, got[k])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) left\. (\w+) (\w+) and (\w+) came; (\w+) too\.", got[1])
+    assert m and m[1] == m[3] and m[2] == m[4] == m[5] and m[6] == m[2].upper()
+    assert re.fullmatch(r"Mr\. [A-Z]\. \w+ spoke\.", got[2]) and got[3].startswith("Herr von ") and got[8] == WIDE[8][0]
+    assert re.fullmatch(r"Ring 0\d\d \d{4} \d{4} or 0\d \d\d \d\d \d\d \d\d or 0\d{9}\.", got[7])
