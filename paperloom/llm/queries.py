@@ -17,7 +17,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    return pii_surrogates.replace(docs).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+    return pii_surrogates.replace(docs, pii_surrogates.session_key(spark)).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
