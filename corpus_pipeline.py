@@ -19,7 +19,6 @@ from paperloom.llm import best_fit_packing, common, decontamination, language_id
 MIN_LANGUAGE_SCORE = 0.3
 #: Documents that are this alike (Jaccard, in percent) are near duplicates; op9's own contract is 85.
 NEAR_PERCENT = 80
-PII_KEY = pii_surrogates.KEY
 OWNER = "pipeline"
 #: The operators' scratch tables that a stage's written result no longer needs.
 SCRATCH = {"near_dedup": near_dedup.OWNER, "decontamination": "decontamination", "pii_surrogates": pii_surrogates.OWNER}
@@ -45,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; all documents stay, and n_chars follows the new text."""
-    done = pii_surrogates.replace(docs, PII_KEY).drop("_n_entities")
+    done = pii_surrogates.replace(docs, pii_surrogates.session_key(spark)).drop("_n_entities")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
