@@ -53,4 +53,4 @@ def test_odd_rows(spark, sf, odd, nothing):
             out = stage(spark, df, sf)
             assert name == "best_fit_packing" or out.columns == df.columns
             assert out.count() <= max(df.count(), 500)
-    assert P.KEY
+    assert P.session_key(spark)
