@@ -6,9 +6,13 @@ an unseen word falls back to its character n-grams, from four characters down to
 first length of which some n-gram is known, by the mean of their logarithmic frequencies.
 A text's language has the highest mean score over all words of the whole text.
 
-Counts cover every training row. The model keeps, for each language, the most frequent words
-and n-grams; with ``MAX_ENTRIES`` for all languages together it has a fixed bound, and so it
-is broadcast. Rarer words are scored by their n-grams.
+Counts cover every training row. The model keeps, for each language, its ``WORDS_PER_LANGUAGE``
+most frequent words and, of each length, its ``GRAMS_PER_ORDER`` most frequent n-grams (ties by the
+item), however many languages there are; so it has at most 120,000 entries a language (about
+15 MB in a worker), and it is broadcast. Words beyond the list are scored by their n-grams.
+
+Words are runs of letters (Unicode's alphabetic characters, and the marks that follow them); digits
+of any kind, such as superscripts and circled numbers, aren't letters.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; rows with a null
 language don't train; a tie goes to the language first in alphabetical order; without training
@@ -20,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -29,15 +35,32 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD_ORDER, ORDERS = 0, (4, 3, 2, 1)
-WORDS_PER_LANGUAGE, GRAMS_PER_ORDER, MAX_ENTRIES = 60_000, 15_000, 600_000
+WORDS_PER_LANGUAGE, GRAMS_PER_ORDER = 60_000, 15_000
 PENALTY = -7.0
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(wanted) -> str:
+    """The characters of Unicode for which ``wanted`` holds, as ranges of a regular expression's class."""
+    out, first = [], None
+    for c in range(0x110001):
+        if c < 0x110000 and wanted(chr(c)):
+            first = c if first is None else first
+        elif first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+@cache
+def _letters() -> re.Pattern:
+    letter, mark = _ranges(str.isalpha), _ranges(lambda c: unicodedata.category(c) in ("Mn", "Mc"))
+    return re.compile(f"[{letter}][{letter}{mark}]*")
 _FLUSH, _MEMO = 250_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return _letters().findall(text.lower())
 
 
 def _counted(batches: Iterator) -> Iterator:
@@ -77,13 +100,12 @@ def train(docs: DataFrame) -> dict:
     counts = common.materialize(rows.mapInArrow(_counted, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c")), "language_id")
     totals = {(r["lang"], r["n"]): r["c"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    share = min(1.0, MAX_ENTRIES / max(1, len(langs) * (WORDS_PER_LANGUAGE + GRAMS_PER_ORDER * len(ORDERS))))
-    most = F.when(F.col("n") == WORD_ORDER, int(WORDS_PER_LANGUAGE * share)).otherwise(int(GRAMS_PER_ORDER * share))
+    most = F.when(F.col("n") == WORD_ORDER, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_ORDER)
     order = [F.desc("c"), "item"]
     # the top of each of 64 parts first, so that no task ranks all items of a frequent language
     near = Window.partitionBy("lang", "n", F.pmod(F.xxhash64("item"), F.lit(64))).orderBy(*order)
     whole = Window.partitionBy("lang", "n").orderBy(*order)
-    top = counts.where("c > 1").withColumn("r", F.row_number().over(near)).where(F.col("r") <= most).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= most)
+    top = counts.withColumn("r", F.row_number().over(near)).where(F.col("r") <= most).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= most)
     model: dict = {"langs": langs, "items": [{} for _ in range(1 + max(ORDERS))], "scores": [[] for _ in range(1 + max(ORDERS))]}
     at = {lang: i for i, lang in enumerate(langs)}
     for r in top.select("lang", "n", "item", "c").toLocalIterator():

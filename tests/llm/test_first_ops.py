@@ -129,8 +129,63 @@ def test_language_held_out_accuracy(spark, documents, odd, nothing):
     model = language_id.train(documents)
     got = language_id.identify(odd, model).collect()
     assert len(got) == odd.count()
-    assert all(r.lang_pred == "und" and r.score == 0 for r in got if not re.search(r"[^\W\d_]", r.text or ""))
+    assert all(r.lang_pred == "und" and r.score == 0 for r in got if not any(c.isalpha() for c in r.text or ""))
     assert language_id.identify(nothing, language_id.train(nothing)).count() == 0
+    signs = spark.createDataFrame([(0, "\u00b2 \u00bd \u2460 123 _"), (1, "\u0301"), (2, "a")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.identify(signs, model).orderBy("doc_id").collect()] == [True, True, False]
+    assert language_id.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 x\u00b2y Stra\u00dfe") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y", "stra\u00dfe"]
+
+
+def letters_of(text):
+    """Runs of letters and following marks, a character at a time."""
+    import unicodedata
+
+    out, now = [], ""
+    for c in (text or "").lower():
+        if c.isalpha() or (now and unicodedata.category(c) in ("Mn", "Mc")):
+            now += c
+        else:
+            out, now = out + [now] * bool(now), ""
+    return out + [now] * bool(now)
+
+
+def test_language_against_brute_force(spark):
+    """Every prediction and score of the query, from a model of plain dictionaries."""
+    import math
+
+    L = language_id
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").collect()
+    counts = defaultdict(Counter)
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            for w in letters_of(r.text):
+                counts[r.lang, 0][w] += 1
+                for n in L.ORDERS:
+                    counts[r.lang, n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    langs = sorted({k for k, _ in counts})
+    lists = {k: {x: math.log10(c[x] / sum(c.values())) for x in sorted(c, key=lambda x: (-c[x], x))[: L.GRAMS_PER_ORDER if k[1] else L.WORDS_PER_LANGUAGE]} for k, c in counts.items()}
+
+    def word(w):
+        if any(w in lists[k, 0] for k in langs):
+            return [lists[k, 0].get(w, L.PENALTY) for k in langs]
+        for n in L.ORDERS:
+            grams = [g for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if any(g in lists[k, n] for k in langs)]
+            if grams:
+                return [sum(lists[k, n].get(g, L.PENALTY) for g in grams) / len(grams) for k in langs]
+        return [L.PENALTY] * len(langs)
+
+    memo = {}
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, "/root/testdata/sf0.01").collect()}
+    for r in docs:
+        ws = letters_of(r.text)
+        if not ws:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        total = [sum(x) for x in zip(*(memo.get(w) or memo.setdefault(w, word(w)) for w in ws))]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        score = 1 / sum(10 ** ((t - total[best]) / len(ws) * min(len(ws), 10)) for t in total)
+        ties = [t for t in total if abs(t - total[best]) < 1e-3 * len(ws)]
+        assert (got[r.doc_id].lang_pred == langs[best] or len(ties) > 1) and abs(got[r.doc_id].score - score) < 1e-3
 
 
 def brute_decontamination(docs, items):

@@ -1,7 +1,5 @@
 """The pipeline stage by stage against brute force, and on odd rows."""
 
-import re
-
 import corpus_pipeline
 from paperloom.llm import pii_surrogates as P
 
@@ -21,7 +19,7 @@ def test_stages(spark, sf):
             now = {r.doc_id: r.text for r in rows}
             assert len(now) == len(rows)
         if name == "language_id":
-            assert now.keys() == {d for d, t in before.items() if re.search(r"[^\W\d_]", t or "")}
+            assert now.keys() == {d for d, t in before.items() if any(c.isalpha() for c in t or "")}
         elif name == "near_dedup":
             assert now.keys() == {d for d, (_, c) in brute(list(before.items())).items() if c == d}
         elif name == "decontamination":
