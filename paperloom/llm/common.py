@@ -97,5 +97,5 @@ BROADCAST_IDS = 2_000_000
 
 
 def checked_broadcast(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` (a written table of a long column) for a join, broadcast only if its counted size is within the limit."""
+    """``ids`` (a written table of a few fixed-size columns) for a join, broadcast only if its counted size is within the limit."""
     return F.broadcast(ids) if ids.count() <= limit else ids

@@ -1,18 +1,21 @@
 """Benchmark decontamination by a distributed positional inverted index, DataFrame functions only.
 
-Method: the index is sharded by document: a row holds a document's terms in position order, and
-exploding it with positions gives the postings (term, document, position). Test windows name
-their terms; document frequencies of the test terms over the whole corpus rank them, and a
-window is looked up by its rarest term alone (a window with a term of frequency 0 occurs nowhere
-and is dropped). Each posting of a rarest term gives one offset-adjusted start, at which the
-lists of the window's other terms are intersected: the document must hold every other term at
-its adjusted position (exact phrase), or each of the rarest terms within ``slop`` of it
-(proximity). Only postings of rarest terms leave the scan.
+Method. ``build`` stores the index as Parquet: a posting (term, row, pos) for every word of every
+document, in segments of which each holds the posting lists of some documents, sorted by term, row and
+position. Segments need no shuffle, a frequent term's list is split by document all by itself, and
+within a segment a term's postings lie together, so that columns of the index are a few bytes a
+posting and reads of some terms skip the rest. A document's last posting has no term; it
+tells the document's id, a hash of its text and its number of words.
+
+Test windows name their terms. The index gives the terms' frequencies (a window with a term of
+frequency 0 occurs nowhere); each window is looked up by its rarest term, and every posting of that
+gives one offset-adjusted start. These candidates are intersected with the postings of the
+window's second rarest term, and what is left with those of all others: a posting must stand at each
+term's own place (exact phrase), or within ``slop`` words of it (proximity). Only postings of test
+terms, in documents that hold a candidate, are shuffled, however many windows there are.
 
 A window is ``WINDOW`` consecutive words of an item; a shorter item, if not empty, is one window.
-
-The windows are broadcast while there are at most ``BROADCAST_WINDOWS`` of them; beyond,
-postings carry their own neighbourhood and are joined by a shuffle.
+Terms are known by 64-bit hashes.
 
 Edge cases: null or empty texts have no words; null item ids mark words but name no item; items
 that repeat an id are one item; equal windows of several items count for each; a row that
@@ -22,15 +25,19 @@ extra columns are ignored; texts of any length are searched whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 10
-BROADCAST_WINDOWS = 100_000
+WINDOW, SLOP = 10, 2
+OWNER = "decontamination"
+#: Tables that only the operator itself reads, the index among them; they go when it returns.
+WORK = "decontamination-work"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The index's columns: all but the last posting of a document have nulls in the last two.
+INDEX = "term long, row long, pos int, doc_id long, h long"
 
 
 def words(text: Column) -> Column:
@@ -42,84 +49,85 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Distinct windows: terms (array of words) and items (sorted array of item ids as strings)."""
-    items = common.pick(benchmark, item_id="string", text="string").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """Distinct windows: wid, terms (array of hashes) and items (sorted array of item ids as strings)."""
+    items = common.pick(benchmark, item_id="string", text="string").select("item_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
     each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i + 1, F.lit(width)))).alias("terms"))
-    return each.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = each.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return common.materialize(found.withColumn("wid", F.monotonically_increasing_id()), WORK)
 
 
-def postings(docs: DataFrame, end: bool = False) -> DataFrame:
-    """(doc_id, h, w, pos, term): the postings of every document; w is the document's whole row of the index.
+def build(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored index of ``docs``: in ``path``, or as a scratch table. ``row`` numbers the documents."""
+    read = common.pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), F.array_append(words(F.col("text")), F.lit("")).alias("w"))
+    last = F.col("x") == ""
+    each = read.select("row", "doc_id", "h", F.posexplode("w").alias("pos", "x"))
+    rows = each.select(F.when(~last, F.xxhash64("x")).alias("term"), "row", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("h")).alias("h"))
+    rows = rows.sortWithinPartitions("term", "row", "pos")
+    if path is None:
+        return common.materialize(rows, WORK)
+    rows.write.parquet(path)
+    return read_index(docs.sparkSession, path)
 
-    With ``end``, the empty term closes each document, at the position that is its number of words.
-    """
-    w = words(F.col("text"))
-    w = F.array_append(w, F.lit("")) if end else w
-    index = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), w.alias("w"))
-    return index.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
 
-def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term, tf: how often each wanted term occurs in all documents."""
-    terms = wanted.select(F.explode("terms").alias("term")).distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_WINDOWS * WINDOW else terms
-    found = postings(docs).select("term").join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    return found
 
+def documents(index: DataFrame) -> DataFrame:
+    """row, doc_id, h, n_words of every document of an index."""
+    return index.where("term is null").select("row", "doc_id", "h", F.col("pos").cast("long").alias("n_words"))
 
-def lookups(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """terms, items, anchor (the rarest term), offset (its place) and rare (the rarest three with their places)."""
-    tf = frequencies(docs, wanted)
-    spread = wanted.select("terms", "items", F.posexplode("terms").alias("offset", "term"))
-    ranked = spread.join(tf, "term", "left").groupBy("terms").agg(
-        F.first("items").alias("items"),
-        F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "offset", "term"))).alias("by_tf"),
-    )
-    known = ranked.where(F.col("by_tf")[0]["tf"] > 0)
-    return known.select("terms", "items", F.col("by_tf")[0]["term"].alias("anchor"), F.col("by_tf")[0]["offset"].alias("offset"), F.slice("by_tf", 1, 3).alias("rare"))
 
+def lookups(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wid, items, len and by_tf: (tf, offset, term) of a window's terms, the rarest first; only windows whose terms all occur."""
+    terms = common.materialize(wanted.select(F.explode("terms").alias("term")).distinct(), WORK)
+    tf = index.select("term").join(common.checked_broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = wanted.select("wid", "items", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
+    ranked = spread.join(tf, "term").groupBy("wid").agg(F.first("items").alias("items"), F.first("len").alias("len"), F.array_sort(F.collect_list(F.struct("tf", "offset", "term"))).alias("by_tf"))
+    return common.materialize(ranked.where(F.size("by_tf") == F.col("len")), WORK)
 
-def _matches(docs: DataFrame, found: DataFrame, reach: int, condition, end: bool = False) -> DataFrame:
-    """doc_id, h, start, len, items of the starts for which ``condition(words around, shift)`` holds.
 
-    ``shift`` is the window's start as a 1-based place in the array of words around. With ``end``,
-    each document also gives a row with null items whose start is its number of words.
-    """
-    if end:
-        last = "array('') terms, cast(null as array<string>) items, '' anchor, 0 offset"
-        found = found.unionByName(docs.sparkSession.range(1).selectExpr(*last.split(", ")).withColumn("rare", F.array().cast(found.schema["rare"].dataType)))
-    found = common.materialize(found, "decontamination")
-    n, start = found.count(), F.col("pos") - F.col("offset")
-    if n <= BROADCAST_WINDOWS:
-        hit = postings(docs, end).join(F.broadcast(found), F.col("term") == F.col("anchor"))
-        hit = hit.where(start >= 0).where(condition(F.col("w"), start + 1))
-    else:
-        low = F.greatest(F.col("pos") - (WINDOW - 1 + reach), F.lit(0))
-        near = postings(docs, end).select("doc_id", "h", "pos", "term", low.alias("low"), F.slice("w", low + 1, F.lit(2 * (WINDOW - 1 + reach) + 1)).alias("near"))
-        hit = near.join(found, F.col("term") == F.col("anchor"))
-        hit = hit.where(start >= 0).where(condition(F.col("near"), start - F.col("low") + 1))
-    return hit.select("doc_id", "h", start.alias("start"), F.size("terms").alias("len"), "items")
+def _intersected(index: DataFrame, candidates: DataFrame, known: DataFrame, first: int, many: Column | int, slop: int) -> DataFrame:
+    """The candidates (row, wid, start) with a posting at the place of each of the window's terms of the ranks from ``first`` on."""
+    candidates = common.materialize(candidates, WORK)
+    terms = F.slice("by_tf", first + 1, many) if isinstance(many, int) else F.slice(F.col("by_tf"), F.lit(first + 1), many)
+    near = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
+    asked = candidates.join(known.select("wid", terms.alias("t")), "wid").select("row", "wid", "start", F.size("t").alias("need"), F.explode_outer("t").alias("t"))
+    asked = asked.select("row", "wid", "start", "need", F.col("t.offset").alias("offset"), F.col("t.term").alias("term"), near.alias("near"))
+    asked = asked.withColumn("pos", F.col("start") + F.col("offset") + F.col("near"))
+    rows = common.checked_broadcast(common.materialize(candidates.select("row").distinct(), WORK))
+    some = common.checked_broadcast(common.materialize(asked.where("term is not null").select("term").distinct(), WORK))
+    postings = index.select("term", "row", "pos").join(some, "term").join(rows, "row").withColumn("hit", F.lit(1))
+    both = asked.join(postings, ["row", "term", "pos"], "left")
+    ok = both.groupBy("row", "wid", "start", "need").agg(F.count_distinct(F.when(F.col("hit") == 1, F.col("offset"))).alias("n"))
+    return ok.where("n = need").select("row", "wid", "start")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, end: bool = False) -> DataFrame:
-    """doc_id, h, start, len, items: every exact occurrence of a window (start counts words from 0)."""
-    found = lookups(docs, windows(benchmark, width))
-    return _matches(docs, found, 0, lambda w, at: F.slice(w, at, F.size("terms")) == F.col("terms"), end)
+def matches(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
+    """row, wid, start (in words, from 0), len, items of every occurrence of a window.
 
+    With ``slop``, the window's rarest term stands at its place and each other one within ``slop`` words of its own.
+    """
+    known = lookups(index, wanted)
+    anchors = common.materialize(known.select("wid", F.col("by_tf")[0]["term"].alias("term"), F.col("by_tf")[0]["offset"].alias("offset")), WORK)
+    found = index.select("term", "row", "pos").join(common.checked_broadcast(anchors, 500_000), "term").select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"))
+    found = found.where("start >= 0") if not slop else found
+    found = _intersected(index, found, known, 1, 1, slop)
+    found = _intersected(index, found, known, 2, F.size("by_tf"), slop)
+    return found.join(known.select("wid", "len", "items"), "wid").select("row", "wid", "start", "len", "items")
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2, width: int = WINDOW) -> DataFrame:
-    """As phrase_matches, where each of the window's three rarest terms lies within ``slop`` words of its place."""
-    found = lookups(docs, windows(benchmark, width))
 
-    def near(w: Column, at: Column) -> Column:
-        def one(r: Column) -> Column:
-            low = F.greatest(at + r["offset"] - slop, F.lit(1))
-            return F.array_contains(F.slice(w, low, at + r["offset"] + slop - low + 1), r["term"])
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """doc_id, start, len, items: every exact occurrence of a window (start counts words from 0)."""
+    index = build(docs)
+    return matches(index, windows(benchmark, width)).join(documents(index), "row").select("doc_id", "start", "len", "items")
 
-        return F.forall("rare", one)
 
-    return _matches(docs, found, slop, near)
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, width: int = WINDOW) -> DataFrame:
+    """As phrase_matches, but each term may stand up to ``slop`` words off its place, as counted from the rarest one."""
+    index = build(docs)
+    return matches(index, windows(benchmark, width), slop).join(documents(index), "row").select("doc_id", "start", "len", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -128,19 +136,20 @@ def _covered(spans: Column) -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated."""
-    is_end = F.col("items").isNull()
-    rows = phrase_matches(docs, benchmark, width, end=True).groupBy("doc_id", "h").agg(
-        F.max(F.when(is_end, F.col("start"))).cast("long").alias("n_words"),
-        F.count(F.when(is_end, 1)).cast("int").alias("copies"),
-        F.collect_set(F.when(~is_end, F.struct("start", "len"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
-    )
-    each = rows.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "item_ids", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return each.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    index = build(docs)
+    found = matches(index, windows(benchmark, width)).groupBy("row").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    hit = found.select("row", _covered(F.col("spans")).alias("n_hit"), "item_ids")
+    each = documents(index).join(hit, "row", "left")
+    done = each.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    done = common.materialize(done, OWNER)
+    common.drop(WORK, docs.sparkSession)
+    return done.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of docs (all their columns) in which no window occurs."""
-    bad = phrase_matches(docs, benchmark, width).select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_h")).distinct()
-    bad = common.materialize(bad, "decontamination")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_h"]), "left_anti")
+    index = build(docs)
+    bad = matches(index, windows(benchmark, width)).select("row").distinct().join(documents(index), "row")
+    bad = common.materialize(bad.select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_h")).distinct(), OWNER)
+    common.drop(WORK, docs.sparkSession)
+    return docs.join(common.checked_broadcast(bad, 500_000), docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_h"]), "left_anti")

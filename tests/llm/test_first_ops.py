@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from paperloom.llm import best_fit_packing, decontamination, language_id, quality_rules, queries, sharding, tokens
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -214,16 +216,64 @@ def test_decontamination(spark, documents, odd, nothing):
     short = spark.createDataFrame([(1, "same text"), (2, "Word1 word2 WORD3 word4 word5 word6 word7 word8 word9 word10 word11"), (None, "ünï"), (3, None), (4, "çödé 日本語")], "item_id long, text string")
     back = {(r.doc_id, r.n_hit, r.n_items) for r in decontamination.report(odd, short).collect()}
     assert (6, 2, 1) in back and (8, 2, 1) in back and (1, 0, 0) in back
-    old, decontamination.BROADCAST_WINDOWS = decontamination.BROADCAST_WINDOWS, 0
-    try:
-        assert {(r.doc_id, r.n_hit, r.n_items) for r in decontamination.report(odd, short).collect()} == back
-    finally:
-        decontamination.BROADCAST_WINDOWS = old
     assert decontamination.clean(odd, short).columns == odd.columns
     assert decontamination.report(nothing, short).count() == 0
     assert decontamination.report(odd, short.limit(0)).where("contaminated").count() == 0
-    near = decontamination.proximity_matches(spark.createDataFrame([(1, "one two three xx four five six seven eight nine ten")], "doc_id long, text string"), spark.createDataFrame([(9, "one two three four five six seven eight nine ten")], "item_id long, text string"))
-    assert [r.items for r in near.select("items").distinct().collect()] == [["9"]]
+
+
+def words_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+
+
+def brute_near(docs, items, slop, width):
+    """(doc, start, item) by trying every place of the rarest term."""
+    tf = Counter(w for _, t in docs for w in words_of(t))
+    out = set()
+    for i, t in items:
+        ws = words_of(t)
+        for k in range(max(1, len(ws) - width + 1) if ws else 0):
+            win = ws[k : k + width]
+            a = min(range(len(win)), key=lambda j: (tf[win[j]], j))
+            for d, text in docs:
+                w = words_of(text)
+                for p in (p for p in range(len(w)) if w[p] == win[a]):
+                    s = p - a
+                    if all(j == a or win[j] in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j in range(len(win))) and (slop or s >= 0):
+                        out.add((d, s, str(i)))
+    return out
+
+
+def test_phrases_and_proximity(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = [(d, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60)))) for d in range(60)]
+    items = [(i, " ".join(rng.choice("abcdefghz") for _ in range(rng.randrange(0, 8)))) for i in range(25)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop, f in ((0, decontamination.phrase_matches), (1, decontamination.proximity_matches)):
+        got = f(df, bench, *([slop] if slop else []), width=4).collect()
+        assert {(r.doc_id, r.start, i) for r in got for i in r["items"]} == brute_near(docs, items, slop, 4) and len(got) > 50
+
+
+def test_many_windows(spark):
+    """More windows than any broadcast of them would take, by the same path; the plan reads the stored index."""
+    long = " ".join(f"w{i}" for i in range(100_500))
+    docs = [(0, " ".join(f"w{i}" for i in range(500, 530))), (1, "w3 w4 x"), (2, " ".join(f"W{i}" for i in range(100_490, 100_500)) + " w7"), (3, None)]
+    bench = spark.createDataFrame([(1, long), (2, "w7")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {0: (30, 30, ["1"]), 1: (3, 0, []), 2: (11, 11, ["1", "2"]), 3: (0, 0, [])}
+
+
+def test_stored_index(spark, documents, tmp_path):
+    index = decontamination.build(documents, str(tmp_path / "index"))
+    assert index.count() == sum(len(words_of(r.text)) + 1 for r in documents.collect())
+    for part in index.select("*", F.spark_partition_id().alias("part")).toPandas().groupby("part"):
+        known = part[1].dropna(subset=["term"])
+        assert known.sort_values(["term", "row", "pos"], kind="stable").index.equals(known.index)
+    again = decontamination.read_index(spark, str(tmp_path / "index"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    plan = decontamination.matches(again, decontamination.windows(bench))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
 def test_packing(spark, documents, odd, nothing):
