@@ -18,7 +18,9 @@ EMAIL = "struct<subject:string,sender:string,to:string,cc:string,date:string,tim
 def split_points(lines: Column) -> Column:
     """0-based line numbers where an e-mail begins: a separator; a field seen already; or a field after body text with a subject near."""
     marked = F.transform(lines, lambda x: F.struct(T.is_separator(x).alias("sep"), T.header_field(x).alias("field"), T.is_subject(x).alias("subject")))
-    ahead = T.once(marked, lambda m: F.transform(m, lambda x, i: F.struct(x["sep"].alias("sep"), x["field"].alias("field"), F.exists(F.slice(m, i + 1, SUBJECT_WINDOW), lambda y: y["subject"]).alias("near"))))
+    # only a field asks whether a subject is near
+    near = lambda m, x, i: F.when(x["field"].isNotNull(), F.exists(F.slice(m, i + 1, SUBJECT_WINDOW), lambda y: y["subject"])).otherwise(False)
+    ahead = T.once(marked, lambda m: F.transform(m, lambda x, i: F.struct(x["sep"].alias("sep"), x["field"].alias("field"), near(m, x, i).alias("near"))))
     start = F.struct(
         F.lit(0).alias("i"), F.lit(False).alias("head"), F.array().cast("array<string>").alias("seen"), F.lit(-999).alias("last"),
         F.lit(0).alias("body"), F.array().cast("array<int>").alias("cuts"),
@@ -47,8 +49,12 @@ def _email(block: Column) -> Column:
         D.email_day(day).alias("date"), F.when(F.contains(day, F.lit("T")), D.email_time(day)).alias("time"),
         files.alias("attachments"), T.strip(F.array_join(block, "\n")).alias("text"), F.lit(None).cast("string").alias("warning"),
     )
-    raw = T.header_value(block, "sent|verzonden|datum|date")
-    return T.once(T.once(raw, D.email_date), made).cast(EMAIL)
+    return T.once(_moment(block), made).cast(EMAIL)
+
+
+def _moment(block: Column) -> Column:
+    """The normalised date of an e-mail's lines, or null."""
+    return T.once(T.header_value(block, "sent|verzonden|datum|date"), D.email_date)
 
 
 def _block(text: Column, warning: str) -> Column:
@@ -56,6 +62,18 @@ def _block(text: Column, warning: str) -> Column:
     return F.struct(none.alias("subject"), none.alias("sender"), none.alias("to"), none.alias("cc"), none.alias("date"), none.alias("time"), F.array().cast("array<string>").alias("attachments"), text.alias("text"), F.lit(warning).alias("warning")).cast(EMAIL)
 
 
+def _blocks(lines: Column, cuts: Column) -> Column:
+    """The lines of each e-mail that holds any text."""
+    each = F.transform(cuts, lambda c, i: F.slice(lines, c + 1, F.coalesce(F.try_element_at(cuts, i + 2), F.size(lines)) - c))
+    return F.filter(each, lambda b: T.strip(F.array_join(b, "\n")) != "")
+
+
+def mail_dates(text: Column) -> Column:
+    """The dates of the e-mails of a text, in order, as ``split`` gives them; e-mails without one are left out."""
+    days = lambda lines: F.transform(_blocks(lines, split_points(lines)), lambda b: D.email_day(_moment(b)))
+    return F.filter(T.once(T.lines(T.redacted_addresses(text)), days), lambda d: T.blank_to_null(d).isNotNull())
+
+
 def split(docs: DataFrame, text: str = "text", key: str = "doc_code") -> DataFrame:
     """docs' other columns with one row per e-mail: n, id (key.n) and the fields of EMAIL."""
     rest = [c for c in docs.columns if c != text]
@@ -65,8 +83,7 @@ def split(docs: DataFrame, text: str = "text", key: str = "doc_code") -> DataFra
     single = F.array(_block(joined(lines), NO_HEADER))
     before = joined(F.slice(lines, F.lit(1), F.greatest(F.coalesce(F.try_element_at(cuts, F.lit(1)), F.lit(0)), F.lit(0))))
     preamble = F.when(before != "", F.array(_block(before, PREAMBLE))).otherwise(F.array().cast(f"array<{EMAIL}>"))
-    blocks = F.transform(cuts, lambda c, i: F.slice(lines, c + 1, F.coalesce(F.try_element_at(cuts, i + 2), F.size(lines)) - c))
-    out = out.withColumn("_blocks", F.filter(blocks, lambda b: joined(b) != ""))
+    out = out.withColumn("_blocks", _blocks(lines, cuts))
     mails = F.when(F.size(cuts) == 0, single).otherwise(F.concat(preamble, F.transform("_blocks", _email)))
     each = out.select(*rest, F.posexplode(mails).alias("_n", "_m"))
     return each.select(*rest, (F.col("_n") + 1).alias("n"), F.concat(F.col(key).cast("string"), F.lit("."), (F.col("_n") + 1).cast("string")).alias("id"), "_m.*")
@@ -84,9 +101,18 @@ def choose(text_mails: DataFrame, given: DataFrame, keys: list[str]) -> DataFram
 
     Columns: keys, n, subject, sender, date, time and source (given or text).
     """
-    cols = [*keys, "n", "subject", "sender", "date", "time"]
-    count = lambda d, c: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))
-    use = count(text_mails, "nt").join(count(given, "ng"), keys, "full").na.fill(0, ["nt", "ng"]).withColumn("source", F.when((F.col("nt") <= F.col("ng")) & (F.col("ng") > 0), "given").otherwise("text")).select(*keys, "source")
-    a = given.select(*cols).join(use.where("source = 'given'"), keys)
-    b = enrich(text_mails.select(*cols), given, keys).join(use.where("source = 'text'"), keys)
-    return a.unionByName(b)
+    fields = ["subject", "sender", "date", "time"]
+    listed = lambda d, to: d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), *fields))).alias(to))
+    both = listed(text_mails, "_t").join(listed(given, "_g"), keys, "full")
+    kind = both.schema["_t"].dataType.simpleString()
+    both = both.withColumns({c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind)) for c in ("_t", "_g")})
+    by = F.map_from_entries(F.transform("_g", lambda m: F.struct(m["n"].alias("k"), m.alias("v"))))
+
+    def fuller(known: Column) -> Column:
+        one = lambda m, of: F.struct(m["n"].alias("n"), *[F.coalesce(T.blank_to_null(m[f]), of[f], m[f]).alias(f) for f in fields])
+        return F.transform("_t", lambda m: T.once(F.try_element_at(known, m["n"]), lambda of: one(m, of)))
+
+    is_given = (F.size("_t") <= F.size("_g")) & (F.size("_g") > 0)
+    chosen = F.when(is_given, F.col("_g")).otherwise(T.once(by, fuller))
+    each = both.select(*keys, F.explode(chosen).alias("_m"), F.when(is_given, "given").otherwise("text").alias("source"))
+    return each.select(*keys, "_m.*", "source")

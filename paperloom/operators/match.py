@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def normal(s: str | None) -> str:
@@ -19,17 +20,34 @@ def similarity(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+def _common(places: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of a text of length n, by the bit masks of its characters' places, and ``other``."""
+    state = (1 << n) - 1
+    for c in other:
+        u = state & places.get(c, 0)
+        state = (state + u) | (state - u)
+    return n - (state & ((1 << n) - 1)).bit_count()
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio, 0 to 100, of the shorter text with an equally long stretch of the other, or a shorter one at its ends."""
+    """Best Indel similarity, 0 to 100, of the shorter text with a stretch of the other that is as long, or shorter at its ends.
+
+    The Indel similarity of two texts is twice their longest common subsequence over their lengths together.
+    """
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    best = 0.0
     short, long = sorted((a, b), key=len)
-    if not short:
-        return 100.0 if not long else 0.0
-    n, best = len(short), 0.0
-    for i in range(1 - n, len(long)):
-        part = long[max(i, 0) : i + n]
-        m = SequenceMatcher(None, short, part, autojunk=False)
-        if m.real_quick_ratio() * 100 > best:
-            best = max(best, 100 * m.ratio())
+    # of two texts of one length, either may be the one that is cut
+    for short, long in [(short, long), (long, short)][: 1 + (len(a) == len(b))]:
+        n, places = len(short), {}
+        for i, c in enumerate(short):
+            places[c] = places.get(c, 0) | 1 << i
+        for i in range(1 - n, len(long)):
+            part = long[max(i, 0) : i + n]
+            # a stretch whose outer character is foreign isn't the best; no more can be common than it is long
+            if part[0 if i + n > len(long) else -1] in places and 200 * len(part) / (n + len(part)) > best:
+                best = max(best, 200 * _common(places, n, part) / (n + len(part)))
     return best
 
 
@@ -65,18 +83,41 @@ def match_pages(mails: DataFrame, starts: DataFrame, keys: list[str], least: flo
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{fields}, n int, pdf_page long")
 
 
-def match_subjects(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 70.0) -> DataFrame:
-    """keys, tp, fp, fn: true subjects, in order, each take the best unclaimed predicted one of at least ``least``."""
+MAIL_SCORES = ["mail_tp", "mail_fp", "mail_fn", "date_correct", "date_annotated", "sender_correct", "sender_annotated"]
+
+
+def match_mails(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 70.0) -> DataFrame:
+    """keys and MAIL_SCORES: true e-mails, in order, each take the best unclaimed predicted one whose subject is alike to at least ``least``.
+
+    Of a pair, the dates count where the true one has a date, and the senders (by the same likeness) where it has a sender.
+    truth, pred: keys, n, subject, sender, date (normalised). A true e-mail without a subject finds none.
+    """
     fields = ", ".join(f"{k} {dict(truth.dtypes)[k]}" for k in keys)
+    told = lambda x: (x or "").strip().lower()
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        unused, tp = list(right.sort_values("n")["subject"]), 0
-        for s in left.sort_values("n")["subject"]:
-            best = max(((partial_ratio(normal(s), normal(p)), -i) for i, p in enumerate(unused)), default=(-1.0, 0))
-            if unused and best[0] >= least:
-                unused.pop(-best[1])
-                tp += 1
-        return pd.DataFrame([(*key, tp, len(unused), len(left) - tp)], columns=[*keys, "tp", "fp", "fn"])
+        unused, got = list(right.sort_values("n").itertuples()), dict.fromkeys(MAIL_SCORES, 0)
+        for e in left.sort_values("n").itertuples():
+            likeness = [partial_ratio(told(e.subject), told(p.subject)) if told(e.subject) and told(p.subject) else -1.0 for p in unused]
+            at = max(range(len(unused)), key=lambda i: (likeness[i], -i), default=None)
+            if at is None or likeness[at] < least:
+                got["mail_fn"] += 1
+                continue
+            p = unused.pop(at)
+            got["mail_tp"] += 1
+            got["date_annotated"] += bool(e.date)
+            got["date_correct"] += bool(e.date) and e.date == p.date
+            got["sender_annotated"] += bool(told(e.sender))
+            got["sender_correct"] += bool(told(e.sender)) and partial_ratio(told(e.sender), told(p.sender)) >= least
+        got["mail_fp"] = len(unused)
+        return pd.DataFrame([(*key, *got.values())], columns=[*keys, *MAIL_SCORES])
 
     a, b = truth.toDF(*truth.columns), pred.toDF(*pred.columns)
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{fields}, tp long, fp long, fn long")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{fields}, " + ", ".join(f"{c} long" for c in MAIL_SCORES))
+
+
+def match_subjects(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 70.0) -> DataFrame:
+    """keys, tp, fp, fn of ``match_mails`` by subjects alone."""
+    blank = lambda d: d.withColumn("sender", F.lit(None).cast("string")).withColumn("date", F.lit(None).cast("string"))
+    found = match_mails(blank(truth), blank(pred), keys, least)
+    return found.select(*keys, *[F.col(f"mail_{c}").alias(c) for c in ("tp", "fp", "fn")])

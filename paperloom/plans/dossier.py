@@ -27,15 +27,15 @@ def assemble(pages: DataFrame) -> DataFrame:
 
 def dated(docs: DataFrame) -> DataFrame:
     """Adds date and date_raw; e-mail documents take the first of their e-mails' dates that parses."""
-    mails = E.split(docs.where(F.col("category") == "E-mail").select("dossier_id", "doc_code", "text"))
-    dates = mails.where(T.blank_to_null(F.col("date")).isNotNull()).groupBy("dossier_id", "doc_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "date"))), lambda x: x["date"]).alias("mail_dates"))
-    both = docs.join(dates, ["dossier_id", "doc_code"], "left")
-    found = D.document_date(F.col("doc_date"), F.col("category"), F.col("text"), F.coalesce("mail_dates", F.array().cast("array<string>")))
+    # in the document's own row: no join back, and nothing is computed twice
+    mails = F.when(F.col("category") == "E-mail", E.mail_dates(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    both = docs.withColumn("mail_dates", mails)
+    found = D.document_date(F.col("doc_date"), F.col("category"), F.col("text"), F.col("mail_dates"))
     return both.withColumn("_d", found).withColumn("date", F.col("_d.date")).withColumn("date_raw", F.col("_d.raw")).drop("_d", "mail_dates")
 
 
-def timeline(docs: DataFrame) -> DataFrame:
-    """The dossier's documents in the order of their dates, those without a date last, by code."""
+def timeline(docs: DataFrame, *keep: str) -> DataFrame:
+    """The dossier's documents in the order of their dates, those without a date last, by code; with columns of docs to ``keep``."""
     first = F.array_min("pages")
     w = Window.partitionBy("dossier_id").orderBy(F.col("date").asc_nulls_last(), "doc_code")
     codes = F.array_distinct("codes")
@@ -43,7 +43,7 @@ def timeline(docs: DataFrame) -> DataFrame:
         "dossier_id", F.row_number().over(w).alias("position"), "doc_code", "category", F.date_format("date", "yyyy-MM-dd").alias("date"), "date_raw",
         T.type_label(F.col("category"), F.lit("other")).alias("label"), T.title(F.col("category") == "E-mail", F.lit(None).cast("string"), F.col("text"), F.col("doc_code")).alias("title"),
         T.sender(F.col("text")).alias("sender"), T.description(F.col("category"), F.lit(None).cast("string"), F.col("text"), codes).alias("description"),
-        F.left("text", F.lit(800)).alias("preview"), first.alias("page_start"), F.array_max("pages").alias("page_end"), F.size("codes").cast("long").alias("n_redactions"),
+        F.left("text", F.lit(800)).alias("preview"), first.alias("page_start"), F.array_max("pages").alias("page_end"), F.size("codes").cast("long").alias("n_redactions"), *keep,
     )
 
 

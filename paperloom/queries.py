@@ -457,14 +457,14 @@ page_query("jn13_subject_matches")(lambda p: M.match_subjects(_given(p).select("
 
 
 def _chat_lines(p: DataFrame) -> DataFrame:
-    each = p.where("okey % 8 = 7").select("dossier_id", "page_num", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
+    each = p.select("dossier_id", "page_num", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
     return each.select("dossier_id", (F.col("page_num") * 1000 + F.col("i")).alias("idx"), "line")
 
 
 _CHAT = r"""chat AS (SELECT dossier_id, idx, trim(CASE WHEN a THEN regexp_extract(line, '^\[([^\]]+)\]\s*([^:]{1,120})\s*:\s*(.+)$', 2) ELSE regexp_extract(line, '^(.+?)\s*\(([^)]+)\)\s*:\s*(.+)$', 1) END) AS sender,
  trim(CASE WHEN a THEN regexp_extract(line, '^\[([^\]]+)\]\s*([^:]{1,120})\s*:\s*(.+)$', 1) ELSE regexp_extract(line, '^(.+?)\s*\(([^)]+)\)\s*:\s*(.+)$', 2) END) AS timestamp,
  trim(CASE WHEN a THEN regexp_extract(line, '^\[([^\]]+)\]\s*([^:]{1,120})\s*:\s*(.+)$', 3) ELSE regexp_extract(line, '^(.+?)\s*\(([^)]+)\)\s*:\s*(.+)$', 3) END) AS body FROM (
- SELECT dossier_id, page_num * 1000 + i - 1 AS idx, string_split(text, chr(10))[i] AS line, regexp_matches(string_split(text, chr(10))[i], '^\[([^\]]+)\]\s*([^:]{1,120})\s*:\s*(.+)$') AS a FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM fx_pages WHERE okey % 8 = 7))
+ SELECT dossier_id, page_num * 1000 + i - 1 AS idx, string_split(text, chr(10))[i] AS line, regexp_matches(string_split(text, chr(10))[i], '^\[([^\]]+)\]\s*([^:]{1,120})\s*:\s*(.+)$') AS a FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM fx_pages))
  WHERE a OR regexp_matches(line, '^(.+?)\s*\(([^)]+)\)\s*:\s*(.+)$'))"""
 page_query("str18_chat_messages", r"SELECT *, regexp_matches(body, '(?i)\[(?:GELAKT|REDACTED)(?::[^\]]*)?\]|\b5\.[12]\.\d[a-z]{0,2}\b') AS is_redacted, regexp_matches(body, '(?i)dit\s+bericht\s+is\s+verwijderd') AS is_system FROM chat", _CHAT)(lambda p: P.chat_messages(_chat_lines(p)))
 page_query(
@@ -514,7 +514,7 @@ page_query("flt15_unstamped_pages", "SELECT dossier_id, page_num FROM fx_pages W
 
 
 def queries() -> dict[str, Query]:
-    from . import annotation_queries  # noqa: F401  registers more
+    from . import annotation_queries, product_queries  # noqa: F401  they register more
 
     return dict(QUERIES)
 

@@ -23,7 +23,10 @@ ANNOTATION = "struct<type_gt:string,date_gt:string,num_emails_gt:int,notes:strin
 def _files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON file, keyed by the file's name; a file that doesn't parse gives nulls."""
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)\.json$", 1).alias("dossier_id"), *rows.columns)
+    # a partitioned folder names the dossier itself
+    own = [c for c in rows.columns if c != "dossier_id"]
+    named = F.col("dossier_id").cast("string") if "dossier_id" in rows.columns else F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)\.json$", 1)
+    return rows.select(named.alias("dossier_id"), *own)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +51,9 @@ def cache_emails(cache: DataFrame) -> DataFrame:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of files that hold either {"segments": [...]} or a bare list."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)\.json$", 1).alias("dossier_id"), "value")
+    read = spark.read.text(path, wholetext=True)
+    named = F.col("dossier_id").cast("string") if "dossier_id" in read.columns else F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)\.json$", 1)
+    text = read.select(named.alias("dossier_id"), "value")
     wrapped = F.from_json("value", f"segments array<{SEGMENT}>")["segments"]
     bare = F.from_json("value", f"array<{SEGMENT}>")
     return text.select("dossier_id", F.posexplode(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)).alias("i", "s")).select("dossier_id", "i", "s.*")
@@ -101,3 +106,54 @@ def write_cache(pages: DataFrame, path: str) -> None:
 def write_rows(rows: DataFrame, path: str) -> None:
     """Segments, boundaries, annotations or e-mails as JSON lines; non-ASCII characters stay."""
     rows.write.mode("overwrite").json(path)
+
+
+def _documents(rows: DataFrame, path: str) -> None:
+    """One JSON document a dossier (columns dossier_id, json), in a folder of its own; ``read_*`` take the folders back."""
+    rows.select("dossier_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("dossier_id").text(path)
+
+
+def _listed(rows: DataFrame, order: str, value, to: str) -> DataFrame:
+    return rows.groupBy("dossier_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]).alias(to))
+
+
+def write_segments(segments: DataFrame, path: str, pipeline: str) -> None:
+    """{"pipeline": ..., "segments": [...]} for each dossier, in the order of start pages."""
+    fields = [c for c in segments.columns if c not in ("dossier_id", "i")]
+    body = _listed(segments, "start_page", F.struct(*fields), "segments")
+    _documents(body.select("dossier_id", F.to_json(F.struct(F.lit(pipeline).alias("pipeline"), "segments")).alias("json")), path)
+
+
+def write_annotations(boundaries: DataFrame, annotations: DataFrame, path: str) -> None:
+    """{"boundaries": [...], "annotations": {"<start page>": {...}}} for each dossier; page 0 is always a boundary.
+
+    boundaries: dossier_id, page0; annotations: dossier_id, start_page and the annotation's fields.
+    """
+    fields = [c for c in annotations.columns if c not in ("dossier_id", "start_page")]
+    zero = F.array(F.lit(0).cast("long"))
+    starts = boundaries.groupBy("dossier_id").agg(F.array_sort(F.array_union(zero, F.collect_set(F.col("page0").cast("long")))).alias("boundaries"))
+    notes = annotations.groupBy("dossier_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("start_page").cast("string").alias("k"), F.struct(*fields).alias("v"))))).alias("annotations"))
+    both = starts.join(notes, "dossier_id", "left")
+    _documents(both.select("dossier_id", F.to_json(F.struct("boundaries", "annotations")).alias("json")), path)
+
+
+def updated_cache(cache: DataFrame, boundaries: DataFrame | None = None, emails: DataFrame | None = None) -> DataFrame:
+    """Caches (as from ``read_cache``) with their boundary documents or e-mails replaced where there are new ones; the pages stay.
+
+    boundaries: dossier_id, pos, doc_code, start_page, email_starts; emails: dossier_id, doc_code, n and the fields of EMAIL.
+    """
+    out = cache
+    if boundaries is not None:
+        new = _listed(boundaries, "pos", F.struct("doc_code", "start_page", "email_starts"), "_new")
+        out = out.join(new, "dossier_id", "left").withColumn("boundary_documents", F.coalesce(F.col("_new").cast(f"array<{BOUNDARY}>"), "boundary_documents")).drop("_new")
+    if emails is not None:
+        names = [x.split(":")[0] for x in EMAIL[len("struct<") : -1].replace("array<string>", "list").split(",")]
+        by = emails.groupBy("dossier_id", "doc_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct(*names).alias("v")))), lambda x: x["v"]).alias("v"))
+        new = by.groupBy("dossier_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_code", "v"))).alias("_new"))
+        out = out.join(new, "dossier_id", "left").withColumn("emails_by_doc", F.coalesce(F.col("_new").cast(f"map<string,array<{EMAIL}>>"), "emails_by_doc")).drop("_new")
+    return out
+
+
+def write_caches(cache: DataFrame, path: str) -> None:
+    """Whole caches, one JSON document a dossier. Write to another folder than the one they were read from."""
+    _documents(cache.select("dossier_id", F.to_json(F.struct(*[c for c in cache.columns if c != "dossier_id"])).alias("json")), path)
