@@ -1,7 +1,6 @@
 """The n-gram model against a plain modified Kneser-Ney, and the verdicts on labelled documents."""
 
 import math
-import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -13,22 +12,27 @@ from paperloom.llm import queries
 SF = "/root/testdata/sf0.01"
 
 
-def plain_words(text):
-    """Written apart from the operator's own reader; for texts in Latin letters."""
-    return ["0" if w.isdecimal() else w for w in re.findall(r"[^\W\d_]+|[0-9]+|[^\s]", text.lower())]
+def symbols(text):
+    """Written apart from the operator's own coder: white space runs and digits are one symbol each."""
+    out = []
+    for c in text or "":
+        c = " " if c.isspace() else "0" if c.isdigit() else c
+        if not (c == " " and (not out or out[-1] == " ")):
+            out.append(c)
+    return out
 
 
 class Plain:
-    """p(c | a b) by the textbook formula, with dictionaries."""
+    """p(c | context) by the textbook formula, with dictionaries."""
 
-    def __init__(self, texts):
-        top = Counter()
+    def __init__(self, texts, size):
+        top, self.size = Counter(), size
         for t in texts:
-            w = ["<s>", "<s>", *plain_words(t), "</s>"]
-            if len(w) > 3:
-                top.update(zip(w, w[1:], w[2:]))
-        self.levels = {3: top}
-        for n in (2, 1):
+            w = ["<s>"] * (K.ORDER - 1) + symbols(t) + ["</s>"]
+            if len(w) > K.ORDER:
+                top.update(zip(*(w[i:] for i in range(K.ORDER))))
+        self.levels = {K.ORDER: top}
+        for n in range(K.ORDER - 1, 0, -1):
             self.levels[n] = Counter(g[1:] for g in self.levels[n + 1])
         self.d = {n: K.discounts(*[sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for n, x in self.levels.items()}
         self.total, self.freed = defaultdict(int), defaultdict(float)
@@ -36,21 +40,23 @@ class Plain:
             for g, c in x.items():
                 self.total[g[:-1]] += c
                 self.freed[g[:-1]] += self.d[n][min(c, 3) - 1]
+        self.memo = {}
 
     def p(self, g):
         if not g:
-            return 1 / (len(self.levels[1]) + 1)
-        low, ctx = self.p(g[1:]), g[:-1]
-        if not self.total[ctx]:
-            return low
-        c = self.levels[len(g)].get(g, 0)
-        return (c - self.d[len(g)][min(c, 3) - 1] if c else 0) / self.total[ctx] + self.freed[ctx] / self.total[ctx] * low
+            return 1 / self.size
+        if g not in self.memo:
+            low, ctx = self.p(g[1:]), g[:-1]
+            c = self.levels[len(g)].get(g, 0)
+            all_ = self.total.get(ctx)
+            self.memo[g] = ((c - self.d[len(g)][min(c, 3) - 1] if c else 0) + self.freed[ctx] * low) / all_ if all_ else low
+        return self.memo[g]
 
     def nll(self, text):
-        w = ["<s>", "<s>", *plain_words(text or ""), "</s>"]
-        if len(w) == 3:
+        w = ["<s>"] * (K.ORDER - 1) + symbols(text) + ["</s>"]
+        if len(w) == K.ORDER:
             return None
-        return -sum(math.log(self.p(g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+        return -sum(math.log(self.p(g)) for g in zip(*(w[i:] for i in range(K.ORDER)))) / (len(w) - K.ORDER + 1)
 
 
 def rows_of(spark, texts, fold=0):
@@ -60,50 +66,74 @@ def rows_of(spark, texts, fold=0):
 TEXTS = ["The quick brown fox, 42 times over", "the  lazy\ndog sleeps 7 days", "\u00fcber den Zaun", None, " \n", "a rose is a rose is a rose, they say so"] * 2 + ["only once here"]
 
 
-@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def model_of(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    letters = K.alphabet(df)
+    good = rows_of(spark, [t for t in texts if t])
+    return letters, *K.weights(K.counts(good, letters), *K.width(letters))
+
+
+@pytest.mark.parametrize("hot", [0, 60, 10**6])
 def test_probabilities(spark, hot):
-    model, unknown = K.weights(K.counts(rows_of(spark, [t for t in TEXTS if t])))
-    plain = Plain([t for t in TEXTS if t])
-    asked = ["the quick dog", "Zaun 99", "a rose is a rose", "xyz!!", "only", "", None, "the quick brown fox, 1 times over"]
-    df = spark.createDataFrame([(i, "en", 0, t) for i, t in enumerate(asked)], "doc_id long, lang string, m int, text string")
-    got = {r.doc_id: r for r in K.score(df, model, unknown, hot).collect()}
-    for i, t in enumerate(asked):
+    asked = ["the quick dog", "Zaun 99", "a rose is a rose", "xyz!!", "only", "", None, "  the\tquick brown fox, 1 times over "]
+    letters, model, unknown = model_of(spark, TEXTS + asked)
+    train = [t for t in TEXTS + asked if t]
+    plain = Plain(train, K.width(letters)[1])
+    df = spark.createDataFrame([(i, "en", 0, t) for i, t in enumerate(asked + ["unseen jazz"])], "doc_id long, lang string, m int, text string")
+    got = {r.doc_id: r for r in K.score(df, letters, model, unknown, hot).collect()}
+    for i, t in enumerate(asked + ["unseen jazz"]):
         want = plain.nll(t)
-        assert got[i].n == len(plain_words(t or "")) and (got[i].nll is None) == (want is None)
-        assert want is None or abs(got[i].nll - want) < 1e-5
-    for ctx in (("the", "quick"), ("a", "rose"), ("never", "seen")):
-        assert abs(sum(plain.p((*ctx, *g)) for g in plain.levels[1]) + plain.p((*ctx, "unseen")) - 1) < 1e-9
+        assert got[i].n == len(symbols(t)) and (got[i].nll is None) == (want is None)
+        assert want is None or abs(got[i].nll - want) < 1e-5, t
+    for ctx in (tuple("the "), tuple("rose"), tuple("~~~~")):
+        seen = sum(plain.p((*ctx, *g)) for g in plain.levels[1])
+        assert abs(seen + plain.p((*ctx, "unseen")) * (plain.size - len(plain.levels[1])) - 1) < 1e-9
 
 
 def test_hot_and_cold_split(spark):
-    model, _ = K.weights(K.counts(rows_of(spark, [t for t in TEXTS if t])))
-    most, cold = K.split_hot(model, 30)
-    assert 0 < most.count() <= 30 and most.count() + cold.count() == model.count()
+    _, model, _ = model_of(spark, TEXTS)
+    most, cold = K.split_hot(model, 200)
+    assert 0 < most.count() <= 200 and most.count() + cold.count() == model.count()
+    import numpy as np
+
+    keys = np.array([r.key for r in cold.select("key").collect()] + [-5, 2**62, -(2**63)], dtype=np.int64)
+    hashed = [r.h % 2**64 for r in spark.createDataFrame([(int(k),) for k in keys], "key long").select(F.xxhash64("key").alias("h")).collect()]
+    assert K._hashed(keys).tolist() == hashed
     bits, table = K.filter_bits(cold)
-    for r in cold.collect():
-        for at in (r.key & (bits - 1), (r.key % 2**64 >> 32) & (bits - 1)):
+    for h in hashed[:-3]:
+        for at in (h & (bits - 1), (h >> 32) & (bits - 1)):
             assert int(table[at >> 6]) >> (at & 63) & 1
 
 
-def test_words_and_pieces():
-    assert list(K.words("Ab c\u00e9\u00e9 12a_b \u65e5\u672c\u8a9ex \u0e01\u0e02 \u0440\u0443")) == ["ab", "c\u00e9\u00e9", "12", "a", "_", "b", "\u65e5", "\u672c", "\u8a9e", "x", "\u0e01", "\u0e02", "\u0440\u0443"]
-    text = " ".join(f"w{i}" for i in range(103))
-    whole = [int(x) for p in K.Reader().pieces(text) for x in p[2:]]
-    old, K.CHUNK = K.CHUNK, 10
+def test_pieces():
+    """Pieces of a text join up to the whole, runs of white space over their edges included."""
+    letters = list("abcdefgh")
+    text = " ab  c\n" * 9 + "dd9" + " " * 25 + "e\t\tf7 h  "
+    whole = K.Coder(letters).flat([(0, p) for p in K.Coder(letters).pieces(text)])
+    old, K.CHUNK = K.CHUNK, 7
     try:
-        parts = list(K.Reader().pieces(text))
+        parts = list(K.Coder(letters).pieces(text))
     finally:
         K.CHUNK = old
-    assert [int(x) for p in parts for x in p[2:]] == whole and len(parts) == 21 and len(whole) == 207
-    assert all(list(a[-2:]) == list(b[:2]) for a, b in zip(parts, parts[1:]))
-    assert list(K.Reader().pieces("")) == list(K.Reader().pieces(" \n")) == list(K.Reader().pieces(None)) == []
-
-
-def test_long_texts_in_pieces(spark):
-    model, unknown = K.weights(K.counts(rows_of(spark, [t for t in TEXTS if t])))
-    df = spark.createDataFrame([(0, "en", 0, "a rose is the quick brown fox " * 40)], "doc_id long, lang string, m int, text string")
-    want = K.score(df, model, unknown).first()
-    assert abs(want.nll - Plain([t for t in TEXTS if t]).nll("a rose is the quick brown fox " * 40)) < 1e-5
+    cut = K.Coder(letters).flat([(0, p) for p in parts])
+    assert len(parts) > 8 and whole[1].tolist() == cut[1].tolist() and len(whole[1]) == len(symbols(text)) + 2
+    assert list(K.Coder(letters).pieces("")) == list(K.Coder(letters).pieces(" \n")) == list(K.Coder(letters).pieces(None)) == []
+
+
+def test_all_symbols(spark):
+    """No character shares a symbol, in any script; rare ones of very large alphabets take two."""
+    wide = "".join(chr(0x4E00 + i) for i in range(300))
+    texts = ["a cat sat on the mat " * 3, wide, "Za\u017c\u00f3\u0142\u0107 g\u0119\u015bl\u0105", wide[::-1], wide[:40], " ", None]
+    letters, model, unknown = model_of(spark, texts)
+    assert set(letters) == {c for t in texts if t for c in t if not c.isspace()}
+    df = spark.createDataFrame([(i, "x", 0, t) for i, t in enumerate([wide[:40], wide[39::-1]])], "doc_id long, lang string, m int, text string")
+    a, b = (r.nll for r in K.score(df, letters, model, unknown).orderBy("doc_id").collect())
+    assert a < b - 0.05
+    many = [chr(c) for c in range(0x3400, 0x3400 + K.DIRECT + 3000) if not 0xD800 <= c < 0xE000]
+    big = K.Coder(many)
+    assert K.width(many) == (K.MOST_BITS, 1 << K.MOST_BITS) and K.ORDER * K.MOST_BITS <= K._TAG
+    assert len({tuple(p.tolist()) for c in many for p in big.pieces(c) if K.END not in p}) == len(many)
+    assert {len(p) for c in (many[0], many[-1]) for p in big.pieces(c) if K.END not in p} == {K.ORDER + 1, K.ORDER + 2}
 
 
 def test_against_brute_force(spark):
@@ -112,7 +142,8 @@ def test_against_brute_force(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, SF).collect()}
     trusted = [r for r in docs if r.doc_id in labels and labels[r.doc_id].quality == 1 and labels[r.doc_id].toxic == 0]
-    folds = [Plain([r.text for r in trusted if r.fold == f]) for f in (0, 1)]
+    size = K.FIRST + len({c for r in docs for c in r.text or "" if not c.isspace() and not c.isdigit()})
+    folds = [Plain([r.text for r in trusted if r.fold == f], size) for f in (0, 1)]
     held = defaultdict(list)
     for r in trusted:
         held[r.lang].append(math.floor(folds[1 - r.fold].nll(r.text) * K.SCALE + 1e-9))
@@ -120,7 +151,7 @@ def test_against_brute_force(spark):
     near = 0
     for r in docs:
         x, nll = got[r.doc_id], folds[1 - r.fold].nll(r.text)
-        assert (x.perplexity is None) == (nll is None) and x.n == len(plain_words(r.text or ""))
+        assert (x.perplexity is None) == (nll is None) and x.n == len(symbols(r.text))
         if nll is not None:
             assert abs(math.log(x.perplexity) - nll) < 1e-5 and abs(math.log(x.threshold) - cut[r.lang]) < 0.0011
             near += abs(nll - cut[r.lang]) < 0.002
@@ -157,4 +188,5 @@ def test_odd_rows(spark, odd, nothing):
     assert sorted(map(key, got)) == sorted(map(key, K.classify(plain, labels).collect()))  # clashing columns change nothing
     assert K.classify(nothing, labels).count() == 0
     untrained = K.classify(odd, labels.limit(0)).where("n > 0").collect()
-    assert all(abs(r.perplexity - 1) < 1e-9 and r.kept for r in untrained)
+    size = K.width(K.alphabet(odd))[1]
+    assert all(abs(r.perplexity - size) < 1e-6 and r.kept for r in untrained)
