@@ -39,10 +39,24 @@ def drop(owner: str, spark: SparkSession, since: int = 0, keep: int = 0) -> None
     paths = _scratch.get(owner, [])
     end = len(paths) - keep
     gone, _scratch[owner] = paths[since:end], paths[:since] + paths[max(since, end) :]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(conf).delete(where, True)
+        delete(spark, p)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, on whatever file system it is; none if it doesn't exist."""
+    files, where = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()) if files.exists(where) else []
 
 
 def written(owner: str) -> int:

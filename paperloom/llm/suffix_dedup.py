@@ -8,13 +8,18 @@ alone. Consecutive starts with one anchor form a run; the run's segment is all b
 strings. Equal strings have equal cores at equal distance, so
 1. cores are counted over the corpus, and only runs whose core occurs twice go on;
 2. equal segments are counted: all strings of a segment that occurs twice are repeats;
-3. segments that share a core but differ enter the index family. A batch of segments gets a
-   suffix array (its strings' starts in the order of their LENGTH bytes), which is
-   merge-scanned against the suffix array of every existing level; neighbours that agree on
-   LENGTH bytes are repeats. Levels of equal size merge, as in a binary counter, so a segment is
-   rewritten at most log2(batches) times. A core with more than ``LARGE`` different segments is
-   settled exactly by counting 128-bit hashes of its strings instead, which no single task holds.
-Repeated whole texts are found first and enter the index once.
+3. segments that share a core but differ enter the index ``Family``. A batch of segments becomes a
+   level: for each core its segments and their suffix array (the strings' starts in the order of
+   their LENGTH bytes), sorted once and written. The batch's arrays are merge-scanned against
+   those of every level there is; neighbours that agree on LENGTH bytes are repeats. Before the
+   next batch, levels of equal size are merged, as in a binary counter, by a linear merge of
+   their sorted arrays, so a segment is rewritten at most log2(batches) times and never sorted
+   again. A core with more than ``LARGE`` different segments is settled exactly by counting
+   128-bit hashes of its strings instead, which no single task holds.
+Repeated whole texts (by 128-bit hashes) are found first and enter the index once.
+
+``repeated`` settles one table; ``Corpus`` takes tables one after another and tells what repeats
+in all of them so far. As any text may meet a later one, it indexes all segments.
 
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing by themselves; repeated
 rows and repeated texts of at least LENGTH bytes are removed whole; strings never cross
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -97,6 +102,20 @@ def merge_scan(new: list[tuple[bytes, int, int]], old: list[tuple[bytes, int, in
     return a, b
 
 
+def merged(left: list[tuple[bytes, int, int]], right: list[tuple[bytes, int, int]], shift: int) -> list[tuple[int, int]]:
+    """(segment, start) of two suffix arrays in one order, in linear time; the right one's segments are numbered from ``shift``."""
+    i = j = 0
+    out = []
+    while i < len(left) and j < len(right):
+        if left[i][0] <= right[j][0]:
+            out.append(left[i][1:])
+            i += 1
+        else:
+            out.append((right[j][1] + shift, right[j][2]))
+            j += 1
+    return out + [x[1:] for x in left[i:]] + [(x[1] + shift, x[2]) for x in right[j:]]
+
+
 def repeats_within(array: list[tuple[bytes, int, int]]) -> set:
     """(segment, start) whose string stands twice in one suffix array."""
     out = set()
@@ -117,8 +136,9 @@ def _intervals(starts) -> list[tuple[int, int]]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, h and g (128 bits that stand for the text), n (bytes) and text."""
     data = F.coalesce(F.col("text"), F.lit(""))
-    return common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(data).alias("h"), F.octet_length(data).cast("long").alias("n"), data.alias("text"))
+    return common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(data).alias("h"), F.xxhash64(F.lit(1), data).alias("g"), F.octet_length(data).cast("long").alias("n"), data.alias("text"))
 
 
 def _all_runs(texts: DataFrame, length: int, core: int) -> DataFrame:
@@ -133,89 +153,163 @@ def _all_runs(texts: DataFrame, length: int, core: int) -> DataFrame:
                 count = [len(f[0]) for f in found]
                 cols = [np.repeat(part.column(i).to_numpy(), count) for i in (0, 1)] + [np.concatenate([f[i] for f in found] or [np.empty(0)]) for i in range(3)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((c.astype("int64") for c in cols), kinds)], names=["h", "n", "s", "k", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((c.astype("int64") for c in cols), kinds)], names=["h", "g", "s", "k", "core"])
 
-    return texts.where(F.col("n") >= length).select("h", "n", "text").mapInArrow(run, "h long, n long, s int, k int, core long")
+    return texts.where(F.col("n") >= length).select("h", "g", "text").mapInArrow(run, "h long, g long, s int, k int, core long")
 
 
 def _segments(flagged: DataFrame, length: int) -> DataFrame:
-    """h, n, s, k, core, sid, seg of the flagged runs of each text (columns h, n, text, runs)."""
+    """h, g, s, k, core, sid, seg of the flagged runs of each text (columns h, g, text, runs)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        names = ["h", "n", "s", "k", "core", "sid", "seg"]
+        names = ["h", "g", "s", "k", "core", "sid", "seg"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for h, n, text, found in zip(*(batch.column(i) for i in range(4))):
+            for h, g, text, found in zip(*(batch.column(i) for i in range(4))):
                 data = text.as_py().encode()
                 rows = [(r["s"], r["k"], r["core"], data[r["s"] : r["s"] + r["k"] + length - 1]) for r in found.as_py()]
-                cols = [[h.as_py()] * len(rows), [n.as_py()] * len(rows), *([r[i] for r in rows] for i in range(3)), [xxhash.xxh3_128_digest(r[3]) for r in rows], [r[3] for r in rows]]
+                cols = [[h.as_py()] * len(rows), [g.as_py()] * len(rows), *([r[i] for r in rows] for i in range(3)), [xxhash.xxh3_128_digest(r[3]) for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return flagged.mapInArrow(run, "h long, n long, s int, k int, core long, sid binary, seg binary")
+    return flagged.mapInArrow(run, "h long, g long, s int, k int, core long, sid binary, seg binary")
 
 
-def scan(batch: DataFrame, level: DataFrame | None, length: int = LENGTH) -> DataFrame:
-    """sid, lo, hi: intervals of starts whose strings repeat within ``batch``, or between it and ``level``."""
-    both, alone = batch.withColumn("new", F.lit(True)), level is None
-    if not alone:
-        both = both.unionByName(level.withColumn("new", F.lit(False)))
+MARK = "struct<sid: binary, lo: int, hi: int>"
+#: A level's row: a core's segments, and their suffix array as two arrays of 32-bit integers: segment and start.
+LEVEL = f"core long, sids array<binary>, segs array<binary>, of binary, at binary, marks array<{MARK}>"
+
+
+def _marks(side: list[bytes], found: set) -> list[dict]:
+    by: dict[int, list[int]] = {}
+    for k, i in found:
+        by.setdefault(k, []).append(i)
+    return [{"sid": side[k], "lo": lo, "hi": hi} for k, starts in by.items() for lo, hi in _intervals(starts)]
+
+
+def _level_rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    mark = pa.list_(pa.struct([("sid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary(), mark]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["core", "sids", "segs", "of", "at", "marks"])
 
-    def marked(new: list[tuple], old: list[tuple]) -> Iterator[tuple]:
-        """sid, lo, hi for one core; new and old hold (sid, seg), at most LARGE together."""
-        array = suffix_array([seg for _, seg in new], length) if new else []
-        if alone:
-            hit, other = repeats_within(array), set()
-        else:
-            hit, other = merge_scan(array, suffix_array([seg for _, seg in old], length))
-        for side, marks in ((new, hit), (old, other)):
-            by: dict[int, list[int]] = {}
-            for k, i in marks:
-                by.setdefault(k, []).append(i)
-            for k, starts in by.items():
-                for lo, hi in _intervals(starts):
-                    yield side[k][0], lo, hi
+
+def level(segs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """LEVEL of a batch of segments (core, sid, seg), each sid once; marks are the repeats within the batch. The only sort there is."""
+
+    def made(core: int, sids: list[bytes], held: list[bytes]) -> tuple:
+        import numpy as np
+
+        array = suffix_array(held, length)
+        of, at = (np.array([x[i] for x in array], dtype="<i4").tobytes() for i in (1, 2))
+        return core, sids, held, of, at, _marks(sids, repeats_within(array))
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        last, sids, held, rows, size = None, [], [], [], 0
+        for batch in batches:
+            for core, sid, seg in zip(*(batch.column(i) for i in range(3))):
+                core, sid = core.as_py(), sid.as_py()
+                if core != last and sids:
+                    rows.append(made(last, sids, held))
+                    size += sum(map(len, held))
+                    sids, held = [], []
+                    if size > 1_000_000:
+                        yield _level_rows(rows)
+                        rows, size = [], 0
+                last = core
+                if not sids or sids[-1] != sid:
+                    sids.append(sid)
+                    held.append(seg.as_py())
+        if sids:
+            rows.append(made(last, sids, held))
+        yield _level_rows(rows)
+
+    return segs.select("core", "sid", "seg").repartition("core").sortWithinPartitions("core", "sid").mapInArrow(run, LEVEL)
+
+
+def _met(new: DataFrame, old: DataFrame, length: int, keep: bool) -> DataFrame:
+    """LEVEL of the cores of two levels. With ``keep``, all of them, their arrays merged; else only the marks of those in both."""
+    cols = ["sids", "segs", "of", "at"]
+    a, b = (x.select("core", *[F.col(c).alias(f"{c}_{e}") for c in cols]) for x, e in ((new, "a"), (old, "b")))
+    both = a.join(b, "core", "full" if keep else "inner")
 
-        def out(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int32()))], names=["sid", "lo", "hi"])
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        def array(row: dict, e: str) -> list[tuple[bytes, int, int]]:
+            of, at = (np.frombuffer(row[f"{c}_{e}"], dtype="<i4").tolist() for c in ("of", "at"))
+            return [(row[f"segs_{e}"][k][i : i + length], k, i) for k, i in zip(of, at)]
 
-        last, sides, rows = None, ([], []), []
         for batch in batches:
-            for core, sid, seg, new in zip(*(batch.column(i) for i in range(4))):
-                core, new = core.as_py(), new.as_py()
-                if core != last:
-                    if len(sides[0]) > alone and (alone or sides[1]):
-                        rows += marked(*sides)
-                    last, sides = core, ([], [])
-                sides[0 if new else 1].append((sid.as_py(), seg.as_py()))
-            if len(rows) > 10_000:
-                yield out(rows)
+            for a0 in range(0, batch.num_rows, 100):
                 rows = []
-        if len(sides[0]) > alone and (alone or sides[1]):
-            rows += marked(*sides)
-        yield out(rows)
-
-    dealt = both.select("core", "sid", "seg", "new").repartition("core").sortWithinPartitions("core", "new", "sid")
-    return dealt.mapInArrow(run, "sid binary, lo int, hi int")
+                for row in batch.slice(a0, 100).to_pylist():
+                    one = next((e for e, f in ("ab", "ba") if row[f"sids_{f}"] is None), None)
+                    if one:
+                        rows.append((row["core"], *[row[f"{c}_{one}"] for c in cols], []))
+                        continue
+                    x, y = array(row, "a"), array(row, "b")
+                    if keep:
+                        order = merged(y, x, len(row["sids_b"]))
+                        of, at = (np.array([o[i] for o in order], dtype="<i4").tobytes() for i in (0, 1))
+                        rows.append((row["core"], row["sids_b"] + row["sids_a"], row["segs_b"] + row["segs_a"], of, at, []))
+                    else:
+                        hit, other = merge_scan(x, y)
+                        if hit:
+                            rows.append((row["core"], [], [], b"", b"", _marks(row["sids_a"], hit) + _marks(row["sids_b"], other)))
+                yield _level_rows(rows)
+
+    return both.mapInArrow(run, LEVEL)
+
+
+class Family:
+    """Levels of sorted segments whose sizes, in batches, are like the digits of a binary counter.
+
+    Levels are scratch tables, or folders of ``path``, where ``Family(spark, path)`` finds them again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH) -> None:
+        self.spark, self.path, self.length = spark, path, length
+        self.levels: list[tuple[int, str | None, DataFrame]] = []
+        for name in sorted(common.folders(spark, path), key=lambda n: int(n.split("-")[1])) if path else []:
+            self.levels.append((int(name.split("-")[2]), name, spark.read.schema(LEVEL).parquet(f"{path}/{name}")))
+
+    def _write(self, size: int, rows: DataFrame) -> tuple[int, str | None, DataFrame]:
+        if self.path is None:
+            return size, None, common.materialize(rows, WORK)
+        name = f"level-{1 + max([int(n.split('-')[1]) for _, n, _ in self.levels], default=0)}-{size}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return size, name, self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}")
+
+    def settle(self) -> None:
+        """Merges levels of equal size."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, x, new), (_, y, old) = self.levels[-1], self.levels[-2]
+            both = self._write(size * 2, _met(new, old, self.length, keep=True))
+            self.levels[-2:] = [both]
+            for name in (x, y):
+                if name:
+                    common.delete(self.spark, f"{self.path}/{name}")
+
+    def add(self, segs: DataFrame) -> DataFrame:
+        """sid, lo, hi: the starts (lo to hi) of strings of new segments (core, sid, seg; sids that are new) that repeat in them or in older ones, and of the older ones that repeat in the new."""
+        self.settle()
+        one = self._write(1, level(segs, self.length))
+        found = one[2].select(F.explode("marks").alias("m")).select("m.*")
+        for _, _, old in self.levels:
+            found = found.unionByName(_met(one[2], old, self.length, keep=False).select(F.explode("marks").alias("m")).select("m.*"))
+        self.levels.append(one)
+        return common.materialize(found, WORK)
 
 
 def family(segs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """sid, lo, hi over all segments (core, sid, seg), by batches against a logarithmic family of levels."""
-    levels: list[tuple[int, DataFrame]] = []
-    found: list[DataFrame] = []
+    """sid, lo, hi over all segments (core, sid, seg), a batch at a time."""
+    levels, found = Family(segs.sparkSession, None, length), []
     for i in range(batches):
-        batch = segs.where(F.pmod(F.xxhash64("sid"), F.lit(batches)) == i)
-        found.append(scan(batch, None, length))
-        found += [scan(batch, level, length) for _, level in levels]
-        size, now = 1, batch
-        while levels and levels[-1][0] == size:
-            now, size = levels.pop()[1].unionByName(now), size * 2
-        levels.append((size, now))
+        found.append(levels.add(segs.where(F.pmod(F.xxhash64("sid"), F.lit(batches)) == i)))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -240,7 +334,7 @@ def _by_hash(segs: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(marked: DataFrame, length: int) -> DataFrame:
-    """h, n, n_removed, n_spans, spans, kept_sha256 of texts with their repeated starts (columns h, n, text, marks)."""
+    """h, g, n_removed, n_spans, spans, kept_sha256 of texts with their repeated starts (columns h, g, text, marks)."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -249,7 +343,7 @@ def _cut(marked: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for h, n, text, marks in zip(*(batch.column(i) for i in range(4))):
+            for h, g, text, marks in zip(*(batch.column(i) for i in range(4))):
                 data, spans = text.as_py().encode(), []
                 for m in sorted((m["lo"], m["hi"] - 1 + length) for m in marks.as_py()):
                     if spans and m[0] <= spans[-1][1]:
@@ -261,52 +355,110 @@ def _cut(marked: DataFrame, length: int) -> DataFrame:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                rows.append((h.as_py(), n.as_py(), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], kept.hexdigest()))
+                rows.append((h.as_py(), g.as_py(), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], kept.hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["h", "n", "n_removed", "n_spans", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["h", "g", "n_removed", "n_spans", "spans", "kept_sha256"])
 
-    return marked.mapInArrow(run, "h long, n long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string")
+    return marked.mapInArrow(run, "h long, g long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string")
+
+
+def _result(base: DataFrame, cut: DataFrame, length: int) -> DataFrame:
+    """One row per document from base (doc_id, h, g, n, sha) and the cut texts; whole texts that repeat are gone."""
+    whole = base.groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")).where(f"copies > 1 and n >= {length}").select("h", "g", F.lit(True).alias("gone"))
+    out = base.join(whole, ["h", "g"], "left").join(cut, ["h", "g"], "left")
+    empty = F.sha2(F.lit(""), 256)
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        F.when(F.col("gone"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("gone"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("gone"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
+        F.when(F.col("gone"), empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
+
+
+def _marked(segs: DataFrame, twice: DataFrame, found: DataFrame) -> DataFrame:
+    """h, g, marks: the starts that repeat in each text, from its segments (h, g, s, k, sid), the sids that stand twice, and the family's marks."""
+    alike = segs.join(twice, "sid").select("h", "g", F.col("s").alias("lo"), (F.col("s") + F.col("k")).alias("hi"))
+    near = segs.select("h", "g", "s", "sid").join(found, "sid").select("h", "g", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
+    return alike.unionByName(near).groupBy("h", "g").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+
+
+def _base(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "h", "g", "n", F.sha2("text", 256).alias("sha"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (byte offsets), kept_sha256."""
     texts = _texts(docs)
-    base = common.materialize(texts.select("doc_id", "h", "n", F.sha2("text", 256).alias("sha")), OWNER)
-    whole = base.groupBy("h", "n").agg(F.count(F.lit(1)).alias("copies")).where(f"copies > 1 and n >= {length}").select("h", "n")
+    base = common.materialize(_base(texts), OWNER)
     each = common.materialize(_all_runs(texts, length, core), RUNS)
-    place = F.xxhash64("h", "n", "s")
+    place = F.xxhash64("h", "g", "s")
     twice = each.groupBy("core").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("core")
     twice = common.materialize(twice, RUNS)  # as a table of its own, a hot core's side of the join can be split
-    flagged = each.join(twice.hint("merge"), "core").groupBy("h", "n").agg(F.collect_set(F.struct("s", "k", "core")).alias("runs"))
+    flagged = each.join(twice.hint("merge"), "core").groupBy("h", "g").agg(F.collect_set(F.struct("s", "k", "core")).alias("runs"))
     flagged = common.materialize(flagged, WORK)
     common.drop(RUNS, docs.sparkSession)
     wanted = common.checked_broadcast(common.materialize(flagged.select(F.col("h").alias("_h")).distinct(), WORK))
-    some = texts.join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h", "n").agg(F.first("text").alias("text"))
-    some = common.materialize(some.join(flagged, ["h", "n"]).select("h", "n", "text", "runs"), WORK)
+    some = texts.join(wanted, F.col("h") == F.col("_h"), "left_semi").groupBy("h", "g").agg(F.first("text").alias("text"))
+    some = common.materialize(some.join(flagged, ["h", "g"]).select("h", "g", "text", "runs"), WORK)
     segs = common.materialize(_segments(some, length), WORK)
-    kinds = segs.groupBy("sid", "core").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "n", "s")).alias("first"))
+    kinds = segs.groupBy("sid", "core").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "g", "s")).alias("first"))
     kinds = common.materialize(kinds, WORK)
     shared = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     apart = kinds.join(shared, "core").select("core", "sid", "m", "first.*")
-    apart = segs.join(apart, ["core", "sid", "h", "n", "s"]).select("core", "sid", "m", "seg")
+    apart = segs.join(apart, ["core", "sid", "h", "g", "s"]).select("core", "sid", "m", "seg")
     apart = common.materialize(apart, WORK)
     found = family(apart.where(F.col("m") <= LARGE).drop("m"), length, batches)
     if apart.where(F.col("m") > LARGE).limit(1).count():
         found = found.unionByName(_by_hash(apart.where(F.col("m") > LARGE), length))
-    found = common.materialize(found, WORK)
-    alike = segs.join(kinds.where("c > 1").select("sid", "core"), ["sid", "core"]).select("h", "n", F.col("s").alias("lo"), (F.col("s") + F.col("k")).alias("hi"))
-    near = segs.select("h", "n", "s", "sid").join(found, "sid").select("h", "n", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
-    marks = alike.unionByName(near).groupBy("h", "n").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
-    cut = common.materialize(_cut(some.select("h", "n", "text").join(marks, ["h", "n"]), length), OWNER)
+    marks = _marked(segs, kinds.where("c > 1").select("sid"), common.materialize(found, WORK))
+    cut = common.materialize(_cut(some.select("h", "g", "text").join(marks, ["h", "g"]), length), OWNER)
     common.drop(WORK, docs.sparkSession)
-    gone = whole.withColumn("gone", F.lit(True))
-    out = base.join(gone, ["h", "n"], "left").join(cut, ["h", "n"], "left")
-    empty = F.sha2(F.lit(""), 256)
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_bytes"),
-        F.when(F.col("gone"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("gone"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("gone"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
-        F.when(F.col("gone"), empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    return _result(base, cut, length)
+
+
+class Corpus:
+    """Documents that come in batches, with the index family of all their segments in folders of ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, core: int = CORE) -> None:
+        self.spark, self.path, self.length, self.core = spark, path, length, core
+        self.family = Family(spark, f"{path}/family", length)
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _read(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/{name}") if name in common.folders(self.spark, self.path) else None
+
+    def add(self, docs: DataFrame) -> None:
+        """Indexes a batch: its new texts' segments become a level that is scanned against all others."""
+        texts, known = _texts(docs), self._read("texts")
+        new = texts.where(F.col("n") >= self.length).select("h", "g", "n", "text").dropDuplicates(["h", "g"])
+        new = new.join(known.select("h", "g"), ["h", "g"], "left_anti") if known is not None else new
+        new = common.materialize(new, WORK)
+        runs_ = _all_runs(new, self.length, self.core).groupBy("h", "g").agg(F.collect_list(F.struct("s", "k", "core")).alias("runs"))
+        segs = common.materialize(_segments(new.select("h", "g", "text").join(runs_, ["h", "g"]), self.length), WORK)
+        before = self._read("segments")
+        fresh = segs.groupBy("core", "sid").agg(F.first("seg").alias("seg"))
+        fresh = fresh.join(before.select("sid"), "sid", "left_anti").select("core", "sid", "seg") if before is not None else fresh
+        sizes = segs.select("core", "sid").unionByName(before.select("core", "sid")) if before is not None else segs.select("core", "sid")
+        hot = sizes.distinct().groupBy("core").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("core")
+        fresh = common.materialize(fresh, WORK)
+        found = self.family.add(fresh.join(hot, "core", "left_anti"))
+        self._append("marks", found)
+        self._append("segments", segs.select("h", "g", "s", "k", "core", "sid"))
+        self._append("kinds", fresh)
+        self._append("texts", new)
+        self._append("documents", _base(texts))
+        common.drop(WORK, self.spark)
+
+    def report(self) -> DataFrame:
+        """What ``repeated`` tells of all documents so far."""
+        segs, kinds, found = (self._read(n) for n in ("segments", "kinds", "marks"))
+        hot = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("core")
+        found = found.unionByName(_by_hash(kinds.join(hot, "core"), self.length))
+        twice = segs.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sid")
+        marks = _marked(segs, twice, found.distinct())
+        cut = _cut(self._read("texts").select("h", "g", "text").join(marks, ["h", "g"]), self.length)
+        return _result(self._read("documents"), cut, self.length)
