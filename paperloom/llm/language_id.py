@@ -67,7 +67,7 @@ def _odd() -> frozenset[str]:
 def _letters() -> re.Pattern:
     letter, mark = _ranges(str.isalpha), _ranges(lambda c: unicodedata.category(c) in ("Mn", "Mc"))
     return re.compile(f"[{letter}][{letter}{mark}]*")
-_FLUSH, _MEMO = 250_000, 50_000
+_FLUSH, _MEMO = 250_000, 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -132,40 +132,50 @@ def train(docs: DataFrame) -> dict:
     return model
 
 
-class Scorer:
-    """Mean scores of texts under a model; keeps the scores of unseen words in a bounded memo."""
+class Scorer(dict):
+    """Mean scores of texts under a model: word -> row of one table of scores.
+
+    Words of the lists have their rows; a word beyond them gets one when it is first met, by its n-grams, until ``_MEMO`` of them are forgotten.
+    """
 
     def __init__(self, model: dict) -> None:
+        super().__init__(model["items"][WORD_ORDER])
         self.langs, self.items, self.tables = model["langs"], model["items"], model["scores"]
-        self.memo: dict[str, object] = {}
-
-    def unseen(self, word: str):
-        found = self.memo.get(word)
-        if found is None:
-            found = np.full(len(self.langs), PENALTY)
-            padded = f" {word} "
-            for n in ORDERS:
-                known = self.items[n]
-                rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
-                if rows:
-                    found = self.tables[n][rows].mean(axis=0, dtype="float64")
-                    break
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+        self.listed, self.used = len(self), len(self)
+        room = np.full((_MEMO if self.langs else 0, len(self.langs)), PENALTY, dtype="float32")
+        self.table = np.concatenate([self.tables[WORD_ORDER].reshape(self.listed, len(self.langs)), room])
+
+    def __missing__(self, word: str) -> int:
+        row = self.used
+        padded = f" {word} "
+        self.table[row] = PENALTY
+        for n in ORDERS:
+            known = self.items[n]
+            rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
+            if rows:
+                self.table[row] = np.add.reduce(self.tables[n].take(rows, axis=0), axis=0, dtype="float64") / len(rows)
+                break
+        self[word] = row
+        self.used += 1
+        return row
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' scores, by language."""
+        out = np.zeros(len(self.langs))
+        for a in range(0, len(words), _MEMO // 2):
+            part = words[a : a + _MEMO // 2]
+            if self.used + len(part) > len(self.table):
+                self.clear()
+                self.update(self.items[WORD_ORDER])
+                self.used = self.listed
+            out += self.table.take([self[w] for w in part], axis=0).sum(axis=0, dtype="float64")
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known = self.items[WORD_ORDER]
-        rows = [r for w in words if (r := known.get(w)) is not None]
-        total = self.tables[WORD_ORDER][rows].sum(axis=0, dtype="float64") if rows else np.zeros(len(self.langs))
-        if len(rows) < len(words):
-            for w in words:
-                if w not in known:
-                    total = total + self.unseen(w)
+        total = self.total(words)
         best = int(total.argmax())
         margin = np.exp((total - total[best]) / len(words) * min(len(words), 10) * math.log(10))
         return self.langs[best], float(1 / margin.sum())
