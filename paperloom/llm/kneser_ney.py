@@ -53,7 +53,7 @@ SPACE, DIGIT, OTHER, START, END, FIRST = range(6)
 MOST_BITS, LEADS, TRAILS = 12, 1088, 1024
 DIRECT = (1 << MOST_BITS) - FIRST - LEADS - TRAILS
 #: N-grams of the model that are broadcast (16 bytes each).
-HOT = 2_000_000
+HOT = 1_000_000
 #: The Bloom filter has about 16 bits for each other n-gram, but no more than this (64 MB).
 FILTER_BITS = 1 << 29
 LEAST_FILTER_BITS = 1 << 20
@@ -271,7 +271,7 @@ def filter_bits(cold: DataFrame) -> tuple:
     places = F.explode(F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))).alias("at")
     words_ = cold.select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("x"))
     out = np.zeros(bits // 64, dtype=np.int64)
-    found = words_.toPandas()  # at most FILTER_BITS / 64 rows
+    found = words_.toArrow()  # at most FILTER_BITS / 64 rows
     out[found["word"].to_numpy()] = found["x"].to_numpy()
     return bits, out.view(np.uint64)
 
@@ -302,8 +302,10 @@ def score(rows: DataFrame, letters: list[str], model: DataFrame, unknown: dict[i
 
     most, cold = split_hot(model, hot)
     cold = common.materialize(cold, WORK)
-    table = most.toPandas().sort_values("key")  # at most HOT rows
-    sent = rows.sparkSession.sparkContext.broadcast((letters, table["key"].to_numpy(np.int64), table["w"].to_numpy(np.int64), *filter_bits(cold)))
+    table = most.toArrow()  # at most HOT rows of two longs
+    key, weight = table["key"].to_numpy(), table["w"].to_numpy()
+    order = np.argsort(key)
+    sent = rows.sparkSession.sparkContext.broadcast((letters, key[order], weight[order], *filter_bits(cold)))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
