@@ -6,9 +6,11 @@ matches a whole class. Each superstep, from the longest class down, sweeps the s
 the successor (the smallest gap that still holds the class), gives the class's pieces to that
 gap's sequences by rank (piece of rank r to the r-th sequence, so no two claim one place),
 updates the gaps and repeats until the class is placed; what finds no gap opens sequences.
-The supersteps run on counts per length (at most ``capacity`` rows, whatever the input);
-the pieces themselves are ranked within their length on the executors and pick up their place
-by a join with the supersteps' runs.
+The sweeps run on the driver, over counts per length (at most ``capacity`` rows, whatever the
+input): pieces of one length are alike, and so are gaps of one size, so a sweep over sorted
+classes with their counts finds what a distributed sweep over the sorted pieces and gaps
+themselves would. The pieces are ranked within their length on the executors and pick up
+their place by a join with the supersteps' runs.
 
 Edge cases: null or empty text is a document with the end id alone; repeated rows are packed
 once each; an empty table gives no row; extra columns are ignored; a null doc_id stays null.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY, END_ID = 1024, 2
+#: Runs of a plan up to here are broadcast (about 10 MB); beyond, they are joined by shuffle.
+BROADCAST_RUNS = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -116,10 +120,12 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     schema = "r_length long, r_lo long, r_hi long, r_seq long, r_offset long"
-    runs = spark.createDataFrame(supersteps(counts, capacity), schema)
-    ranked = common.class_rank(parts, ["length"], ["doc_id", "piece", "ids_crc32"])
+    plan = supersteps(counts, capacity)
+    runs = spark.createDataFrame(plan, schema)
+    ranked = common.class_rank(parts, ["length"], ["doc_id", "piece", "ids_crc32"], sum(counts.values()))
     # The runs follow from `capacity` and the counts' digits, not from the rows: a few thousand for 1024.
-    at = ranked.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("r_lo")) & (F.col("rank") < F.col("r_hi")))
+    runs = F.broadcast(runs) if len(plan) <= BROADCAST_RUNS else runs
+    at = ranked.join(runs, (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("r_lo")) & (F.col("rank") < F.col("r_hi")))
     return at.select(*parts.columns, (F.col("r_seq") + F.col("rank") - F.col("r_lo")).alias("sequence_id"), F.col("r_offset").alias("offset"))
 
 

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_scratch: dict[str, list[str]] = {}
+class _Scratch(threading.local):
+    """Scratch tables by owner; each thread has its own, so runs side by side in one driver don't delete each other's."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, list[str]] = {}
+
+
+_scratch = _Scratch()
 _own_dir: dict[str, str] = {}
 
 
@@ -30,15 +38,15 @@ def materialize(df: DataFrame, owner: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/paperloom/{owner}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.setdefault(owner, []).append(path)
+    _scratch.paths.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(owner: str, spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete an owner's scratch tables that nothing reads any more: those after the first ``since``, but the last ``keep``."""
-    paths = _scratch.get(owner, [])
+    paths = _scratch.paths.get(owner, [])
     end = len(paths) - keep
-    gone, _scratch[owner] = paths[since:end], paths[:since] + paths[max(since, end) :]
+    gone, _scratch.paths[owner] = paths[since:end], paths[:since] + paths[max(since, end) :]
     for p in gone:
         delete(spark, p)
 
@@ -61,19 +69,25 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 def written(owner: str) -> int:
     """How many scratch tables an owner has now, for ``drop(since=...)``."""
-    return len(_scratch.get(owner, []))
+    return len(_scratch.paths.get(owner, []))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def class_rank(df: DataFrame, by: list[str], order: list[str], salts: int = 64, to: str = "rank") -> DataFrame:
-    """0-based gapless rank of each row within the class ``by``.
+#: Rows that one window of a class should rank, if the whole table were of that class.
+WINDOW_ROWS = 500_000
+
+
+def class_rank(df: DataFrame, by: list[str], order: list[str], rows: int, salts: int = 64, to: str = "rank") -> DataFrame:
+    """0-based gapless rank of each row within the class ``by``, in a table of ``rows`` rows.
 
-    A class may hold any share of the rows: it is dealt over ``salts`` windows by a
-    hash of ``order``, and the windows' starts come from a prefix sum over their counts.
+    A class may hold any share of the rows: it is dealt over ``salts`` windows, or as many as the
+    table's rows call for, by a hash of ``order``, and the windows' starts come from a prefix sum
+    over their counts.
     """
+    salts = max(salts, -(-rows // WINDOW_ROWS))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     keys = [*by, "_salt"]
     counts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

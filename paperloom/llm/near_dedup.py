@@ -100,12 +100,15 @@ def _linked(a, b, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, recs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by batches of signatures and then by the whole sets; b may be a hub."""
+    """The pairs (a, b) that are links; b may be a hub. Signatures are compared first, and only what they leave meets its whole sets."""
     steps = least_matches(percent)
-    left = pairs.join(recs.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"), F.col("set").alias("set_a")), "a")
-    both = left.join(recs.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"), F.col("set").alias("set_b")), "b")
 
-    def run(batches: Iterator) -> Iterator:
+    def with_(rows: DataFrame, field: str) -> DataFrame:
+        for side in ("a", "b"):
+            rows = rows.join(recs.select(F.col("rid").alias(side), F.col(field).alias(f"{field}_{side}")), side)
+        return rows.select("a", "b", f"{field}_a", f"{field}_b")
+
+    def alike(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
@@ -118,10 +121,18 @@ def verify(pairs: DataFrame, recs: DataFrame, percent: int) -> DataFrame:
             for n, least in steps:
                 matches = matches + (sig[0][alive, done:n] == sig[1][alive, done:n]).sum(axis=1)
                 alive, matches, done = alive[matches >= least], matches[matches >= least], n
-            kept = [int(i) for i in alive if _linked(*(np.frombuffer(batch.column(at[c])[int(i)].as_py(), dtype=np.uint64) for c in ("set_a", "set_b")), percent)]
-            yield pa.RecordBatch.from_arrays([batch.column(at["a"]).take(pa.array(kept, pa.int64())), batch.column(at["b"]).take(pa.array(kept, pa.int64()))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(at[c]).take(pa.array(alive, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
+    def linked(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [i for i in range(batch.num_rows) if _linked(*(np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in (2, 3)), percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["u", "v"])
 
-    return both.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(run, "u long, v long")
+    left = common.materialize(with_(pairs, "sig").mapInArrow(alike, "a long, b long"), WORK)
+    return with_(left, "set").mapInArrow(linked, "u long, v long")
 
 
 def compare_blocks(members: DataFrame, recs: DataFrame, percent: int) -> DataFrame:
@@ -131,7 +142,7 @@ def compare_blocks(members: DataFrame, recs: DataFrame, percent: int) -> DataFra
     cluster; BLOCK rows of each side meet in one task, and only links leave it.
     """
     steps = least_matches(percent)
-    ranked = common.class_rank(members, ["cluster", "straggler"], ["rid", "label"], salts=16)
+    ranked = common.class_rank(members, ["cluster", "straggler"], ["rid", "label"], members.count(), salts=16)
     blocked = common.materialize(ranked.select("cluster", "rid", "label", F.when(F.col("straggler"), F.floor(F.col("rank") / BLOCK)).otherwise(-1 - F.floor(F.col("rank") / BLOCK)).alias("block")), WORK)
     names = blocked.select("cluster", "block").distinct()
     i, j = names.select("cluster", F.col("block").alias("i")), names.select("cluster", F.col("block").alias("j"))

@@ -12,7 +12,7 @@ rate of rejected bad documents less WEIGHT times the rate of rejected good ones
 that is positive; a stratum with too few labels to certify anything gets no cutoff.
 
 Edge cases: null text has no words and fails the base; a null language is a stratum of its own
-(``und``); documents without a word have the value 0 for all rules; labels that repeat a doc_id
+(the empty name); documents without a word have the value 0 for all rules; labels that repeat a doc_id
 count once, by the lowest quality; labels without a document don't count; an empty table gives
 no row; extra columns are ignored; texts of any length are read whole.
 """
@@ -95,6 +95,22 @@ def upper_bound_within(failed: int, of: int, limit: float, delta: float) -> bool
     return total <= delta
 
 
+def best_cutoff(by: dict[int, tuple[int, int]], share: float, level: float) -> tuple[int, int, int, int, int] | None:
+    """(cutoff, n_good, n_false, n_bad, n_true) of the certified cutoff that is worth most, or None; by: value in units -> good and bad documents."""
+    good, bad = (sum(x[i] for x in by.values()) for i in (0, 1))
+    false = true = most = 0
+    best = None
+    for cut in range(BINS, 0, -1):
+        g, y = by.get(cut, (0, 0))
+        false, true = false + g, true + y
+        if not upper_bound_within(false, good, share, level):
+            break
+        worth = true * good - WEIGHT * false * bad
+        if worth > most:
+            best, most = (cut, good, false, bad, true), worth
+    return best
+
+
 def _with_bins(rows: DataFrame) -> DataFrame:
     """Adds, for each rule, bin_<rule>: the largest cutoff (in units) that the row reaches, at most BINS."""
     for k, (unit, x) in RULES.items():
@@ -103,7 +119,7 @@ def _with_bins(rows: DataFrame) -> DataFrame:
 
 
 def _stratum():
-    return F.coalesce("lang", F.lit("und"))
+    return F.coalesce("lang", F.lit(""))
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -121,22 +137,8 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     def certify(batch):
         import pandas as pd
 
-        out = []
-        b = batch.sort_values("bin")
-        good, bad = int(b["good"].sum()), int(b["bad"].sum())
-        by = {int(x): (int(g), int(y)) for x, g, y in zip(b["bin"], b["good"], b["bad"])}
-        false = true = 0
-        best, most = None, 0
-        for cut in range(BINS, 0, -1):
-            g, y = by.get(cut, (0, 0))
-            false, true = false + g, true + y
-            if not upper_bound_within(false, good, share, level):
-                break
-            worth = true * good - WEIGHT * false * bad
-            if worth > most:
-                best, most = (cut, good, false, bad, true), worth
-        if best:
-            out.append((b["stratum"].iloc[0], b["rule"].iloc[0], *best))
+        best = best_cutoff({int(x): (int(g), int(y)) for x, g, y in zip(batch["bin"], batch["good"], batch["bad"])}, share, level)
+        out = [(batch["stratum"].iloc[0], batch["rule"].iloc[0], *best)] if best else []
         return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "n_false", "n_bad", "n_true"])
 
     return counts.groupBy("stratum", "rule").applyInPandas(certify, "stratum string, rule string, cutoff int, n_good long, n_false long, n_bad long, n_true long")

@@ -78,7 +78,7 @@ def _op1_sql() -> str:
     limit = f"CAST({q.ALPHA / len(rules)!r} AS DOUBLE)"
     broken = ", ".join(f"CASE WHEN b.bin_{k} >= c_{k}.cut THEN '{k}' END" for k in sorted(rules))
     joins = " ".join(f"LEFT JOIN best c_{k} ON c_{k}.stratum = b.stratum AND c_{k}.rule = '{k}'" for k in sorted(rules))
-    return rf"""WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+    return rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
  win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
  rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1) GROUP BY 1),
  f AS (SELECT t.doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -135,12 +135,13 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
         F.unhex(F.coalesce(F.md5(text.cast("binary")), F.lit(""))).alias("text_key"),
     )
     base = common.materialize(base, "sharding")
+    rows = base.count()
     groups = base.groupBy("text_key").agg(F.sum("size").alias("group_size"))
-    ranked = common.materialize(common.class_rank(groups, ["group_size"], ["text_key"], salts=16), "sharding")
+    ranked = common.materialize(common.class_rank(groups, ["group_size"], ["text_key"], rows, salts=16), "sharding")
     sizes = [(r[0], r[1]) for r in ranked.groupBy("group_size").agg(F.count(F.lit(1))).toLocalIterator()]
     plan = even_sizes(sizes, shards) if shards else pack_sizes(sizes, capacity)[0]
     runs = spark.createDataFrame(plan, "r_size long, r_lo long, r_hi long, shard int")
     runs = F.broadcast(runs) if len(plan) <= BROADCAST_RUNS else runs
     at = ranked.join(runs, (F.col("group_size") == F.col("r_size")) & (F.col("rank") >= F.col("r_lo")) & (F.col("rank") < F.col("r_hi")))
     placed = base.join(at.select("text_key", "shard"), "text_key").select("doc_id", "size", "text_crc32", "shard")
-    return common.class_rank(placed, ["shard"], ["doc_id", "text_crc32"], salts=512, to="slot")
+    return common.class_rank(placed, ["shard"], ["doc_id", "text_crc32"], rows, salts=512, to="slot")

@@ -47,3 +47,18 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def nothing(odd):
     return odd.limit(0)
+
+
+@pytest.fixture
+def duck_of(tmp_path):
+    """A DuckDB connection over DataFrames, by table name."""
+    import duckdb
+
+    def made(**tables):
+        c = duckdb.connect()
+        for name, df in tables.items():
+            df.write.parquet(str(tmp_path / name))
+            c.sql(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+        return c
+
+    return made

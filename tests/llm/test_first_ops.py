@@ -305,3 +305,52 @@ def test_packing(spark, documents, odd, nothing):
     made = best_fit_packing.sequences(best_fit_packing.pack(documents, with_ids=True)).collect()
     assert sum(len(r.ids) for r in made) == sum(r.length for r in best_fit_packing.pack(documents).collect())
     assert best_fit_packing.bounds(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
+
+
+def test_quality_cutoffs_of_three_strata(spark, duck_of):
+    """With labels enough for each stratum, cutoffs, broken rules and verdicts are those of the SQL."""
+    import random
+
+    rng = random.Random(6)
+    rows, labels = [], []
+    for s, lang in enumerate(("en", "fr", None)):
+        for i in range(1500):
+            bad = i % 9 == 0
+            words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 8 + s))) for _ in range(rng.randrange(12, 20))]
+            if bad or rng.random() < 0.002:
+                words = [w + rng.choice(["#", "##", "|$", "q" * 30, "x" * 60]) * rng.randrange(1, 4) for w in words]
+            rows.append((2000 * s + i, " ".join(words) + ("\nsame line" * 4 if bad and i % 2 else ""), lang))
+            if i % 20:
+                labels.append((2000 * s + i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labs = spark.createDataFrame(labels, "doc_id long, quality int")
+    cuts = quality_rules.cutoffs(quality_rules.features(docs), labs).collect()
+    assert {c.stratum for c in cuts} == {"en", "fr", ""} and len(cuts) >= 4
+    got = {r.doc_id: (r.kept, ",".join(r.failed_rules), r.stratum) for r in quality_rules.judge(docs, labs).collect()}
+    want = duck_of(documents=docs, labels=labs).sql(queries.oracle_sql()["op1_quality_rules"])
+    at = {c: i for i, c in enumerate(want.columns)}
+    assert got == {r[at["doc_id"]]: (r[at["kept"]], r[at["failed_rules"]], r[at["stratum"]]) for r in want.fetchall()}
+    assert sum(bool(f) for _, f, _ in got.values()) > 200
+
+
+def test_false_rejection_is_held(spark):
+    """Over many draws of labels, hardly ever a cutoff whose true false rejection is above its share."""
+    import random
+
+    rng = random.Random(7)
+    share, level, broken, used = 0.02, 0.05, 0, 0
+    for _ in range(300):
+        # good documents reach a value v or more with probability 0.97 ** v
+        by = defaultdict(lambda: [0, 0])
+        for i in range(700):
+            v = 0
+            while rng.random() < 0.97 and v < quality_rules.BINS:
+                v += 1
+            by[v][0] += 1
+        for _ in range(200):
+            by[rng.randrange(60, 300)][1] += 1
+        best = quality_rules.best_cutoff({k: tuple(x) for k, x in by.items()}, share, level)
+        used += best is not None
+        broken += best is not None and 0.97 ** best[0] > share
+    # at most 300 * level are expected; the bound leaves three standard errors
+    assert used > 200 and broken <= 300 * level + 3 * (300 * level * (1 - level)) ** 0.5
