@@ -20,6 +20,7 @@ table gives no window; extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -95,52 +96,55 @@ def _escaped(text: str, at: int) -> bool:
 
 
 class Windows:
-    """The windows of one conversation, made while its turns arrive."""
+    """The windows of one conversation, made while its turns arrive.
+
+    ``sums`` are the prefix sums of the held turns' tokens: ``sums[k]`` stands before turn k, so a span
+    of turns i to j holds ``sums[j] - sums[i]`` tokens, and a bisection finds where a span may begin.
+    """
 
     def __init__(self, count, budget: int, history: int) -> None:
         self.count, self.budget, self.history = count, budget, history
         self.system: tuple | None = None
-        self.repeated: list[tuple] = []
-        self.new: list[tuple] = []
-        self.recent: list[tuple] = []
+        self.fixed = 0  # tokens of the system turn
+        self.turns: list[tuple] = []
+        self.sums = [0]
+        self.first = self.new = 0  # where the window begins, and its new turns
         self.seen = 0
 
     def _used(self) -> int:
-        return (self.system[1] if self.system else 0) + sum(t[1] for t in self.repeated) + sum(t[1] for t in self.new)
+        return self.fixed + self.sums[-1] - self.sums[self.first]
 
     def add(self, role: str | None, text: str) -> Iterator[tuple]:
         made = render(role, text)
-        turn = (made, self.count(made[0]), role)
+        size = self.count(made[0])
         self.seen += 1
         if self.seen == 1 and role == "system":
-            self.system = turn
+            self.system, self.fixed = (made, role), size
             return
-        if self.new and self._used() + turn[1] > self.budget:
+        if self.new < len(self.turns) and self._used() + size > self.budget:
             yield self._close()
-            self.repeated = list(self.recent)
-        while self.repeated and self._used() + turn[1] > self.budget:
-            self.repeated.pop(0)
-        self.new.append(turn)
-        self.recent.append(turn)
-        while self.recent and sum(t[1] for t in self.recent) > self.history:
-            self.recent.pop(0)
+            gone = bisect_left(self.sums, self.sums[-1] - self.history)
+            del self.turns[:gone], self.sums[:gone]
+            self.first, self.new = 0, len(self.turns)
+        if self.new == len(self.turns):  # repeated turns give way to the first new one
+            self.first = min(max(self.first, bisect_left(self.sums, self.fixed + self.sums[-1] + size - self.budget)), self.new)
+        self.turns.append((made, role))
+        self.sums.append(self.sums[-1] + size)
 
     def end(self) -> Iterator[tuple]:
-        if self.new or self.system and self.seen == 1:
+        if self.new < len(self.turns) or self.system and self.seen == 1:
             yield self._close()
 
     def _close(self) -> tuple:
-        turns = [*([self.system] if self.system else []), *self.repeated, *self.new]
-        first_new = len(turns) - len(self.new)
+        turns = [*([self.system] if self.system else []), *self.turns[self.first :]]
+        repeated = len(turns) - (len(self.turns) - self.new)
         text, loss, at = [], [], 0
-        for k, ((made, a, b), _, role) in enumerate(turns):
-            if k >= first_new and role == TARGET:
+        for k, ((made, a, b), role) in enumerate(turns):
+            if k >= repeated and role == TARGET:
                 loss.append((at + a, at + b))
             text.append(made)
             at += len(made)
-        used = self._used()
-        self.new, self.repeated = [], []
-        return "".join(text), loss, first_new, used, used > self.budget
+        return "".join(text), loss, repeated, self._used(), self._used() > self.budget
 
 
 def format_windows(conversations: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
