@@ -8,6 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and labels that results depend on.
+REDACTION_CASED = r"\b(5\.[12]\.[1-9][a-z]?)[a-z]?\b"
+CODE_GROUND, CODE_YEAR, CODE_LAW = r"^5\.[12]\.", r"^(?:19|20)\d{2}$", "^05[12][1-9]$"
+CODE_WITHIN, RASTER_ALONE, RASTER_WITHIN = r"0\d{3}", r"\b0\d{3}\b", r"\d{2,}(0\d{3})"
+PAGE_NUMBER, DOCNR = r"\b(\d{1,3})\b", r"(?i)docnr?\s*\d"
+FIRST_OF_PAGES = r"(?iU)\bpagina\s+1\s+van\b"
+PAGE_STAMP = r"(?iU)^[ \t]*(?:\d{4}|[do]ocn[r,]?\s*[\ds]+)"
+LEADING_STAMP = r"(?iU)^\s*(?:\d{4,}|[A-Z]{2,}\d+|\[PDF page \d+\])\s*"
+CHAT_CATEGORY = "chat|whatsapp|teams|sms|berichtenverkeer"
+REDACTED_ADDRESS = r"(?iU)<\s*,?\s*@([\w.-]+\.\w{2,})\s*>"
+SUBJECT_LINE = r"(?iU)^[ \t]*(?:subject|onderwerp|betreft)\s*:\s*(.+)"
+ATTACHMENT_LINE = r"(?iU)^[ \t]*(?:bijlage[n]?|attachment[s]?)\s*:\s*(.+)"
 REDACTION = r"5\.[12]\.[1-9][a-z]{0,2}"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 FIELDS = "from|van|afzender|to|aan|subject|onderwerp|betreft|sent|verzonden|datum|date|received|cc|bcc"
@@ -102,7 +113,7 @@ def larger_counts(a: Column, b: Column) -> Column:
 
 def annotate_ocr(text: Column) -> Column:
     """Wraps codes as [GELAKT: code]; wraps again what is wrapped already."""
-    return F.regexp_replace(text, rf"(?U)\b(5\.[12]\.[1-9][a-z]?)[a-z]?\b", "[GELAKT: $1]")
+    return F.regexp_replace(text, "(?U)" + REDACTION_CASED, "[GELAKT: $1]")
 
 
 def annotate_vlm(text: Column) -> Column:
@@ -121,11 +132,11 @@ def doc_code(raw: Column) -> Column:
     small = F.try_to_number(digits, F.lit("999")).cast("int")
     code = (
         F.when(n == 7, F.concat(F.lit("0"), F.substring(digits, 4, 3)))
-        .when(n > 4, F.coalesce(F.regexp_substr(digits, F.lit(r"0\d{3}")), F.right(digits, F.lit(4))))
+        .when(n > 4, F.coalesce(F.regexp_substr(digits, F.lit(CODE_WITHIN)), F.right(digits, F.lit(4))))
         .when(n == 4, digits)
         .when((n > 0) & small.between(1, 999), F.lpad(digits, 4, "0"))
     )
-    bad = raw.rlike(r"^5\.[12]\.") | code.rlike(r"^(?:19|20)\d{2}$") | (code == "0000") | code.rlike("^05[12][1-9]$") | ((n == 4) & ~code.startswith("0"))
+    bad = raw.rlike(CODE_GROUND) | code.rlike(CODE_YEAR) | (code == "0000") | code.rlike(CODE_LAW) | ((n == 4) & ~code.startswith("0"))
     return F.when(~bad & code.rlike(r"^\d{4}$"), code)
 
 
@@ -135,24 +146,24 @@ def is_year(code: Column) -> Column:
 
 def raster_code(text: Column, bottom: Column) -> Column:
     """A stamped code in a strip's text: alone, or at a strip at the bottom within a longer number."""
-    alone = F.regexp_substr(text, F.lit(r"\b0\d{3}\b"))
-    inside = F.nullif(F.regexp_extract(text, r"\d{2,}(0\d{3})", 1), F.lit(""))
+    alone = F.regexp_substr(text, F.lit(RASTER_ALONE))
+    inside = F.nullif(F.regexp_extract(text, RASTER_WITHIN, 1), F.lit(""))
     return F.coalesce(F.when(~is_year(alone), alone), F.when(bottom, inside))
 
 
 def small_page_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(strip(text), r"\b(\d{1,3})\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(strip(text), PAGE_NUMBER, 1), F.lit("")).cast("int")
 
 
 def has_docnr_label(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)docnr?\s*\d"), F.lit(False))
+    return F.coalesce(text.rlike(DOCNR), F.lit(False))
 
 
 # -- page predicates ---------------------------------------------------------------------------
 
 
 def marks_new_document(within_doc_page: Column, text: Column) -> Column:
-    return F.coalesce(within_doc_page == 1, F.lit(False)) | F.coalesce(text.rlike(r"(?iU)\bpagina\s+1\s+van\b"), F.lit(False))
+    return F.coalesce(within_doc_page == 1, F.lit(False)) | F.coalesce(text.rlike(FIRST_OF_PAGES), F.lit(False))
 
 
 def _fresh(text: Column, field: str, veto: str, within: int) -> Column:
@@ -165,7 +176,7 @@ def _fresh(text: Column, field: str, veto: str, within: int) -> Column:
 def starts_email(text: Column) -> Column:
     """A page that opens with a header field or stamp and has two header lines among its first 20."""
     field = rf"(?iU)^[ \t]*(?:{EMAIL_PAGE_FIELDS})\s*:"
-    return _fresh(text, field, rf"(?:{field})|(?iU)^[ \t]*(?:\d{{4}}|[do]ocn[r,]?\s*[\ds]+)", 20)
+    return _fresh(text, field, f"(?:{field})|{PAGE_STAMP}", 20)
 
 
 def starts_memo(text: Column) -> Column:
@@ -180,12 +191,12 @@ def is_new_vlm(is_new: Column, within_doc_page: Column) -> Column:
 
 def continues(text: Column) -> Column:
     """Whether a page starts in mid-sentence: a small letter after any stamp."""
-    rest = F.regexp_replace(F.regexp_replace(text, r"(?iU)^\s*(?:\d{4,}|[A-Z]{2,}\d+|\[PDF page \d+\])\s*", ""), r"(?U)^\s+", "")
+    rest = F.regexp_replace(F.regexp_replace(text, LEADING_STAMP, ""), r"(?U)^\s+", "")
     return F.coalesce(rest.rlike(r"^\p{Ll}"), F.lit(False))
 
 
 def is_chat_category(category: Column) -> Column:
-    return F.coalesce(F.lower(category).rlike("chat|whatsapp|teams|sms|berichtenverkeer"), F.lit(False))
+    return F.coalesce(F.lower(category).rlike(CHAT_CATEGORY), F.lit(False))
 
 
 def is_http_error(text: Column) -> Column:
@@ -303,11 +314,11 @@ def is_separator(line: Column) -> Column:
 
 
 def is_subject(line: Column) -> Column:
-    return F.coalesce(line.rlike(r"(?iU)^[ \t]*(?:subject|onderwerp|betreft)\s*:\s*(.+)"), F.lit(False))
+    return F.coalesce(line.rlike(SUBJECT_LINE), F.lit(False))
 
 
 def redacted_addresses(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?iU)<\s*,?\s*@([\w.-]+\.\w{2,})\s*>", "<[GELAKT]@$1>")
+    return F.regexp_replace(text, REDACTED_ADDRESS, "<[GELAKT]@$1>")
 
 
 def _until_header(block: Column) -> Column:
@@ -329,15 +340,14 @@ def header_value(block: Column, names: str, multiline: bool = False, within: int
 
 def attachments(block: Column) -> Column:
     """Names after an attachment label, and lines that are a file name alone, in the first 30 lines; in order, once each."""
-    label = r"(?iU)^[ \t]*(?:bijlage[n]?|attachment[s]?)\s*:\s*(.+)"
     trimmed = lambda x: F.regexp_replace(strip(x), "^[;,]+|[;,]+$", "")
 
     def of(line: Column) -> Column:
-        value = F.regexp_extract(line, label, 1)
+        value = F.regexp_extract(line, ATTACHMENT_LINE, 1)
         names = F.regexp_extract_all(value, F.lit(rf"(?iU)({FILENAME})"), F.lit(1))
         listed = F.when(F.size(names) > 0, names).otherwise(F.split(value, "[;,]"))
         alone = F.when(strip(line).rlike(rf"(?iU)^{FILENAME}$"), F.array(strip(line))).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.when(line.rlike(label), listed).otherwise(alone), trimmed)
+        return F.transform(F.when(line.rlike(ATTACHMENT_LINE), listed).otherwise(alone), trimmed)
 
     return F.array_distinct(F.filter(F.flatten(F.transform(F.slice(block, 1, 30), of)), lambda x: x != ""))
 
