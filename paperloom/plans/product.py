@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import providers
 from ..functions import text as T
 from ..operators import emails as E
+from ..operators import match as M
 from ..operators import sequence as S
 from . import dossier as P
 
@@ -54,6 +56,29 @@ def page_mails(pages: DataFrame) -> DataFrame:
     return made.join(first, ["dossier_id", "page_num"]).withColumnRenamed("page_num", "pdf_page").withColumn("time", F.lit(None).cast("string")).withColumn("attachments", F.array().cast("array<string>"))
 
 
+#: Characters of a document that a model sees, and the shape of its answer.
+PROMPT_CHARS = 24_000
+ANSWER = "emails array<struct<subject:string,sender:string,to:string,cc:string,date:string,time:string,attachments:array<string>,body:string>>"
+
+
+def structured_mails(docs: DataFrame, given: DataFrame, provider: providers.Provider) -> DataFrame:
+    """E-mails of the e-mail documents as a model tells them (asked once for each different text), in the columns of ``given``.
+
+    A document whose answer is missing, can't be read or names no e-mail has the given ones (page e-mails: KEYS, n and
+    MAIL). A told e-mail gets its page from the given ones by subject, sender and day.
+    """
+    own = docs.where(F.col("category") == "E-mail").select(*KEYS, F.left("annotated_text", F.lit(PROMPT_CHARS)).alias("_t")).withColumn("digest", F.sha1("_t"))
+    told = providers.records(providers.ask(own, "_t", provider), ANSWER).select("digest", F.col("record.emails").alias("_m"))
+    each = own.join(told, "digest").select(*KEYS, F.posexplode("_m").alias("_n", "_e")).withColumn("n", F.col("_n") + 1)
+    blank = lambda c: T.blank_to_null(F.col(f"_e.{c}")).alias(c)
+    files = F.coalesce("_e.attachments", F.array().cast("array<string>")).alias("attachments")
+    rows = each.select(*KEYS, "n", F.concat("doc_code", F.lit("."), F.col("n").cast("string")).alias("id"), *map(blank, ("subject", "sender", "to", "cc", "date", "time")), files, F.coalesce("_e.body", F.lit("")).alias("text"))
+    at = M.match_pages(rows.select(*KEYS, F.col("n").cast("int").alias("n"), "subject", "sender", "date"), given.select(*KEYS, "pdf_page", "subject", "sender", "date"), KEYS)
+    rows = rows.join(at, [*KEYS, "n"], "left").select(*KEYS, "n", *MAIL)
+    rest = given.join(own.select(*KEYS), KEYS, "left_semi").join(rows.select(*KEYS).distinct(), KEYS, "left_anti")
+    return rows.unionByName(rest.select(*KEYS, F.col("n").cast("int").alias("n"), *MAIL))
+
+
 def mails(docs: DataFrame, given: DataFrame) -> DataFrame:
     """dossier_id, doc_code, n and MAIL of the e-mail documents: the given list (page or structured e-mails) or the split text, whichever is longer.
 

@@ -98,3 +98,31 @@ def test_hints(spark):
     assert got == {1: ("docnr", "Docnr 5"), 2: ("none", None), 3: ("6-digit", "3456"), 4: ("7-digit", "0144"), 5: ("4-digit", "0012")}
     hints = [r.h for r in spark.createDataFrame([(f,) for f in (*H.FORMATS, "x")], "f string").select(H.profile_hint(F.col("f"), F.lit("0012")).alias("h")).collect()]
     assert len(set(hints)) == 6 and hints[-1] == "" and '"0012"' in hints[2]
+
+
+def test_structured_mails(spark):
+    from paperloom.plans import product as R
+
+    docs = spark.createDataFrame([(1, "0001", "E-mail", "told"), (1, "0002", "E-mail", "cut"), (1, "0003", "E-mail", "bad"), (1, "0004", "Nota", "told")], "dossier_id long, doc_code string, category string, annotated_text string")
+    cols = "dossier_id long, doc_code string, n int, id string, subject string, sender string, to string, cc string, date string, time string, attachments array<string>, text string, pdf_page long"
+    page = lambda code, n, subject, p: (1, code, n, f"{code}.{n}", subject, None, None, None, None, None, [], "t", p)
+    given = spark.createDataFrame([page("0001", 1, "first one", 4), page("0001", 2, "second", 6), page("0002", 1, "x", 8), page("0003", 1, "y", 9)], cols)
+
+    def provider(text):
+        if text == "bad":
+            return "no JSON"
+        return '{"emails": [{"subject": "second", "body": "b"}, {"subject": "first one", "attachments": ["a.pdf"]}]}' if text == "told" else '{"emails": [{"subject": "x", "body": "cut'
+
+    got = {r.id: (r.subject, r.text, r.pdf_page, r.attachments) for r in R.structured_mails(docs, given, provider).collect()}
+    assert got == {"0001.1": ("second", "b", 6, []), "0001.2": ("first one", "", 4, ["a.pdf"]), "0002.1": ("x", "cut", 8, []), "0003.1": ("y", "t", 9, [])}
+
+
+def test_report(spark):
+    from paperloom.plans import annotation as A
+    from paperloom.plans import report
+
+    run = spark.createDataFrame([("A", "a", *[0.5] * 10), ("A", "ALL", *[0.25] * 10)], "pipeline string, dossier_id string, " + ", ".join(f"{c} double" for c in A.RUN))
+    lines = [r.line for r in report.console(report.tables(run), ["pipeline", "position", "dossier"]).collect()]
+    assert lines[0].split()[:2] == ["dossier", "P"] and lines[1].split() == ["A", *["0.500"] * 10] and lines[2].split() == ["Average", *["0.250"] * 10]
+    stats = spark.createDataFrame([(1, 2, 1.5, 1.5, 1, 2), (2, 1, 4.0, 4.0, 4, 4)], "dossier_id long, n_docs long, mean_pages double, median_pages double, min_pages long, max_pages long")
+    assert tuple(report.statistics(stats).where("dossier = 'Total'").first()) == ("Total", 3, 2.75, 2.75, 1, 4)
