@@ -160,3 +160,12 @@ def test_tolerant_matches(spark, tolerance):
                 left.remove(hit)
                 k += 1
         assert n == k
+
+
+def test_literal_starts():
+    """Each is a start of the pattern itself, and patterns that may begin otherwise have none."""
+    starts = {p: T.literal_start(p) for v in T.RULES.values() for p in v}
+    assert starts[r"\bactions?\b"] == "action" and starts[r"\bnota\s+aan\b"] == "nota" and starts[r"\baanbeveling(en)?\b"] == "aanbeveling" and starts[r"@[\w.-]+\.\w{2,}"] == "@"
+    assert sum(not x for x in starts.values()) == 1 and T.literal_start("a|b") == "" and T.literal_start(r"^\s*(nota|notitie)\b") == ""
+    for p, x in starts.items():
+        assert p.removeprefix(r"\b").startswith(x)
