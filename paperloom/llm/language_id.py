@@ -67,7 +67,7 @@ def _odd() -> frozenset[str]:
 def _letters() -> re.Pattern:
     letter, mark = _ranges(str.isalpha), _ranges(lambda c: unicodedata.category(c) in ("Mn", "Mc"))
     return re.compile(f"[{letter}][{letter}{mark}]*")
-_FLUSH, _MEMO = 250_000, 200_000
+_FLUSH, _MEMO = 100_000, 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -181,6 +181,16 @@ class Scorer(dict):
         return self.langs[best], float(1 / margin.sum())
 
 
+_last: list = []
+
+
+def _scorer(sent) -> Scorer:
+    """The scorer of a broadcast model; a worker keeps the last one from task to task."""
+    if not _last or _last[0] is not sent.value:
+        _last[:] = [sent.value, Scorer(sent.value)]
+    return _last[1]
+
+
 def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` (name: type) of docs, which include text, and the language and its score under the names ``to``."""
     keep = keep or {"doc_id": "long", "text": "string"}
@@ -190,7 +200,7 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, str] | None = None, t
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(sent.value)
+        scorer = _scorer(sent)
         for batch in batches:
             got = [scorer.predict(t.as_py()) for t in batch.column(names.index("text"))]
             cols = [batch.column(i) for i in range(len(names))]
