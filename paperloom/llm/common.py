@@ -33,12 +33,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def scratch(spark: SparkSession, owner: str) -> str:
+    """A new path in the shared folder, which ``drop`` deletes."""
+    path = f"{checkpoint_dir(spark)}/paperloom/{owner}-{uuid.uuid4().hex}"
+    _scratch.paths.setdefault(owner, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, owner: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/paperloom/{owner}-{uuid.uuid4().hex}"
+    path = scratch(spark, owner)
     df.write.parquet(path)
-    _scratch.paths.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

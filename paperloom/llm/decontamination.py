@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, SLOP = 10, 2
+#: Segments that a task makes of its documents, one after another: a sort holds the postings of one.
+SEGMENTS = 4
 OWNER = "decontamination"
 #: Tables that only the operator itself reads, the index among them; they go when it returns.
 WORK = "decontamination-work"
@@ -59,14 +61,16 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The stored index of ``docs``: in ``path``, or as a scratch table. ``row`` numbers the documents."""
-    read = common.pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), F.array_append(words(F.col("text")), F.lit("")).alias("w"))
-    last = F.col("x") == ""
-    each = read.select("row", "doc_id", "h", F.posexplode("w").alias("pos", "x"))
-    rows = each.select(F.when(~last, F.xxhash64("x")).alias("term"), "row", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("h")).alias("h"))
-    rows = rows.sortWithinPartitions("term", "row", "pos")
-    if path is None:
-        return common.materialize(rows, WORK)
-    rows.write.parquet(path)
+    base = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    path = path or f"{common.scratch(docs.sparkSession, WORK)}/index"
+    for i in range(SEGMENTS):
+        # by content, so that every document is in one segment however the table is read
+        part = base.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SEGMENTS)) == i)
+        read = part.select((F.monotonically_increasing_id() * SEGMENTS + i).alias("row"), "doc_id", "h", F.array_append(words(F.col("text")), F.lit("")).alias("w"))
+        last = F.col("x") == ""
+        each = read.select("row", "doc_id", "h", F.posexplode("w").alias("pos", "x"))
+        rows = each.select(F.when(~last, F.xxhash64("x")).alias("term"), "row", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("h")).alias("h"))
+        rows.sortWithinPartitions("term", "row", "pos").write.mode("append").parquet(path)
     return read_index(docs.sparkSession, path)
 
 
