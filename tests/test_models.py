@@ -190,3 +190,48 @@ def test_subject_matches(spark, sf, world):
         assert got[d] == (tp, len(pred[d]) - tp, len(truth[d]) - tp)
         same += 1
     assert same > 10
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def letters(rng, n):
+    """Groups of 0 to 6 rows (place, subject, sender, date) by key, of few letters, so that many are alike or equal."""
+    text = lambda: rng.choice([None, "", " ".join(rng.choices(["nota", "Brief", "kamer van", "x"], k=rng.randrange(1, 4)))])
+    return {(d, None if d % 9 == 0 else d % 4): [(i, text(), text(), rng.choice([None, "2020-01-01", "2021-05-06"])) for i in range(1, rng.randrange(0, 7) + 1)] for d in range(n)}
+
+
+def by_key(spark, rows, place):
+    return spark.createDataFrame([(*k, *r) for k, v in rows.items() for r in v], f"d long, c int, {place} long, subject string, sender string, date string").repartition(5)
+
+
+def test_mails_go_to_python_together(spark, small_batches):
+    import random
+
+    rng, least = random.Random(7), 70.0
+    a, b = letters(rng, 60), letters(rng, 60)
+    found = M.match_mails(by_key(spark, a, "n"), by_key(spark, b, "n"), ["d", "c"], least)
+    # a document is no Python call of its own
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
+    got = {(r.d, r.c): tuple(r[x] for x in M.MAIL_SCORES) for r in found.collect()}
+    told = lambda x: (x or "").strip().lower()
+    want = {}
+    for k in a:
+        free, tp, fn, dates, senders = list(b[k]), 0, 0, [0, 0], [0, 0]
+        for _, s, who, day in a[k]:
+            ratio = lambda p: brute_ratio(told(s), told(p[1])) if told(s) and told(p[1]) else -1.0  # noqa: E731, B023
+            best = max(free, key=ratio, default=None)
+            if best is None or ratio(best) < least:
+                fn += 1
+                continue
+            free.remove(best)
+            tp += 1
+            dates = [dates[0] + bool(day and day == best[3]), dates[1] + bool(day)]
+            senders = [senders[0] + bool(told(who) and brute_ratio(told(who), told(best[2])) >= least), senders[1] + bool(told(who))]
+        if a[k] or b[k]:
+            want[k] = (tp, len(free), fn, *dates, *senders)
+    assert got == want and sum(x[0] for x in want.values()) > 10
