@@ -13,6 +13,7 @@ EXIT_BODY, GAP, BODY, SUBJECT_WINDOW = 6, 4, 2, 15
 NO_HEADER = "No header-field cluster found — kept as single block"
 PREAMBLE = "Reply body before quoted headers — no header fields found"
 EMAIL = "struct<subject:string,sender:string,to:string,cc:string,date:string,time:string,attachments:array<string>,text:string,warning:string>"
+FIELDS = [f.split(":")[0] for f in EMAIL[len("struct<") : -1].split(",")]
 
 
 def split_points(lines: Column) -> Column:
@@ -41,15 +42,20 @@ def split_points(lines: Column) -> Column:
     return F.aggregate(ahead, start, step)["cuts"]
 
 
-def _email(block: Column) -> Column:
-    files = T.once(T.attachments(block), lambda a: F.concat(a, F.array_except(T.attachments_near_subject(block), a)))
-    made = lambda day: F.struct(
-        T.header_value(block, "subject|onderwerp|betreft").alias("subject"), T.header_value(block, "from|van|afzender").alias("sender"),
-        T.header_value(block, "to|aan", True).alias("to"), T.header_value(block, "cc", True).alias("cc"),
-        D.email_day(day).alias("date"), F.when(F.contains(day, F.lit("T")), D.email_time(day)).alias("time"),
-        files.alias("attachments"), T.strip(F.array_join(block, "\n")).alias("text"), F.lit(None).cast("string").alias("warning"),
-    )
-    return T.once(_moment(block), made).cast(EMAIL)
+def _kind(fields: list[str]) -> str:
+    types = dict(f.split(":") for f in EMAIL[len("struct<") : -1].split(","))
+    return f"struct<{','.join(f'{f}:{types[f]}' for f in fields)}>"
+
+
+def _email(block: Column, fields: list[str]) -> Column:
+    made = lambda day: {
+        "subject": lambda: T.header_value(block, "subject|onderwerp|betreft"), "sender": lambda: T.header_value(block, "from|van|afzender"),
+        "to": lambda: T.header_value(block, "to|aan", True), "cc": lambda: T.header_value(block, "cc", True),
+        "date": lambda: D.email_day(day), "time": lambda: F.when(F.contains(day, F.lit("T")), D.email_time(day)),
+        "attachments": lambda: T.once(T.attachments(block), lambda a: F.concat(a, F.array_except(T.attachments_near_subject(block), a))),
+        "text": lambda: T.strip(F.array_join(block, "\n")), "warning": lambda: F.lit(None).cast("string"),
+    }
+    return T.once(_moment(block), lambda day: F.struct(*[made(day)[f]().alias(f) for f in fields])).cast(_kind(fields))
 
 
 def _moment(block: Column) -> Column:
@@ -57,9 +63,9 @@ def _moment(block: Column) -> Column:
     return T.once(T.header_value(block, "sent|verzonden|datum|date"), D.email_date)
 
 
-def _block(text: Column, warning: str) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(none.alias("subject"), none.alias("sender"), none.alias("to"), none.alias("cc"), none.alias("date"), none.alias("time"), F.array().cast("array<string>").alias("attachments"), text.alias("text"), F.lit(warning).alias("warning")).cast(EMAIL)
+def _block(text: Column, warning: str, fields: list[str]) -> Column:
+    known = {"attachments": F.array().cast("array<string>"), "text": text, "warning": F.lit(warning)}
+    return F.struct(*[known.get(f, F.lit(None).cast("string")).alias(f) for f in fields]).cast(_kind(fields))
 
 
 def _blocks(lines: Column, cuts: Column) -> Column:
@@ -74,17 +80,17 @@ def mail_dates(text: Column) -> Column:
     return F.filter(T.once(T.lines(T.redacted_addresses(text)), days), lambda d: T.blank_to_null(d).isNotNull())
 
 
-def split(docs: DataFrame, text: str = "text", key: str = "doc_code") -> DataFrame:
-    """docs' other columns with one row per e-mail: n, id (key.n) and the fields of EMAIL."""
+def split(docs: DataFrame, text: str = "text", key: str = "doc_code", fields: list[str] = FIELDS) -> DataFrame:
+    """docs' other columns with one row per e-mail: n, id (key.n) and the fields of EMAIL, or those of them that are asked for; others are not worked out."""
     rest = [c for c in docs.columns if c != text]
     out = docs.withColumn("_lines", T.lines(T.redacted_addresses(F.col(text)))).withColumn("_cuts", split_points(F.col("_lines")))
     cuts, lines = F.col("_cuts"), F.col("_lines")
     joined = lambda a: T.strip(F.array_join(a, "\n"))
-    single = F.array(_block(joined(lines), NO_HEADER))
+    single = F.array(_block(joined(lines), NO_HEADER, fields))
     before = joined(F.slice(lines, F.lit(1), F.greatest(F.coalesce(F.try_element_at(cuts, F.lit(1)), F.lit(0)), F.lit(0))))
-    preamble = F.when(before != "", F.array(_block(before, PREAMBLE))).otherwise(F.array().cast(f"array<{EMAIL}>"))
+    preamble = F.when(before != "", F.array(_block(before, PREAMBLE, fields))).otherwise(F.array().cast(f"array<{_kind(fields)}>"))
     out = out.withColumn("_blocks", _blocks(lines, cuts))
-    mails = F.when(F.size(cuts) == 0, single).otherwise(F.concat(preamble, F.transform("_blocks", _email)))
+    mails = F.when(F.size(cuts) == 0, single).otherwise(F.concat(preamble, F.transform("_blocks", lambda b: _email(b, fields))))
     each = out.select(*rest, F.posexplode(mails).alias("_n", "_m"))
     return each.select(*rest, (F.col("_n") + 1).alias("n"), F.concat(F.col(key).cast("string"), F.lit("."), (F.col("_n") + 1).cast("string")).alias("id"), "_m.*")
 

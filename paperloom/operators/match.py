@@ -1,4 +1,4 @@
-"""Greedy one-to-one matches by text similarity. Sequential within a document; Python reads documents by Arrow."""
+"""Greedy one-to-one matches by text similarity. Sequential within a document; Python reads documents in batches of sorted rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +23,21 @@ def normal(s: str | None) -> str:
 
 def similarity(a: str | None, b: str | None) -> float:
     """Ratcliff-Obershelp ratio of the normalised texts; 0 if one is empty."""
-    a, b = normal(a), normal(b)
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    return _similar(normal(a), normal(b))
+
+
+def _similar(a: str, b: str) -> float:
+    """``similarity`` of normalised texts."""
+    if not a or not b or a == b:
+        return float(bool(a and b))
+    return (_kept_ratio if len(a) + len(b) <= KEPT_CHARS else _ratio)(a, b)
+
+
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+_kept_ratio = lru_cache(KEPT)(_ratio)
 
 
 def _shared(a: str, b: str) -> int:
@@ -33,6 +45,10 @@ def _shared(a: str, b: str) -> int:
     return sum(min(a.count(c), b.count(c)) for c in set(a))
 
 
+def _similar_at_most(a: str, b: str) -> float:
+    return 2.0 * _shared(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
 def _common(places: dict[str, int], n: int, other: str) -> int:
     """Length of the longest common subsequence of a text of length n, by the bit masks of its characters' places, and ``other``."""
     state = (1 << n) - 1
@@ -130,30 +146,28 @@ def match_pages(mails: DataFrame, starts: DataFrame, keys: list[str], least: flo
     the rest take what pages are left in order, and then the last page. mails: keys, n, subject, sender, date;
     starts: keys, pdf_page, subject, sender, date. Documents without a start page are absent.
     """
-    fields = ", ".join(f"{k} {dict(mails.dtypes)[k]}" for k in keys)
-
-    def score(e, p) -> float:
-        day = (e.date or "")[:10]
-        return 0.5 * similarity(e.subject, p.subject) + 0.3 * similarity(e.sender, p.sender) + 0.3 * (bool(day) and day == (p.date or "")[:10])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*keys, "n", "pdf_page"])
-        rows, pages = list(left.sort_values("n").itertuples()), list(right.sort_values("pdf_page").itertuples())
-        unused, found, waiting = list(range(len(pages))), {}, []
-        for e in rows:
-            ranked = max(((score(e, pages[i]), -i) for i in unused), default=(0.0, 0))
-            if unused and ranked[0] >= least:
-                found[e.n] = pages[-ranked[1]].pdf_page
-                unused.remove(-ranked[1])
-            else:
-                waiting.append(e.n)
-        for j, n in enumerate(waiting):
-            found[n] = pages[unused[j]].pdf_page if j < len(unused) else pages[-1].pdf_page
-        return pd.DataFrame([(*(left[k].iloc[0] for k in keys), e.n, found[e.n]) for e in rows], columns=[*keys, "n", "pdf_page"])
-
-    a, b = mails.toDF(*mails.columns), starts.toDF(*starts.columns)
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{fields}, n int, pdf_page long")
+    told = lambda x: (normal(x[1]), normal(x[2]), (x[3] or "")[:10])
+
+    def score(e: tuple, p: tuple, like: Callable[[str, str], float]) -> float:
+        return 0.5 * like(e[0], p[0]) + 0.3 * like(e[1], p[1]) + 0.3 * (bool(e[2]) and e[2] == p[2])
+
+    def run(left: list[Row], right: list[Row]) -> list[tuple]:
+        if not left or not right:
+            return []
+        pages, unused, found = [told(x) for x in right], list(range(len(right))), {}
+        for j, e in enumerate(map(told, left)):
+            at, most = None, float("-inf")
+            for i in unused:
+                # a page that can't reach the best so far isn't compared
+                if (high := score(e, pages[i], _similar_at_most)) >= least and high > most and (x := score(e, pages[i], _similar)) > most:
+                    at, most = i, x
+            if most >= least:
+                found[j] = at
+                unused.remove(at)
+        left_over = iter(unused)
+        return [(x[0], right[found[j] if j in found else next(left_over, -1)][0]) for j, x in enumerate(left)]
+
+    return _matched((mails, "n"), (starts, "pdf_page"), keys, run, {"n": "int", "pdf_page": "long"})
 
 
 MAIL_SCORES = ["mail_tp", "mail_fp", "mail_fn", "date_correct", "date_annotated", "sender_correct", "sender_annotated"]

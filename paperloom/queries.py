@@ -452,7 +452,7 @@ def _given(p: DataFrame) -> DataFrame:
 
 page_query("jn14_enriched_emails")(lambda p: E.enrich(E.split(_mail_texts(p)), _given(p), ["dossier_id", "doc_code"]).select("dossier_id", "doc_code", "n", "subject", "sender", "date", "time"))
 page_query("cmp4_chosen_emails")(lambda p: E.choose(E.split(_mail_texts(p)), _given(p), ["dossier_id", "doc_code"]))
-page_query("jn12_emails_to_pages")(lambda p: M.match_pages(E.split(_mail_texts(p)).select("dossier_id", "doc_code", F.col("n").cast("int").alias("n"), "subject", "sender", "date"), _given(p).select("dossier_id", "doc_code", "pdf_page", "subject", "sender", "date"), ["dossier_id", "doc_code"]))
+page_query("jn12_emails_to_pages")(lambda p: M.match_pages(E.split(_mail_texts(p), fields=["subject", "sender", "date"]).select("dossier_id", "doc_code", F.col("n").cast("int").alias("n"), "subject", "sender", "date"), _given(p).select("dossier_id", "doc_code", "pdf_page", "subject", "sender", "date"), ["dossier_id", "doc_code"]))
 page_query("jn13_subject_matches")(lambda p: M.match_subjects(_given(p).select("dossier_id", "n", T.header_value(F.array(F.concat(F.lit("Subject: "), "sender")), "subject").alias("subject")), E.split(_mail_texts(p)).select("dossier_id", "n", F.coalesce("sender", F.lit("")).alias("subject")), ["dossier_id"]))
 
 

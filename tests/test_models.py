@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from paperloom import queries
+from paperloom.operators import emails as E
 from paperloom.operators import match as M
 from paperloom.operators import sequence as S
 from paperloom.sources import fixtures as FX
@@ -235,3 +236,38 @@ def test_mails_go_to_python_together(spark, small_batches):
         if a[k] or b[k]:
             want[k] = (tp, len(free), fn, *dates, *senders)
     assert got == want and sum(x[0] for x in want.values()) > 10
+
+
+def test_pages_go_to_python_together(spark, small_batches):
+    import random
+
+    rng = random.Random(11)
+    a, b = letters(rng, 60), letters(rng, 60)
+    found = M.match_pages(by_key(spark, a, "n"), by_key(spark, b, "pdf_page"), ["d", "c"])
+    # a document is no Python call of its own
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
+    got = {(r.d, r.c, r.n): r.pdf_page for r in found.collect()}
+    norm = lambda s: re.sub(r"\s+", " ", s or "").strip().lower()
+    like = lambda x, y: SequenceMatcher(None, norm(x), norm(y)).ratio() if norm(x) and norm(y) else 0.0
+    want, claimed = {}, 0
+    for k in a:
+        free, late = list(b[k]), []
+        for n, s, who, day in a[k] if b[k] else ():
+            score = lambda p: 0.5 * like(s, p[1]) + 0.3 * like(who, p[2]) + 0.3 * bool(day and day == p[3])  # noqa: E731, B023
+            best = max(free, key=score, default=None)
+            if best is not None and score(best) >= 0.35:
+                want[(*k, n)] = best[0]
+                free.remove(best)
+                claimed += 1
+            else:
+                late.append(n)
+        for j, n in enumerate(late):
+            want[(*k, n)] = free[j][0] if j < len(free) else b[k][-1][0]
+    assert got == want and 10 < claimed < len(want)
+
+
+def test_only_fields_that_are_asked_for(spark, sf):
+    texts = queries._mail_texts(FX.pages(spark, sf))
+    some = E.split(texts, fields=["subject", "date", "text"])
+    assert some.columns == ["dossier_id", "doc_code", "n", "id", "subject", "date", "text"]
+    assert sorted(some.collect(), key=str) == sorted(E.split(texts).select(*some.columns).collect(), key=str)
