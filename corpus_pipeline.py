@@ -9,6 +9,7 @@ empty texts and empty tables are as its operator defines them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,18 @@ OWNER = "pipeline"
 SCRATCH = {"near_dedup": near_dedup.OWNER, "decontamination": "decontamination", "pii_surrogates": pii_surrogates.OWNER}
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first gives back the driver's memory that earlier stages no longer use."""
+
+    @wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark)
+        return f(spark, docs, sf_dir)
+
+    return begun
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is found; text without a letter, and null text, goes."""
     model = language_id.train(docs.where(~language_id.held_out()))
@@ -32,22 +45,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_found_language") != language_id.UNKNOWN) & (F.col("_found_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return near_dedup.unique(docs, percent=NEAR_PERCENT)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark window occurs."""
     return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; all documents stay, and n_chars follows the new text."""
     done = pii_surrogates.replace(docs, pii_surrogates.session_key(spark)).drop("_n_entities")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces."""
     return best_fit_packing.pack(docs)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import threading
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,26 @@ def written(owner: str) -> int:
     return len(_scratch.paths.get(owner, []))
 
 
+def release(spark: SparkSession) -> str | None:
+    """Give back the driver's memory that nothing uses any more, for callers that run many jobs one after another.
+
+    Dead plans and broadcasts go from the heap, and native memory that was freed goes back to the
+    system: the JVM's allocator keeps it otherwise, most of it in its threads' arenas. Returns what
+    the JVM says of it; one without that command keeps it (None).
+    """
+    context = spark.sparkContext
+    jvm = context._jvm
+    gc.collect()
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        # by the interface's method, as the server's class is not open to Py4J
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = context._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    return None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,5 +38,6 @@ def components(edges: DataFrame, owner: str) -> DataFrame:
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             common.drop(owner, edges.sparkSession, since=before, keep=1)
+            common.release(edges.sparkSession)
             return now
         seen = sign

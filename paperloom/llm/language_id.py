@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -119,15 +120,18 @@ def train(docs: DataFrame) -> dict:
     near = Window.partitionBy("lang", "n", F.pmod(F.xxhash64("item"), F.lit(64))).orderBy(*order)
     whole = Window.partitionBy("lang", "n").orderBy(*order)
     top = counts.withColumn("r", F.row_number().over(near)).where(F.col("r") <= most).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= most)
-    model: dict = {"langs": langs, "items": [{} for _ in range(1 + max(ORDERS))], "scores": [[] for _ in range(1 + max(ORDERS))]}
-    at = {lang: i for i, lang in enumerate(langs)}
-    for r in top.select("lang", "n", "item", "c").toLocalIterator():
-        items, scores = model["items"][r["n"]], model["scores"][r["n"]]
-        if r["item"] not in items:
-            items[r["item"]] = len(scores)
-            scores.append([PENALTY] * len(langs))
-        scores[items[r["item"]]][at[r["lang"]]] = math.log10(r["c"] / totals[r["lang"], r["n"]])
-    model["scores"] = [np.array(x, dtype="float32").reshape(len(x), len(langs)) for x in model["scores"]]
+    # by Arrow columns and flat arrays: a Python object a row and a list an item would take the driver several times the model
+    model: dict = {"langs": langs, "items": [{} for _ in range(1 + max(ORDERS))]}
+    found = [array("f") for _ in model["items"]]
+    at, unseen = {lang: i for i, lang in enumerate(langs)}, array("f", [PENALTY] * len(langs))
+    for batch in top.select("lang", "n", "item", "c").toArrow().to_batches(max_chunksize=10_000):
+        for lang, n, item, c in zip(*(x.to_pylist() for x in batch.columns)):
+            items, scores = model["items"][n], found[n]
+            if item not in items:
+                items[item] = len(items)
+                scores.extend(unseen)
+            scores[items[item] * len(langs) + at[lang]] = math.log10(c / totals[lang, n])
+    model["scores"] = [np.array(x, dtype="float32").reshape(len(i), len(langs)) for x, i in zip(found, model["items"])]
     common.drop("language_id", docs.sparkSession)
     return model
 

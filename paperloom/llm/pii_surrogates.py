@@ -463,6 +463,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     """docs with every entity of ``text`` replaced under the secret ``key``; the other columns stay, and _n_entities is added."""
     moved = common.materialize(exceptions(entities(docs), key), OWNER)
     common.drop(WORK, docs.sparkSession)
+    common.release(docs.sparkSession)
     text, rows = F.col("text").cast("string"), docs
     no_map = F.lit(None).cast("map<string,int>")
     if moved.limit(1).count():
