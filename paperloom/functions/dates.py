@@ -24,7 +24,7 @@ FORMS = [
     (GLUED, "d name y"),
 ]
 DATUM_FIELD = r"(?iU)\bdatum\b[\s|:\t]+(.{2,60}?)(?:\s*\||\n|$)"
-SCANNED = r"(?U)\b(\d{1,2}-\d{1,2}-\d{4})\b"
+SCANNED = r"(?U)(?=\d)\b(\d{1,2}-\d{1,2}-\d{4})\b"
 # An e-mail's date as year first, as numbers in European order, and with a month's name.
 EMAIL_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{1,2}:\d{2}))?"
 EMAIL_NUMBERS = r"(?U)(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})(?:\s+(\d{1,2}:\d{2}))?"
@@ -46,9 +46,10 @@ def _month(values: dict[str, int], name: Column) -> Column:
 def _at(y: Column, mo: Column, d: Column, h: Column | None = None, mi: Column | None = None) -> Column:
     """A timestamp without zone, or null where the calendar has no such moment."""
     whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0)) if c is not None else F.lit(0)
-    clock = F.format_string(" %02d:%02d:00", whole(h), whole(mi)) if h is not None else F.lit(" 00:00:00")
+    two = lambda c, n=2: F.lpad(c.cast("string"), n, "0")
+    clock = [F.lit(" "), two(whole(h)), F.lit(":"), two(whole(mi)), F.lit(":00")] if h is not None else [F.lit(" 00:00:00")]
     # the cast gives null where the calendar or the clock has no such moment
-    return F.concat(F.format_string("%04d-%02d-%02d", *(c.try_cast("int") for c in (y, mo, d))), clock).try_cast("timestamp_ntz")
+    return F.concat(two(y.try_cast("int"), 4), F.lit("-"), two(mo.try_cast("int")), F.lit("-"), two(d.try_cast("int")), *clock).try_cast("timestamp_ntz")
 
 
 def _groups(s: Column, pattern: str, n: int) -> list[Column]:
@@ -65,7 +66,8 @@ def _read(s: Column, pattern: str, fields: str) -> Column:
     names = fields.split()
     got = dict(zip(names, _groups(s, pattern, len(names))))
     month = _month(MONTHS, F.lower(got["name"])) if "name" in got else got["mo"]
-    return _at(got["y"], month, got["d"], got.get("h"), got.get("mi"))
+    # one match decides whether there are groups at all
+    return F.when(s.rlike(pattern), _at(got["y"], month, got["d"], got.get("h"), got.get("mi")))
 
 
 def _parse(s: Column) -> Column:
@@ -74,7 +76,8 @@ def _parse(s: Column) -> Column:
 
 def datum_raw(text: Column) -> Column:
     """The value of a Datum field within the first 3000 characters, or null."""
-    return F.nullif(T.strip(F.regexp_extract(F.left(text, F.lit(3000)), DATUM_FIELD, 1)), F.lit(""))
+    head = F.left(text, F.lit(3000))
+    return F.when(F.contains(F.lower(head), F.lit("datum")), F.nullif(T.strip(F.regexp_extract(head, DATUM_FIELD, 1)), F.lit("")))
 
 
 def scan(text: Column, chars: int = 1000) -> Column:
@@ -87,7 +90,8 @@ def scan(text: Column, chars: int = 1000) -> Column:
         return F.struct(_at(y, _month(MONTHS, F.lower(name)), d).alias("date"), x.alias("raw"))
 
     names = F.transform(F.regexp_extract_all(head, F.lit(f"({GLUED})"), F.lit(0)), named)
-    return F.try_element_at(F.filter(F.concat(numeric, names), lambda x: x["date"].isNotNull()), F.lit(1))
+    valid = lambda found: F.try_element_at(F.filter(found, lambda x: x["date"].isNotNull()), F.lit(1))
+    return F.coalesce(F.when(F.contains(head, F.lit("-")), valid(numeric)), valid(names))
 
 
 def document_date(doc_date: Column, category: Column, text: Column, email_dates: Column) -> Column:
@@ -105,14 +109,14 @@ def email_date(raw: Column) -> Column:
     """ISO date, with a time if one is there; what has no known form stays as it is. The calendar isn't checked."""
     s = T.strip(raw)
     y, mo, d, t = _groups(s, EMAIL_ISO, 4)
-    iso = F.concat_ws("T", F.concat_ws("-", y, mo, d), t)
+    iso = F.when(s.rlike(EMAIL_ISO), F.concat_ws("T", F.concat_ws("-", y, mo, d), t))
     two = lambda c: F.lpad(c, 2, "0")
     d2, m2, y2, t2 = _groups(s, EMAIL_NUMBERS, 4)
-    european = F.when(d2.try_cast("int").between(1, 31) & m2.try_cast("int").between(1, 12), F.concat_ws("T", F.concat_ws("-", y2, two(m2), two(d2)), t2))
+    european = F.when(s.rlike(EMAIL_NUMBERS) & d2.try_cast("int").between(1, 31) & m2.try_cast("int").between(1, 12), F.concat_ws("T", F.concat_ws("-", y2, two(m2), two(d2)), t2))
     d3, name, y3, t3 = _groups(s, EMAIL_NAMED, 4)
     m3 = F.coalesce(_month(DUTCH | SHORT, F.lower(name)), _month(DUTCH | SHORT, F.left(F.lower(name), F.lit(3))))
-    dutch = F.when(m3.isNotNull(), F.concat_ws("T", F.concat_ws("-", y3, two(m3.cast("string")), two(d3)), t3))
-    return F.when(T.blank_to_null(raw).isNotNull(), F.coalesce(F.when(y.isNotNull(), iso), european, dutch, raw))
+    dutch = F.when(s.rlike(EMAIL_NAMED) & m3.isNotNull(), F.concat_ws("T", F.concat_ws("-", y3, two(m3.cast("string")), two(d3)), t3))
+    return F.when(T.blank_to_null(raw).isNotNull(), F.coalesce(iso, european, dutch, raw))
 
 
 def email_day(normalised: Column) -> Column:

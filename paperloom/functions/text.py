@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and labels that results depend on.
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 REDACTION_CASED = r"\b(5\.[12]\.[1-9][a-z]?)[a-z]?\b"
 CODE_GROUND, CODE_YEAR, CODE_LAW = r"^5\.[12]\.", r"^(?:19|20)\d{2}$", "^05[12][1-9]$"
 CODE_WITHIN, RASTER_ALONE, RASTER_WITHIN = r"0\d{3}", r"\b0\d{3}\b", r"\d{2,}(0\d{3})"
@@ -66,7 +68,14 @@ INVENTORY_GROUNDS = r"(?i)\s+(?:5\.[12]\.\d\w*|\bBR\b|niet\s+openbaar|gedeelteli
 
 def strip(s: Column) -> Column:
     """Without white space (Unicode) at either end."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    # mostly a glance at both ends shows that there is nothing to do
+    plain = lambda c: F.ascii(c).between(33, 126)
+    return once(s, lambda x: F.when(plain(x) & plain(F.substr(x, F.lit(-1))), x).otherwise(F.trim(x, F.lit(WHITE))))
+
+
+def _with(plain: str, s: Column, value: Column, other: Column) -> Column:
+    """``value`` where a text holds this plain string, without which a pattern can't match; else ``other``. Null remains null."""
+    return F.when(~F.contains(s, F.lit(plain)), other).otherwise(value)
 
 
 def once(value: Column, use) -> Column:
@@ -81,8 +90,7 @@ def blank_to_null(s: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end adds no line."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def first_where(items: Column, test) -> Column:
@@ -99,7 +107,8 @@ def redaction_codes_ocr(text: Column) -> Column:
 
 def redaction_codes_vlm(text: Column) -> Column:
     """Codes anywhere and in any case, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({REDACTION})"), F.lit(1)), F.lower)
+    none = F.array().cast("array<string>")
+    return _with("5.", text, F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({REDACTION})"), F.lit(1)), F.lower), none)
 
 
 def counted(items: Column) -> Column:
@@ -119,7 +128,8 @@ def annotate_ocr(text: Column) -> Column:
 
 def annotate_vlm(text: Column) -> Column:
     """Wraps codes in any case, but for those that stand in a marker."""
-    return F.regexp_replace(text, rf"(?i)(?<!\[GELAKT: )({REDACTION})", "[GELAKT: $1]")
+    # a look behind its first figure, not at every place
+    return _with("5.", text, F.regexp_replace(text, rf"(?i)(5(?<!\[GELAKT: 5){REDACTION[1:]})", "[GELAKT: $1]"), text)
 
 
 # -- document codes and page numbers ---------------------------------------------------------
@@ -268,12 +278,16 @@ def keyword_category(text: Column, first_page: Column) -> Column:
 
 
 def title(is_email: Column, subject: Column, text: Column, code: Column) -> Column:
-    line = first_where(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: F.length(x) > 5)
+    # the first line with six characters between its white space
+    line = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?U)(?:^|\n)[^\S\n]*(\S[^\n]{4,}\S)", 1), F.lit(""))
     return F.coalesce(F.left(F.when(is_email, blank_to_null(subject)), F.lit(120)), F.left(line, F.lit(120)), code)
 
 
 def sender(text: Column) -> Column:
-    return F.left(strip(F.regexp_extract(F.left(text, F.lit(1000)), r"(?iU)(?:van|from)\s*:\s*([^\n]+)", 1)), F.lit(80))
+    head = F.left(text, F.lit(1000))
+    value = F.left(strip(F.regexp_extract(head, r"(?iU)(?:van|from)\s*:\s*([^\n]+)", 1)), F.lit(80))
+    small = F.lower(head)
+    return F.when(~(F.contains(small, F.lit("van")) | F.contains(small, F.lit("from"))), F.lit("")).otherwise(value)
 
 
 def description(of_category: Column, subject: Column, text: Column, codes: Column) -> Column:
@@ -322,7 +336,7 @@ def page_summary(seq: Column, stamp: Column, wpn: Column, is_new: Column, cont:
 def header_field(line: Column) -> Column:
     """The canonical header field that a line starts with, or null."""
     name = F.lower(F.nullif(F.regexp_extract(line, rf"(?iU)^[ \t]*({FIELDS})\s*:", 1), F.lit("")))
-    return F.coalesce(_mapped(CANONICAL_FIELD, name), name)
+    return F.when(F.contains(line, F.lit(":")), once(name, lambda x: F.coalesce(_mapped(CANONICAL_FIELD, x), x)))
 
 
 def is_separator(line: Column) -> Column:
@@ -330,11 +344,11 @@ def is_separator(line: Column) -> Column:
 
 
 def is_subject(line: Column) -> Column:
-    return F.coalesce(line.rlike(SUBJECT_LINE), F.lit(False))
+    return F.coalesce(F.contains(line, F.lit(":")) & line.rlike(SUBJECT_LINE), F.lit(False))
 
 
 def redacted_addresses(text: Column) -> Column:
-    return F.regexp_replace(text, REDACTED_ADDRESS, "<[GELAKT]@$1>")
+    return _with("@", text, F.regexp_replace(text, REDACTED_ADDRESS, "<[GELAKT]@$1>"), text)
 
 
 def _until_header(block: Column) -> Column:
@@ -346,7 +360,7 @@ def _until_header(block: Column) -> Column:
 def header_value(block: Column, names: str, multiline: bool = False, within: int = 15) -> Column:
     """The value of the first header line of these names; over more lines, up to a blank line or the next field."""
     pattern = rf"(?iU)^[ \t]*(?:{names})\s*:\s*(.+)"
-    at = F.array_position(F.transform(F.slice(block, 1, within), lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
+    at = F.array_position(F.transform(F.slice(block, 1, within), lambda x: F.contains(x, F.lit(":")) & x.rlike(pattern)), F.lit(True)).cast("int")
     first = lambda k: strip(F.regexp_extract(F.element_at(block, k), pattern, 1))
     if not multiline:
         return once(at, lambda k: F.when(k > 0, first(k)))
@@ -365,14 +379,16 @@ def attachments(block: Column) -> Column:
         alone = F.when(strip(line).rlike(rf"(?iU)^{FILENAME}$"), F.array(strip(line))).otherwise(F.array().cast("array<string>"))
         return F.transform(F.when(line.rlike(ATTACHMENT_LINE), listed).otherwise(alone), trimmed)
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(F.slice(block, 1, 30), of)), lambda x: x != ""))
+    # a file name has a dot; few lines have a label
+    maybe = F.filter(F.slice(block, 1, 30), lambda x: F.contains(x, F.lit(".")) | (F.contains(x, F.lit(":")) & x.rlike(ATTACHMENT_LINE)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(maybe, of)), lambda x: x != ""))
 
 
 def attachments_near_subject(block: Column) -> Column:
     """File names in the five lines after the subject, up to a blank line or header field."""
     at = F.array_position(F.transform(F.slice(block, 1, 15), is_subject), F.lit(True)).cast("int")
     near = lambda k: once(F.slice(block, k + 1, 5), _until_header)
-    names = lambda k: F.flatten(F.transform(near(k), lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?iU)({FILENAME})"), F.lit(1)), strip)))
+    names = lambda k: F.flatten(F.transform(F.filter(near(k), lambda x: F.contains(x, F.lit("."))), lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?iU)({FILENAME})"), F.lit(1)), strip)))
     return once(at, lambda k: F.when(k > 0, F.array_distinct(names(k))).otherwise(F.array().cast("array<string>")))
 
 

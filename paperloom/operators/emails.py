@@ -68,7 +68,7 @@ def _block(text: Column, warning: str, fields: list[str]) -> Column:
     return F.struct(*[known.get(f, F.lit(None).cast("string")).alias(f) for f in fields]).cast(_kind(fields))
 
 
-def _blocks(lines: Column, cuts: Column) -> Column:
+def blocks(lines: Column, cuts: Column) -> Column:
     """The lines of each e-mail that holds any text."""
     each = F.transform(cuts, lambda c, i: F.slice(lines, c + 1, F.coalesce(F.try_element_at(cuts, i + 2), F.size(lines)) - c))
     return F.filter(each, lambda b: T.strip(F.array_join(b, "\n")) != "")
@@ -76,22 +76,48 @@ def _blocks(lines: Column, cuts: Column) -> Column:
 
 def mail_dates(text: Column) -> Column:
     """The dates of the e-mails of a text, in order, as ``split`` gives them; e-mails without one are left out."""
-    days = lambda lines: F.transform(_blocks(lines, split_points(lines)), lambda b: D.email_day(_moment(b)))
-    return F.filter(T.once(T.lines(T.redacted_addresses(text)), days), lambda d: T.blank_to_null(d).isNotNull())
+    days = lambda lines: T.once(split_points(lines), lambda cuts: block_dates(blocks(lines, cuts)))
+    return T.once(T.lines(T.redacted_addresses(text)), days)
+
+
+def block_dates(each: Column) -> Column:
+    """The dates of e-mails, in order; those of e-mails without one are left out."""
+    return F.filter(F.transform(each, lambda b: D.email_day(_moment(b))), lambda d: T.blank_to_null(d).isNotNull())
+
+
+def _before(lines: Column, cuts: Column) -> Column:
+    """What stands before the first split point."""
+    return T.strip(F.array_join(F.slice(lines, F.lit(1), F.greatest(F.coalesce(F.try_element_at(cuts, F.lit(1)), F.lit(0)), F.lit(0))), "\n"))
+
+
+def count(lines: Column, cuts: Column, each: Column) -> Column:
+    """How many e-mails ``listed`` gives."""
+    return F.when(F.size(cuts) == 0, 1).otherwise((_before(lines, cuts) != "").cast("int") + F.size(each))
+
+
+def listed(lines: Column, cuts: Column, each: Column, fields: list[str] = FIELDS) -> Column:
+    """The e-mails of a text's lines, from their split points and blocks."""
+    single = F.array(_block(T.strip(F.array_join(lines, "\n")), NO_HEADER, fields))
+    none = F.array().cast(f"array<{_kind(fields)}>")
+    preamble = T.once(_before(lines, cuts), lambda before: F.when(before != "", F.array(_block(before, PREAMBLE, fields))).otherwise(none))
+    return F.when(F.size(cuts) == 0, single).otherwise(F.concat(preamble, F.transform(each, lambda b: _email(b, fields))))
+
+
+def apart(lines: Column) -> Column:
+    """Whether marked redaction codes may have changed how a text is split or what its dates are.
+
+    A code can only do so within an address, at a separator's words or in a date field; any line with one beside these counts.
+    """
+    where = r"(?iU)@|^[-_=]{4}|^[ \t]*(?:sent|verzonden|datum|date)\s*:"
+    return F.exists(lines, lambda x: F.contains(x, F.lit("[GELAKT: ")) & x.rlike(where))
 
 
 def split(docs: DataFrame, text: str = "text", key: str = "doc_code", fields: list[str] = FIELDS) -> DataFrame:
     """docs' other columns with one row per e-mail: n, id (key.n) and the fields of EMAIL, or those of them that are asked for; others are not worked out."""
     rest = [c for c in docs.columns if c != text]
     out = docs.withColumn("_lines", T.lines(T.redacted_addresses(F.col(text)))).withColumn("_cuts", split_points(F.col("_lines")))
-    cuts, lines = F.col("_cuts"), F.col("_lines")
-    joined = lambda a: T.strip(F.array_join(a, "\n"))
-    single = F.array(_block(joined(lines), NO_HEADER, fields))
-    before = joined(F.slice(lines, F.lit(1), F.greatest(F.coalesce(F.try_element_at(cuts, F.lit(1)), F.lit(0)), F.lit(0))))
-    preamble = F.when(before != "", F.array(_block(before, PREAMBLE, fields))).otherwise(F.array().cast(f"array<{_kind(fields)}>"))
-    out = out.withColumn("_blocks", _blocks(lines, cuts))
-    mails = F.when(F.size(cuts) == 0, single).otherwise(F.concat(preamble, F.transform("_blocks", lambda b: _email(b, fields))))
-    each = out.select(*rest, F.posexplode(mails).alias("_n", "_m"))
+    out = out.withColumn("_blocks", blocks(F.col("_lines"), F.col("_cuts")))
+    each = out.select(*rest, F.posexplode(listed(F.col("_lines"), F.col("_cuts"), F.col("_blocks"), fields)).alias("_n", "_m"))
     return each.select(*rest, (F.col("_n") + 1).alias("n"), F.concat(F.col(key).cast("string"), F.lit("."), (F.col("_n") + 1).cast("string")).alias("id"), "_m.*")
 
 

@@ -25,10 +25,11 @@ def assemble(pages: DataFrame) -> DataFrame:
     return docs.withColumn("redactions", T.counted(F.col("codes")))
 
 
-def dated(docs: DataFrame) -> DataFrame:
-    """Adds date and date_raw; e-mail documents take the first of their e-mails' dates that parses."""
+def dated(docs: DataFrame, mail_dates: Column | None = None) -> DataFrame:
+    """Adds date and date_raw; e-mail documents take the first of their e-mails' dates (mail_dates, where they are known) that parses."""
     # in the document's own row: no join back, and nothing is computed twice
-    mails = F.when(F.col("category") == "E-mail", E.mail_dates(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    known = E.mail_dates(F.col("text")) if mail_dates is None else mail_dates
+    mails = F.when(F.col("category") == "E-mail", known).otherwise(F.array().cast("array<string>"))
     both = docs.withColumn("mail_dates", mails)
     found = D.document_date(F.col("doc_date"), F.col("category"), F.col("text"), F.col("mail_dates"))
     return both.withColumn("_d", found).withColumn("date", F.col("_d.date")).withColumn("date_raw", F.col("_d.raw")).drop("_d", "mail_dates")
@@ -36,15 +37,19 @@ def dated(docs: DataFrame) -> DataFrame:
 
 def timeline(docs: DataFrame, *keep: str) -> DataFrame:
     """The dossier's documents in the order of their dates, those without a date last, by code; with columns of docs to ``keep``."""
-    first = F.array_min("pages")
     w = Window.partitionBy("dossier_id").orderBy(F.col("date").asc_nulls_last(), "doc_code")
-    codes = F.array_distinct("codes")
-    return docs.select(
-        "dossier_id", F.row_number().over(w).alias("position"), "doc_code", "category", F.date_format("date", "yyyy-MM-dd").alias("date"), "date_raw",
+    return docs.select("dossier_id", F.row_number().over(w).alias("position"), *cards(), *keep)
+
+
+def cards() -> list[Column]:
+    """A dated document as the timeline shows it."""
+    first, codes = F.array_min("pages"), F.array_distinct("codes")
+    return [
+        F.col("doc_code"), F.col("category"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("date_raw"),
         T.type_label(F.col("category"), F.lit("other")).alias("label"), T.title(F.col("category") == "E-mail", F.lit(None).cast("string"), F.col("text"), F.col("doc_code")).alias("title"),
         T.sender(F.col("text")).alias("sender"), T.description(F.col("category"), F.lit(None).cast("string"), F.col("text"), codes).alias("description"),
-        F.left("text", F.lit(800)).alias("preview"), first.alias("page_start"), F.array_max("pages").alias("page_end"), F.size("codes").cast("long").alias("n_redactions"), *keep,
-    )
+        F.left("text", F.lit(800)).alias("preview"), first.alias("page_start"), F.array_max("pages").alias("page_end"), F.size("codes").cast("long").alias("n_redactions"),
+    ]
 
 
 def redaction_totals(docs: DataFrame) -> DataFrame:

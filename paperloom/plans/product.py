@@ -26,34 +26,59 @@ def _first(value: Column, wanted: Column) -> Column:
     return F.min_by(value, F.when(wanted, F.col("page_num")))
 
 
-def finalised(pages: DataFrame, method: str = "") -> DataFrame:
+def finalised(pages: DataFrame, method: str = "", started: bool = False) -> DataFrame:
     """Documents of assigned pages (dossier_id, page_num, doc_code, text, category and, where known, doc_subtype, doc_date, doc_sender, chat_name).
 
     The first category but Other wins, the first subtype but other, or the category's; the first date and sender; the most frequent chat name.
+    started adds ``given``: an array of the e-mails that a document's e-mail pages start (LETTER).
     """
     have = {"doc_subtype": "string", "doc_sender": "string", "chat_name": "string", "doc_date": "string"}
     p = pages.withColumns({c: F.lit(None).cast(t) for c, t in have.items() if c not in pages.columns})
     names = p.where(T.blank_to_null(F.col("chat_name")).isNotNull()).groupBy(*KEYS, "chat_name").agg(F.count(F.lit(1)).alias("n"), F.min("page_num").alias("f"))
     names = names.groupBy(*KEYS).agg(F.max_by("chat_name", F.struct("n", -F.col("f"))).alias("chat_name"))
-    text = F.coalesce("text", F.lit(""))
+    page = [F.col("page_num"), F.coalesce("text", F.lit("")).alias("text")]
+    if started:
+        fields = [F.col(c).alias(f) for f, c in PAGE_FIELDS.items() if c in pages.columns]
+        page += [F.coalesce(F.col("category") == "E-mail", F.lit(False)).alias("mail"), F.coalesce("email_start", F.lit(False)).alias("start"), *fields]
     docs = p.groupBy(*KEYS).agg(
-        _in_page_order(F.col("page_num")).alias("pages"), _in_page_order(text).alias("_texts"),
+        F.array_sort(F.collect_list(F.struct(*page))).alias("_p"),
         F.coalesce(_first(F.col("category"), F.col("category") != "Other"), F.lit("Other")).alias("category"),
         _first(F.col("doc_subtype"), T.blank_to_null(F.col("doc_subtype")).isNotNull() & (F.col("doc_subtype") != "other")).alias("_subtype"),
         _first(F.col("doc_date"), T.blank_to_null(F.col("doc_date")).isNotNull()).alias("doc_date"), _first(F.col("doc_sender"), T.blank_to_null(F.col("doc_sender")).isNotNull()).alias("doc_sender"),
     )
-    docs = docs.withColumn("text", F.array_join("_texts", "\n\n")).withColumn("doc_subtype", T.subtype(F.coalesce("_subtype", F.lit("")), F.col("category")))
+    told = [f for f, c in PAGE_FIELDS.items() if c in pages.columns]
+    given = [F.when(F.col("category") == "E-mail", _started(F.col("_p"), F.col("doc_code"), told)).alias("given")] if started else []
+    subtype = T.subtype(F.coalesce("_subtype", F.lit("")), F.col("category")).alias("doc_subtype")
+    docs = docs.select(*KEYS, F.col("_p.page_num").alias("pages"), "category", "doc_date", "doc_sender", F.array_join("_p.text", "\n\n").alias("text"), subtype, *given)
     docs = docs.withColumn("codes", T.redaction_codes_vlm(F.col("text"))).withColumn("redactions", T.counted(F.col("codes"))).withColumn("annotated_text", T.annotate_vlm(F.col("text")))
-    return docs.join(names, KEYS, "left").withColumn("method", F.lit(method)).drop("_texts", "_subtype")
+    return docs.join(names, KEYS, "left").withColumn("method", F.lit(method))
+
+
+#: What a page tells of the e-mail that it starts, and its columns.
+PAGE_FIELDS = {"subject": "email_subject", "sender": "email_from", "to": "email_to", "cc": "email_cc", "date": "email_date"}
+#: An e-mail of a document: its number and MAIL.
+LETTER = "struct<n:int,id:string,subject:string,sender:string,to:string,cc:string,date:string,time:string,attachments:array<string>,text:string,pdf_page:bigint>"
+
+
+def _started(pages: Column, code: Column, fields: list[str]) -> Column:
+    """The e-mails of a document's pages in order (page_num, text, mail, start and fields), as LETTERs: an e-mail page that starts one, or is the first, opens it; the others append their text."""
+    none = F.lit(None).cast("string")
+
+    def letters(p: Column) -> Column:
+        at = F.filter(F.transform(p, lambda x, i: F.when(x["start"] | (i == 0), i)), lambda i: i.isNotNull())
+
+        def made(q: Column, n: Column) -> Column:
+            known = {f: q[0][f] for f in fields} | {"n": n, "id": F.concat(code, F.lit("."), n.cast("string")), "text": F.array_join(q["text"], "\n\n"), "pdf_page": q[0]["page_num"], "attachments": F.array().cast("array<string>")}
+            return F.struct(*[known.get(f, none).alias(f) for f in ("n", *MAIL)])
+
+        return T.once(at, lambda a: F.transform(a, lambda i, k: T.once(F.slice(p, i + 1, F.coalesce(F.try_element_at(a, k + 2), F.size(p)) - i), lambda q: made(q, k + 1))))
+
+    return T.once(F.filter(pages, lambda x: x["mail"]), letters).cast(f"array<{LETTER}>")
 
 
 def page_mails(pages: DataFrame) -> DataFrame:
-    """E-mails that pages start: n, id, the page's e-mail fields, text and pdf_page."""
-    fields = {"subject": "email_subject", "sender": "email_from", "to": "email_to", "cc": "email_cc", "date": "email_date"}
-    made = S.emails_of_pages(pages).withColumnRenamed("pdf_page", "page_num")
-    known = [F.col(c).alias(f) if c in pages.columns else F.lit(None).cast("string").alias(f) for f, c in fields.items()]
-    first = pages.select("dossier_id", "page_num", *known)
-    return made.join(first, ["dossier_id", "page_num"]).withColumnRenamed("page_num", "pdf_page").withColumn("time", F.lit(None).cast("string")).withColumn("attachments", F.array().cast("array<string>"))
+    """E-mails that pages start, for all documents: KEYS, n and MAIL."""
+    return finalised(pages.withColumn("category", F.lit("E-mail")), started=True).select(*KEYS, F.inline("given"))
 
 
 #: Characters of a document that a model sees, and the shape of its answer.
@@ -79,26 +104,103 @@ def structured_mails(docs: DataFrame, given: DataFrame, provider: providers.Prov
     return rows.unionByName(rest.select(*KEYS, F.col("n").cast("int").alias("n"), *MAIL))
 
 
+def _with_given(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """docs with the given e-mails (KEYS, n and MAIL) of each as ``given``."""
+    one = F.struct(F.col("n").cast("int").alias("n"), *MAIL).cast(LETTER)
+    return docs.drop("given").join(given.groupBy(*KEYS).agg(F.array_sort(F.collect_list(one)).alias("given")), KEYS, "left")
+
+
+def _lettered(docs: DataFrame) -> DataFrame:
+    """Finished documents with ``given`` (an array of LETTERs): mails, an array of LETTERs of the e-mail documents, and mail_dates, those of their texts.
+
+    All in the document's own row: a text is split once, and a text's e-mails are only read where they are more than the given ones.
+    """
+    own = F.col("category") == "E-mail"
+    lines, cuts, blocks = F.col("_lines"), F.col("_cuts"), F.col("_blocks")
+    d = docs.withColumn("given", F.coalesce("given", F.array().cast(f"array<{LETTER}>"))).withColumn("_lines", F.when(own, T.lines(T.redacted_addresses(F.col("annotated_text")))))
+    d = d.withColumn("_cuts", F.when(own, E.split_points(lines))).withColumn("_blocks", F.when(own, E.blocks(lines, cuts)))
+    by_text = own & ((E.count(lines, cuts, blocks) > F.size("given")) | (F.size("given") == 0))
+    d = d.withColumn("_t", F.when(by_text, E.listed(lines, cuts, blocks)))
+    # the dates come from the text without marks; mostly the marks make no difference
+    days = F.when(F.size(F.col("codes")) == 0, False).otherwise(E.apart(lines))
+    read = F.filter(F.col("_t.date"), lambda x: T.blank_to_null(x).isNotNull())
+    d = d.withColumn("mail_dates", F.when(own, F.when(days, E.mail_dates(F.col("text"))).when(F.col("_t").isNotNull(), read).otherwise(E.block_dates(blocks))))
+    known = F.map_from_entries(F.transform("given", lambda m: F.struct(m["n"].alias("k"), m.alias("v"))))
+    fuller = lambda m, of, f: F.coalesce(T.blank_to_null(m[f]), of[f], m[f])
+
+    def enriched(by: Column) -> Column:
+        filled = ("subject", "sender", "date", "time")
+        one = lambda m, of, n: F.struct(n.alias("n"), F.concat("doc_code", F.lit("."), n.cast("string")).alias("id"), *[(fuller(m, of, f) if f in filled else m[f]).alias(f) for f in MAIL[1:-1]], F.lit(None).cast("long").alias("pdf_page"))
+        return F.transform("_t", lambda m, i: T.once(F.try_element_at(by, i + 1), lambda of: one(m, of, i + 1)))
+
+    chosen = F.when(F.col("_t").isNull(), F.col("given")).otherwise(T.once(known, enriched))
+
+    def finished(m: Column) -> Column:
+        empty = lambda f: F.coalesce(m[f], F.lit(""))
+
+        def timed(x: Column) -> Column:
+            at = T.once(x["day"], D.split_moment)
+            return F.when(x["clock"] != "", F.struct(x["day"].alias("day"), x["clock"].alias("time"))).otherwise(T.once(at, lambda t: F.struct(F.coalesce(t["day"], F.lit("")).alias("day"), F.coalesce(t["time"], F.lit("")).alias("time"))))
+
+        moment = T.once(F.struct(T.strip(empty("date")).alias("day"), T.strip(empty("time")).alias("clock")), timed)
+        plain = {f: empty(f) for f in ("subject", "sender", "to", "cc", "text")}
+        return T.once(moment, lambda at: F.struct(*[(plain[f] if f in plain else at[{"date": "day"}.get(f, f)] if f in ("date", "time") else m[f]).alias(f) for f in ("n", *MAIL)]))
+
+    kept = F.filter(F.transform(chosen, finished), lambda m: ~T.is_http_error(T.strip(m["text"])))
+    return d.withColumn("mails", F.when(own, kept)).drop("_lines", "_cuts", "_blocks", "_t", "given")
+
+
 def mails(docs: DataFrame, given: DataFrame) -> DataFrame:
     """dossier_id, doc_code, n and MAIL of the e-mail documents: the given list (page or structured e-mails) or the split text, whichever is longer.
 
     A split text takes what it lacks from the given e-mail of its place. E-mails that are nothing but a server's error are left out.
     """
-    own = docs.where(F.col("category") == "E-mail")
-    text = E.split(own.select(*KEYS, F.col("annotated_text").alias("text")))
-    given = given.join(own.select(*KEYS), KEYS, "left_semi")
-    pick = E.choose(text, given, KEYS).withColumnRenamed("date", "_date").withColumnRenamed("time", "_time")
-    rest = ["id", "to", "cc", "attachments", "text"]
-    of = lambda d, s, page: d.select(*KEYS, "n", *rest, page.cast("long").alias("pdf_page"), F.lit(s).alias("source"))
-    both = pick.join(of(text, "text", F.lit(None)).unionByName(of(given, "given", F.col("pdf_page"))), [*KEYS, "n", "source"])
-    day, clock = T.strip(F.coalesce("_date", F.lit(""))), T.strip(F.coalesce("_time", F.lit("")))
-    both = both.withColumn("_m", D.split_moment(day)).withColumn("date", F.when(clock != "", day).otherwise(F.coalesce("_m.day", F.lit(""))))
-    both = both.withColumn("time", F.when(clock != "", clock).otherwise(F.coalesce("_m.time", F.lit(""))))
-    plain = {c: F.coalesce(c, F.lit("")) for c in ("subject", "sender", "to", "cc", "text")}
-    return both.withColumns(plain).where(~T.is_http_error(T.strip(F.col("text")))).select(*KEYS, "n", *MAIL)
+    return _lettered(_with_given(docs.where(F.col("category") == "E-mail"), given)).select(*KEYS, F.inline("mails"))
 
 
 MESSAGE = "struct<sender:string,timestamp:string,body:string,isRedacted:boolean,isSystemMessage:boolean>"
+CHAT = ["threadId", "deelnemers", "laatsteBericht", "berichten", "chatName", "sourceDocId"]
+
+
+def _message(sender: Column, timestamp: Column, body: Column) -> Column:
+    redacted, system = T.chat_flags(body)
+    return F.struct(sender.alias("sender"), timestamp.alias("timestamp"), body.alias("body"), redacted.alias("isRedacted"), system.alias("isSystemMessage")).cast(MESSAGE)
+
+
+def _said(text: Column) -> Column:
+    """The chat messages among a text's lines, in order."""
+    # what any chat line has; plain searches end it for most others
+    has = lambda x, c: F.contains(x, F.lit(c))
+    maybe = F.filter(T.lines(text), lambda x: has(x, ":") & ((has(x, "[") & has(x, "]")) | (has(x, "(") & has(x, ")"))))
+    found = F.filter(F.transform(maybe, lambda x: T.chat_line(T.strip(x))), lambda c: c.isNotNull())
+    told = F.transform(found, lambda c: F.struct(c["sender"].alias("sender"), c["stamp"].alias("timestamp"), T.chat_body(c["body"]).alias("body")))
+    return F.transform(F.filter(told, lambda c: (c["sender"] != "") & (c["body"] != "")), lambda c: _message(c["sender"], c["timestamp"], c["body"]))
+
+
+def _people(messages: Column) -> Column:
+    """The senders in order, in their first spelling."""
+    named = F.filter(F.transform(messages, lambda m, i: F.struct(F.lower(T.strip(m["sender"])).alias("k"), i.alias("i"), m["sender"].alias("s"))), lambda x: x["k"] != "")
+    first = lambda a: F.filter(a, lambda x, i: F.coalesce(F.try_element_at(a, F.when(i > 0, i))["k"] != x["k"], F.lit(True)))
+    return F.transform(F.array_sort(F.transform(T.once(F.array_sort(named), first), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+
+
+def _chatted(docs: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Finished documents with chat, a struct of CHAT, where they have chat messages or are a Chat."""
+    said = _said(F.col("annotated_text"))
+    if messages is not None:
+        told = F.transform(F.array_sort(F.collect_list(F.struct("idx", _message(F.col("sender"), F.col("timestamp"), F.col("body")).alias("m")))), lambda x: x["m"])
+        docs, said = docs.join(messages.groupBy(*KEYS).agg(told.alias("_told")), KEYS, "left"), F.coalesce("_told", said)
+    d = docs.withColumn("_said", said)
+    said, some = F.col("_said"), F.size("_said") > 0
+    d = d.withColumn("_people", F.when(some, _people(said)).otherwise(F.array().cast("array<string>")))
+    people, name = F.col("_people"), T.blank_to_null(T.strip(F.coalesce("chat_name", F.lit(""))))
+    bodies = F.filter(said["body"], lambda b: T.strip(b) != "")
+    latest = F.when(some, F.left(F.try_element_at(bodies, F.lit(-1)), F.lit(200)))
+    made = F.struct(
+        T.thread_id(F.col("doc_code"), people, F.coalesce(name, F.lit(""))).alias("threadId"), F.when(some, people).when(name.isNotNull(), F.array(name)).otherwise(people).alias("deelnemers"),
+        F.coalesce(latest, F.lit("")).alias("laatsteBericht"), said.alias("berichten"), F.coalesce(name, T.blank_to_null(F.array_join(F.slice(people, 1, 3), ", ")), F.col("doc_code")).alias("chatName"), F.col("doc_code").alias("sourceDocId"),
+    )
+    return d.withColumn("chat", F.when(some | (F.lower(T.strip(F.col("category"))) == "chat"), made)).drop("_said", "_people", "_told")
 
 
 def chats(docs: DataFrame, messages: DataFrame | None = None) -> DataFrame:
@@ -106,23 +208,7 @@ def chats(docs: DataFrame, messages: DataFrame | None = None) -> DataFrame:
 
     messages (dossier_id, doc_code, idx, sender, timestamp, body): structured ones; else the text's chat lines. A Chat document without any has an empty list.
     """
-    lines = docs.select(*KEYS, F.posexplode(T.lines(F.col("annotated_text"))).alias("idx", "line")).withColumn("line", T.strip(F.col("line")))
-    found = P.chat_messages(lines.withColumn("dossier_id", F.struct(*KEYS))).withColumnRenamed("dossier_id", "_k").select("_k.*", "idx", "sender", "timestamp", "body", "is_redacted", "is_system")
-    if messages is not None:
-        redacted, system = T.chat_flags(F.col("body"))
-        told = messages.withColumn("is_redacted", redacted).withColumn("is_system", system).select(*found.columns)
-        found = told.unionByName(found.join(told.select(*KEYS).distinct(), KEYS, "left_anti"))
-    per = P.conversations(found.withColumn("_k", F.struct(*KEYS)), "_k").select("_k.*", "participants", "latest")
-    item = F.struct("sender", "timestamp", "body", F.col("is_redacted").alias("isRedacted"), F.col("is_system").alias("isSystemMessage"))
-    all_ = found.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("m")))), lambda x: x["m"]).alias("berichten"))
-    both = docs.select(*KEYS, "category", "chat_name").join(per, KEYS, "left").join(all_, KEYS, "left").where(F.col("berichten").isNotNull() | (F.lower(T.strip(F.col("category"))) == "chat"))
-    name = T.blank_to_null(T.strip(F.coalesce("chat_name", F.lit(""))))
-    people = F.when(F.col("berichten").isNotNull(), F.coalesce("participants", F.array().cast("array<string>"))).when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
-    shown = F.coalesce(name, T.blank_to_null(F.array_join(F.slice(F.coalesce("participants", F.array().cast("array<string>")), 1, 3), ", ")), F.col("doc_code"))
-    return both.select(
-        *KEYS, T.thread_id(F.col("doc_code"), F.coalesce("participants", F.array().cast("array<string>")), F.coalesce(name, F.lit(""))).alias("threadId"), people.alias("deelnemers"),
-        F.coalesce("latest", F.lit("")).alias("laatsteBericht"), F.coalesce("berichten", F.array().cast(f"array<{MESSAGE}>")).alias("berichten"), shown.alias("chatName"), F.col("doc_code").alias("sourceDocId"),
-    )
+    return _chatted(docs, messages).where(F.col("chat").isNotNull()).select(*KEYS, "chat.*")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -132,26 +218,35 @@ def statistics(docs: DataFrame) -> DataFrame:
     return n.join(codes, "dossier_id", "left").withColumn("redactionCodes", F.coalesce("redactionCodes", F.create_map().cast("map<string,bigint>")))
 
 
-def dossier_json(docs: DataFrame, given: DataFrame, messages: DataFrame | None = None) -> DataFrame:
-    """dossier_id, json: e-mails, chats, timeline and stats of each dossier as one document, in chronological order. docs: finalised."""
-    rows = P.timeline(P.dated(docs), "doc_subtype", "doc_sender")
+def _tallied(items: Column) -> Column:
+    """item -> how often it occurs, in the order of the items: lengths of runs in the sorted array."""
+    starts = lambda a: F.filter(F.transform(a, lambda x, i: F.when(F.coalesce(F.try_element_at(a, F.when(i > 0, i)) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+    runs = lambda a, at: F.transform(at, lambda i, k: F.struct(F.try_element_at(a, i + 1), (F.coalesce(F.try_element_at(at, k + 2), F.size(a)) - i).cast("long")))
+    return T.once(F.array_sort(items), lambda a: T.once(starts(a), lambda at: F.map_from_entries(runs(a, at))))
+
+
+def dossier_json(docs: DataFrame, given: DataFrame | None = None, messages: DataFrame | None = None) -> DataFrame:
+    """dossier_id, json: e-mails, chats, timeline and stats of each dossier as one document, in chronological order.
+
+    docs: finalised. given (KEYS, n and MAIL): page or structured e-mails; else those that documents finalised with ``started`` have.
+    """
+    # all that a document has is made in its own row; then one aggregate makes the dossier's
+    d = _chatted(_lettered(docs if given is None else _with_given(docs, given)), messages)
+    d = P.dated(d, F.col("mail_dates")).where(F.col("dossier_id").isNotNull())
+    rows = d.select("dossier_id", F.col("date").alias("_date"), "pages", "codes", "mails", "chat", *P.cards(), "doc_subtype", "doc_sender")
     entry = F.struct(
         F.col("doc_code").alias("id"), T.type_label(F.col("category"), F.col("doc_subtype")).alias("type"), F.col("category").alias("raw_type"), "doc_subtype", F.coalesce("date", F.lit("")).alias("date"),
         F.when(T.is_chat_category(F.col("category")), D.chat_title_date(F.coalesce("date", F.lit("")))).otherwise(F.col("title")).alias("title"),
         "description", F.coalesce("doc_sender", "sender").alias("sender"), "preview", F.col("page_start").alias("pdf_page_start"), F.col("page_end").alias("pdf_page_end"),
     )
-    in_place = lambda value, order: F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"])
-    letters = mails(docs, given).groupBy(*KEYS).agg(in_place(F.struct(*MAIL), "n").alias("_mails"))
-    talks = chats(docs, messages).select(*KEYS, F.struct("threadId", "deelnemers", "laatsteBericht", "berichten", "chatName", "sourceDocId").alias("_chat"))
-    # a document's lists meet its place once; then one aggregate makes the dossier's
-    one = rows.join(letters, KEYS, "left").join(talks, KEYS, "left")
-    timeline = one.groupBy("dossier_id").agg(
-        in_place(entry, "position").alias("timeline"), F.flatten(F.filter(in_place(F.col("_mails"), "position"), lambda m: m.isNotNull())).alias("emails"),
-        F.filter(in_place(F.col("_chat"), "position"), lambda c: c.isNotNull()).alias("chats"),
-    )
-    stats = statistics(docs).select("dossier_id", F.struct("docs", "pages", "redactionCodes").alias("stats"))
-    body = F.struct("emails", "chats", "timeline", "stats")
-    return stats.join(timeline, "dossier_id").select("dossier_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    letters = F.transform("mails", lambda m: F.struct(*[m[f].alias(f) for f in MAIL]))
+    place = F.struct(F.col("_date").isNull().alias("undated"), F.col("_date").alias("date"), F.col("doc_code").alias("code"))
+    one = F.struct(place.alias("place"), entry.alias("entry"), letters.alias("mails"), F.col("chat"), F.size("pages").alias("pages"), F.col("codes"))
+    all_ = rows.groupBy("dossier_id").agg(F.collect_list(one).alias("_d"), F.count(F.lit(1)).alias("docs"), F.sum(F.size("pages")).alias("pages")).withColumn("_d", F.array_sort("_d"))
+    present = lambda c: F.filter(F.col(f"_d.{c}"), lambda x: x.isNotNull())
+    stats = F.struct("docs", "pages", _tallied(F.flatten("_d.codes")).alias("redactionCodes"))
+    body = F.struct(F.flatten(present("mails")).alias("emails"), present("chat").alias("chats"), F.col("_d.entry").alias("timeline"), stats.alias("stats"))
+    return all_.select("dossier_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def cache_segments(pages: DataFrame, given: DataFrame | None = None) -> DataFrame:

@@ -176,7 +176,7 @@ _SEG_SQL = f"""SELECT dossier_id, row_number() OVER (PARTITION BY dossier_id ORD
  SELECT *, last_value(CASE WHEN detected_code IS NOT NULL OR {_NEW} OR page_num = 1 THEN coalesce(detected_code, '-') END IGNORE NULLS) OVER (PARTITION BY dossier_id ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM fx_pages))) GROUP BY 1, 2)"""
 page_query("seg6_cache_segments", _SEG_SQL)(lambda p: R.cache_segments(p).select("dossier_id", "i", "doc_code", "start_page", "end_page", "type", "method"))
 page_query("seg6_segments_with_emails")(lambda p: R.cache_segments(p).withColumn("emails_pipeline", F.to_json("emails_pipeline")))
-page_query("snk6_dossier_json")(lambda p: R.dossier_json(R.finalised(f := S.forward_fill_split(p)), R.page_mails(f.where("category = 'E-mail'"))))
+page_query("snk6_dossier_json")(lambda p: R.dossier_json(R.finalised(S.forward_fill_split(p), started=True)))
 
 # -- profile, hints, scans ----------------------------------------------------------------------------------
 

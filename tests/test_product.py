@@ -126,3 +126,51 @@ def test_report(spark):
     assert lines[0].split()[:2] == ["dossier", "P"] and lines[1].split() == ["A", *["0.500"] * 10] and lines[2].split() == ["Average", *["0.250"] * 10]
     stats = spark.createDataFrame([(1, 2, 1.5, 1.5, 1, 2), (2, 1, 4.0, 4.0, 4, 4)], "dossier_id long, n_docs long, mean_pages double, median_pages double, min_pages long, max_pages long")
     assert tuple(report.statistics(stats).where("dossier = 'Total'").first()) == ("Total", 3, 2.75, 2.75, 1, 4)
+
+
+def test_dossier_document_reads_its_tables_once(spark, sf):
+    plan = queries.queries()["snk6_dossier_json"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Generate") == 0
+
+
+def _pages(spark, *texts, category="E-mail", code="0001"):
+    rows = [(1, i + 1, code, t, category, i == 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "dossier_id long, page_num long, doc_code string, text string, category string, email_start boolean")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Van: a\nDatum: 25.1.20 maart 2020\nOnderwerp: x\n\nhallo",  # a code within the date
+        "Van: a\nOnderwerp: x\nDatum: 1 mei 2021\nt\n---- 5.1.2original message\nDatum: 2 juni 2019\nOnderwerp: y",  # a code within a separator's words
+        "Van: b <\n@5.1.2e.nl>\nDatum: 3 mei 2021\nOnderwerp: x",  # a code within an address over two lines
+        "Van: 5.1.2e\nDatum: onbekend\nOnderwerp: x\n\nbody 5.1.2e\n\n\n\n\n\n\nVan: c\nDatum: 4-5-2018\nOnderwerp: y",
+        "geen kop",
+    ],
+)
+def test_dates_of_marked_texts(spark, text):
+    from paperloom.plans import dossier as P
+    from paperloom.plans import product as R
+
+    for pages in (_pages(spark, text), _pages(spark, text, "vervolg", "Van: z")):
+        docs = R.finalised(pages, started=True)
+        want = P.dated(docs).select(F.date_format("date", "yyyy-MM-dd")).first()[0] or ""
+        assert [t["date"] for t in json.loads(R.dossier_json(docs).first().json)["timeline"]] == [want]
+
+
+def test_given_mails_and_messages(spark):
+    from paperloom.plans import product as R
+
+    pages = _pages(spark, "Van: a\nOnderwerp: x\n\n[12:05] jan : hoi 5.1.2e\nPiet (12:06): b", "Forbidden").unionByName(_pages(spark, "niets", category="Chat", code="0002"))
+    docs = R.finalised(pages, started=True).localCheckpoint()
+    own = json.loads(R.dossier_json(docs).first().json)
+    assert json.loads(R.dossier_json(docs, R.page_mails(pages.where("category = 'E-mail'"))).first().json) == own
+    assert [(m["id"], m["pdf_page"], m["date"]) for m in own["emails"]] == [("0001.1", 1, "")] and own["stats"] == {"docs": 2, "pages": 3, "redactionCodes": {"5.1.2e": 1}}
+    assert [(c["deelnemers"], len(c["berichten"]), c["chatName"]) for c in own["chats"]] == [(["jan", "Piet"], 2, "jan, Piet"), ([], 0, "0002")]
+    told = spark.createDataFrame([(1, "0002", 2, "B", "t2", "zwei"), (1, "0002", 1, "a", "t1", "5.1.2e"), (1, "0002", 3, " A", "t3", " ")], "dossier_id long, doc_code string, idx long, sender string, timestamp string, body string")
+    both = {c["sourceDocId"]: c for c in json.loads(R.dossier_json(docs, messages=told).first().json)["chats"]}
+    assert both["0001"]["deelnemers"] == ["jan", "Piet"]
+    assert (both["0002"]["deelnemers"], both["0002"]["laatsteBericht"], [m["isRedacted"] for m in both["0002"]["berichten"]]) == (["a", "B"], "zwei", [True, False, False])
+    assert {r.doc_code: r.laatsteBericht for r in R.chats(docs, told).collect()} == {"0001": "b", "0002": "zwei"}
+    given = spark.createDataFrame([(1, "0001", n, f"0001.{n}", f"s{n}", None, None, None, "2020-01-02T10:00", None, [], t, n) for n, t in ((1, "t"), (2, "Forbidden"), (3, "u"))], "dossier_id long, doc_code string, n int, id string, subject string, sender string, to string, cc string, date string, time string, attachments array<string>, text string, pdf_page long")
+    assert [(r.n, r.subject, r.date, r.time, r.pdf_page) for r in R.mails(docs, given).orderBy("n").collect()] == [(1, "s1", "2020-01-02", "10:00", 1), (3, "s3", "2020-01-02", "10:00", 3)]
